@@ -208,7 +208,8 @@ def is_image_url(parts: Column) -> Column:
 def percent_decode(value: Column) -> Column:
     """Undo percent-encoding; stray percent signs stay, bad UTF-8 becomes U+FFFD."""
     safe = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.try_url_decode(F.regexp_replace(safe, r"\+", "%2B"))
+    decoded = F.try_url_decode(F.regexp_replace(safe, r"\+", "%2B"))
+    return F.when(F.contains(value, F.lit("%")), decoded).otherwise(value)
 
 
 def percent_encode(value: Column) -> Column:
@@ -216,4 +217,5 @@ def percent_encode(value: Column) -> Column:
     encoded = F.regexp_replace(F.url_encode(value), r"\+", "%20")
     encoded = F.regexp_replace(encoded, r"\*", "%2A")
     encoded = F.regexp_replace(encoded, "%2F", "/")
-    return F.regexp_replace(encoded, "%7E", "~")
+    encoded = F.regexp_replace(encoded, "%7E", "~")
+    return F.when(value.rlike(r"[^A-Za-z0-9_.~/\-]"), encoded).otherwise(value)

@@ -32,6 +32,8 @@ ALLOW_STATUSES = (404, 410)
 _LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # Agent tokens start with A; rules with Y (allow), N (disallow) or X (other); B is an
 # empty line. Possessive loops do not recurse, so file length is no limit.
+# Rule values that stay as they are; most do, and then skip the full cut.
+_PLAIN_PATH = r"\A(?:/(?!/)[A-Za-z0-9_.~/\-]*)?\z"
 _GROUP = r"(?md)(?:^A[^\n]*+\n)++(?:^[YNX][^\n]*+\n)++"
 
 
@@ -113,13 +115,15 @@ def _tail(pieces: Column) -> Column:
 def _rule(token: Column) -> Column:
     value = percent_decode(F.substring(token, 2, 2147483647))
     allow = F.startswith(token, F.lit("Y")) | (value == "")
-    return let(
-        url_pieces(value),
-        lambda pieces: F.struct(
-            _rebuilt(pieces).alias("path"),
-            allow.alias("allow"),
-            url_fields(pieces)["netloc_valid"].alias("valid"),
-        ),
+
+    def rule(path: Column, valid: Column) -> Column:
+        return F.struct(path.alias("path"), allow.alias("allow"), valid.alias("valid"))
+
+    return F.when(value.rlike(_PLAIN_PATH), rule(value, F.lit(True))).otherwise(
+        let(
+            url_pieces(value),
+            lambda pieces: rule(_rebuilt(pieces), url_fields(pieces)["netloc_valid"]),
+        )
     )
 
 
