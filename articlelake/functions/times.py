@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from articlelake.functions.text import is_blank
-from articlelake.functions.urls import let
+from articlelake.functions.urls import let_sql
 
 # Instants of 0001-01-01T00:00:00Z and 9999-12-31T23:59:59.999999Z in microseconds.
 MIN_MICROS = -62_135_596_800_000_000
@@ -48,95 +47,76 @@ _OFFSET = (
 )
 
 
-def _groups(value: Column, pattern: str, count: int) -> Column:
-    found = [F.regexp_extract(value, pattern, index + 1) for index in range(count)]
-    return F.when(value.rlike(pattern), F.array(*found))
-
-
-def _first(value: Column, patterns: tuple[str, ...], count: int) -> Column:
-    return F.coalesce(*[_groups(value, pattern, count) for pattern in patterns])
+def _groups(value: str, patterns: tuple[str, ...], count: int) -> str:
+    """SQL for the groups of the first pattern that matches, as an array, or null."""
+    tried = []
+    for pattern in patterns:
+        found = ", ".join(
+            f"regexp_extract({value}, r'{pattern}', {index + 1})" for index in range(count)
+        )
+        tried.append(f"WHEN {value} RLIKE r'{pattern}' THEN array({found})")
+    return f"CASE {' '.join(tried)} END"
 
 
-def _hms(value: Column, patterns: tuple[str, ...]) -> Column:
-    """``[hh, mm, ss, ffffff]`` as strings of digits, or null."""
-    return let(
-        _first(value, patterns, 4),
-        lambda part: F.when(
-            part.isNotNull(),
-            F.array(
-                part[0],
-                F.lpad(part[1], 2, "0"),
-                F.lpad(part[2], 2, "0"),
-                F.rpad(F.substring(part[3], 1, 6), 6, "0"),
-            ),
-        ),
+def _micros(part: str) -> str:
+    """SQL for the microseconds of ``[hh, mm, ss, fraction]``."""
+    whole = " + ".join(
+        f"{unit} * CAST(coalesce(nullif({part}[{index}], ''), '0') AS bigint)"
+        for index, unit in enumerate((3_600_000_000, 60_000_000, 1_000_000))
     )
+    return f"{whole} + CAST(rpad(left({part}[3], 6), 6, '0') AS bigint)"
 
 
-def _micros(part: Column) -> Column:
-    number = [part[index].cast("long") for index in range(4)]
-    seconds = number[0] * 3600 + number[1] * 60 + number[2]
-    return seconds * 1_000_000 + number[3]
+def _day(date: str) -> str:
+    """SQL for the days since the epoch of ``[year, month, day]``, or null."""
+    text = f"concat_ws('-', {date}[0], {date}[1], {date}[2])"
+    return f"CASE WHEN {date}[0] >= '0001' THEN unix_date(try_cast({text} AS date)) END"
 
 
-def _week_date(year: Column, week: Column, day: Column) -> Column:
-    """Calendar date of an ISO week date; null when the week or day does not exist."""
-    fourth = F.concat(year, F.lit("-01-04")).try_cast("date")
-    number = week.cast("int")
-    weekday = F.when(day == "", F.lit(1)).otherwise(day.try_cast("int"))
-    first = F.date_sub(fourth, F.weekday(fourth))
-    thursday = F.date_add(first, (number - 1) * 7 + 3)
-    exists = number.between(1, 53) & weekday.between(1, 7) & (F.year(thursday) == year.cast("int"))
-    return F.when(exists, F.date_format(F.date_add(first, (number - 1) * 7 + weekday - 1), "yyyy-MM-dd"))
+def _week_day(date: str) -> str:
+    """SQL for the days since the epoch of ``[year, week, weekday]``, or null."""
+    monday = "date_sub(j, weekday(j))"
+    thursday = f"date_add({monday}, 7 * CAST({date}[1] AS int) - 4)"
+    weekday = f"CAST(coalesce(nullif({date}[2], ''), '1') AS int)"
+    exists = (
+        f"CAST({date}[1] AS int) BETWEEN 1 AND 53 AND {weekday} BETWEEN 1 AND 7 "
+        f"AND year({thursday}) = CAST({date}[0] AS int)"
+    )
+    days = f"unix_date({monday}) + 7 * (CAST({date}[1] AS int) - 1) + {weekday} - 1"
+    fourth = f"try_cast(concat({date}[0], '-01-04') AS date)"
+    inside = f"w BETWEEN {MIN_MICROS // _DAY_MICROS} AND {MAX_MICROS // _DAY_MICROS}"
+    checked = let_sql(days, "w", f"CASE WHEN {inside} THEN w END")
+    return let_sql(fourth, "j", f"CASE WHEN {exists} THEN {checked} END")
 
 
-def _instant(date: Column, clock: Column, sign: Column, offset: Column) -> Column:
-    """UTC microseconds from the cut parts, or null."""
+def _instant(cut: str, day: str) -> str:
+    """SQL for UTC microseconds from the groups of a date-and-clock pattern."""
+    clock = (
+        f"CASE WHEN c[0] <= '23' AND c[1] <= '59' AND c[2] <= '59' THEN {_micros('c')} END"
+    )
+    local = let_sql(_groups(f"{cut}[3]", _CLOCK, 4), "c", clock)
+    offset = let_sql(_groups(f"{cut}[5]", _OFFSET, 4), "o", _micros("o"))
+    signed = let_sql(
+        offset, "z", f"CASE WHEN z < {_DAY_MICROS} THEN IF({cut}[4] = '-', -z, z) END"
+    )
+    return f"{day} * {_DAY_MICROS} + {local} - {signed}"
 
-    def combine(time: Column) -> Column:
-        text = F.concat(
-            date, F.lit("T"), time[0], F.lit(":"), time[1], F.lit(":"), time[2],
-            F.lit("."), time[3], F.lit("Z"),
-        )
-        local = F.when(date >= "0001", F.unix_micros(text.try_cast("timestamp")))
-        return let(
-            _hms(offset, _OFFSET),
-            lambda zone: F.when(
-                _micros(zone) < _DAY_MICROS,
-                local - F.when(sign == "-", -_micros(zone)).otherwise(_micros(zone)),
-            ),
-        )
 
-    return let(_hms(clock, _CLOCK), combine)
+def iso_micros_sql(value: str) -> str:
+    """SQL for the microseconds of an ISO 8601 text with an offset, else null."""
+    zulu = f"IF({value} RLIKE r'(?s)[Zz]\\z', concat(left({value}, length({value}) - 1), '+00:00'), {value})"
+    calendar = let_sql(_groups("s", _CALENDAR, 6), "d", _instant("d", _day("d")))
+    week = let_sql(_groups("s", _WEEK, 6), "d", _instant("d", _week_day("d")))
+    chosen = f"CASE WHEN s RLIKE r'\\A[0-9]{{4}}-?W' THEN {week} ELSE {calendar} END"
+    return let_sql(zulu, "s", chosen)
 
 
-def iso_micros(value: Column) -> Column:
-    """Microseconds since the epoch of an ISO 8601 text with an offset, else null.
+def iso_micros(texts: str) -> Column:
+    """``iso_micros_sql`` of every element of an array column.
 
-    The result may lie outside the years 1 to 9999 by less than a day; see
-    ``in_range``.
+    A result may lie outside the years 1 to 9999 by less than a day; see ``in_range``.
     """
-    zulu = F.when(
-        value.rlike(r"(?s)\A.*[Zz]\z"),
-        F.concat(F.left(value, F.length(value) - 1), F.lit("+00:00")),
-    ).otherwise(value)
-
-    def read(text: Column) -> Column:
-        calendar = let(
-            _first(text, _CALENDAR, 6),
-            lambda part: _instant(
-                F.concat_ws("-", part[0], part[1], part[2]), part[3], part[4], part[5]
-            ),
-        )
-        week = let(
-            _first(text, _WEEK, 6),
-            lambda part: _instant(
-                _week_date(part[0], part[1], part[2]), part[3], part[4], part[5]
-            ),
-        )
-        return F.when(text.rlike(r"\A\d{4}-?W"), week).otherwise(calendar)
-
-    return F.when(value.isNotNull() & ~is_blank(value), let(zulu, read))
+    return F.expr(f"transform({texts}, v -> {iso_micros_sql('v')})")
 
 
 def in_range(micros: Column) -> Column:

@@ -3,7 +3,8 @@
 The built-in ``parse_url`` follows java.net.URI, which refuses many URLs that crawls
 contain (underscores in hosts, spaces, stray percent signs) and keeps the host's case.
 Here one regular expression cuts the URL into its five parts and the rest is derived
-from them with string functions.
+from them with string functions. The long expressions are SQL text: it is parsed in one
+call, and its lambdas give names to values that are used more than once.
 """
 
 from __future__ import annotations
@@ -44,73 +45,91 @@ def _ipv6_pattern() -> str:
 
 _IP_LITERAL = _ipv6_pattern()
 _FUTURE_LITERAL = r"(?s)\Av[0-9A-Fa-f]+\..+\z"
+_INNER = r"\[([^\]]*)"
+_LITERAL_PORT = r"(?s)\[[^\]]*\][^:]*:(.*)\z"
+_PLAIN_PORT = r"(?s)\A[^:]*:(.*)\z"
 
 
-def url_pieces(url: Column) -> Column:
-    """``[scheme, netloc, path, query, fragment]`` with absent parts as ''."""
-    cleaned = F.regexp_replace(F.ltrim(url, F.lit(_LEADING)), r"[\t\r\n]", "")
-    return F.split(F.regexp_replace(cleaned, F.lit("(?s)" + _CUT), F.lit(_CUT_MARKS)), "\n")
+def _raw(pattern: str) -> str:
+    """A pattern as a raw SQL string."""
+    return f"r'{pattern}'"
+
+
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL that evaluates ``value`` once under ``name`` and uses it many times."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
 
+def netloc_valid_sql(netloc: str) -> str:
+    """SQL test of the authority: balanced and readable brackets, no look-alike marks."""
+    inner = f"regexp_extract({netloc}, {_raw(_INNER)}, 1)"
+    return f"""(
+        contains({netloc}, '[') = contains({netloc}, ']')
+        AND NOT {netloc} RLIKE {_raw(_SPOOF)}
+        AND CASE WHEN NOT contains({netloc}, '[') THEN true
+                 WHEN startswith({inner}, 'v') THEN {inner} RLIKE {_raw(_FUTURE_LITERAL)}
+                 ELSE {inner} RLIKE {_raw(_IP_LITERAL)} END
+    )"""
 
-def url_fields(pieces: Column) -> Column:
-    """Struct of URL parts from ``url_pieces``.
+
+def fields_sql(pieces: str) -> str:
+    """SQL for the struct of URL parts.
 
     ``host`` is lower case and null when absent; ``port`` is null when absent;
     ``valid`` is false for URLs whose brackets, host text or port cannot be read, and
     ``netloc_valid`` is the same without the port.
     """
-    netloc = pieces[1]
-    bracketed = F.contains(netloc, F.lit("["))
-    hostport = F.substring_index(netloc, "@", -1)
-    literal = F.contains(hostport, F.lit("["))
-    raw_host = F.when(
-        literal, F.regexp_extract(hostport, r"\[([^\]]*)", 1)
-    ).otherwise(F.substring_index(hostport, ":", 1))
-    port_text = F.when(
-        literal, F.regexp_extract(hostport, r"(?s)\[[^\]]*\][^:]*:(.*)\z", 1)
-    ).otherwise(F.regexp_extract(hostport, r"(?s)\A[^:]*:(.*)\z", 1))
-    host = F.when(
-        F.contains(raw_host, F.lit("%")),
-        F.concat(
-            F.lower(F.substring_index(raw_host, "%", 1)),
-            F.regexp_extract(raw_host, r"(?s)\A[^%]*(%.*)\z", 1),
-        ),
-    ).otherwise(F.lower(raw_host))
-    inner = F.regexp_extract(netloc, r"\[([^\]]*)", 1)
-    digits = F.ltrim(port_text, F.lit("0"))
-    port = F.when(
-        port_text.rlike(r"\A[0-9]+\z") & (F.length(digits) <= 5),
-        F.when(digits == "", F.lit(0)).otherwise(digits.try_cast("int")),
+    netloc = f"{pieces}[1]"
+    hostport = f"substring_index({netloc}, '@', -1)"
+    host = f"""CASE WHEN contains({hostport}, '[')
+        THEN regexp_extract({hostport}, {_raw(_INNER)}, 1)
+        ELSE substring_index({hostport}, ':', 1) END"""
+    port = f"""CASE WHEN contains({hostport}, '[')
+        THEN regexp_extract({hostport}, {_raw(_LITERAL_PORT)}, 1)
+        ELSE regexp_extract({hostport}, {_raw(_PLAIN_PORT)}, 1) END"""
+    # A zone after '%' keeps its case.
+    lowered = let_sql(
+        host,
+        "h",
+        """CASE WHEN contains(h, '%')
+            THEN concat(lower(substring_index(h, '%', 1)), substring(h, instr(h, '%')))
+            ELSE lower(h) END""",
     )
-    port_ok = (port_text == "") | F.coalesce(port <= 65535, F.lit(False))
-    bracket_ok = (bracketed == F.contains(netloc, F.lit("]"))) & (
-        ~bracketed
-        | F.when(F.startswith(inner, F.lit("v")), inner.rlike(_FUTURE_LITERAL)).otherwise(
-            inner.rlike(_IP_LITERAL)
-        )
+    number = let_sql(
+        port,
+        "t",
+        """named_struct(
+            'ok', t = '' OR (t RLIKE r'\\A0*[0-9]{1,5}\\z'
+                AND coalesce(try_cast(right(t, 5) AS int) <= 65535, false)),
+            'port', CASE WHEN t RLIKE r'\\A0*[0-9]{1,5}\\z' THEN try_cast(right(t, 5) AS int) END)""",
     )
-    return F.struct(
-        F.lower(pieces[0]).alias("scheme"),
-        netloc.alias("netloc"),
-        pieces[2].alias("path"),
-        pieces[3].alias("query"),
-        pieces[4].alias("fragment"),
-        F.contains(netloc, F.lit("@")).alias("has_userinfo"),
-        F.nullif(host, F.lit("")).alias("host"),
-        F.when(port <= 65535, port).alias("port"),
-        (bracket_ok & ~netloc.rlike(_SPOOF)).alias("netloc_valid"),
-        (port_ok & bracket_ok & ~netloc.rlike(_SPOOF)).alias("valid"),
+    return let_sql(
+        number,
+        "n",
+        f"""named_struct(
+            'scheme', lower({pieces}[0]), 'netloc', {netloc}, 'path', {pieces}[2],
+            'query', {pieces}[3], 'fragment', {pieces}[4],
+            'has_userinfo', contains({netloc}, '@'),
+            'host', nullif({lowered}, ''),
+            'port', CASE WHEN n.ok THEN n.port END,
+            'netloc_valid', {netloc_valid_sql(netloc)},
+            'valid', n.ok AND {netloc_valid_sql(netloc)})""",
     )
 
 
 def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it many times inside ``body``."""
+    """The Column form of ``let_sql``."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def split_url(url: Column) -> Column:
-    """URL parts as one expression; for table columns prefer ``with_url``."""
-    return let(url_pieces(url), url_fields)
+def url_cut(url: Column) -> Column:
+    """``[scheme, netloc, path, query, fragment]`` with absent parts as ''."""
+    cleaned = F.regexp_replace(F.ltrim(url, F.lit(_LEADING)), r"[\t\r\n]", "")
+    return F.split(F.regexp_replace(cleaned, F.lit("(?s)" + _CUT), F.lit(_CUT_MARKS)), "\n")
+
+
+def url_fields(pieces: str) -> Column:
+    return F.expr(fields_sql(pieces))
 
 
 def with_url(frame: DataFrame, url: str, name: str) -> DataFrame:
@@ -120,9 +139,22 @@ def with_url(frame: DataFrame, url: str, name: str) -> DataFrame:
     """
     cut = f"_{name}_cut"
     return (
-        frame.withColumn(cut, url_pieces(F.col(url)))
-        .withColumn(name, url_fields(F.col(cut)))
-        .drop(cut)
+        frame.withColumn(cut, url_cut(F.col(url))).withColumn(name, url_fields(cut)).drop(cut)
+    )
+
+
+def with_first_image(frame: DataFrame, images: Column, name: str) -> DataFrame:
+    """Add the first URL of a list that is https, has a host, no user info, no fragment."""
+    listed, cuts = f"_{name}_list", f"_{name}_cuts"
+    test = """f.valid AND f.scheme = 'https' AND f.host IS NOT NULL
+        AND NOT f.has_userinfo AND f.fragment = ''"""
+    passed = f"transform({cuts}, p -> coalesce({let_sql(fields_sql('p'), 'f', test)}, false))"
+    first = f"nullif(array_position({passed}, true), 0)"
+    return (
+        frame.withColumn(listed, images)
+        .withColumn(cuts, F.transform(listed, url_cut))
+        .withColumn(name, F.expr(f"try_element_at({listed}, CAST({first} AS int))"))
+        .drop(listed, cuts)
     )
 
 
@@ -194,17 +226,6 @@ def resolvable_host(url: Column, parts: Column) -> Column:
     return F.when(ok, parts["host"])
 
 
-def is_image_url(parts: Column) -> Column:
-    """The loose https test that picks the first usable image."""
-    return _no(
-        parts["valid"]
-        & (parts["scheme"] == "https")
-        & parts["host"].isNotNull()
-        & ~parts["has_userinfo"]
-        & (parts["fragment"] == "")
-    )
-
-
 def percent_decode(value: Column) -> Column:
     """Undo percent-encoding; stray percent signs stay, bad UTF-8 becomes U+FFFD."""
     safe = F.regexp_replace(value, "%(?![0-9A-Fa-f]{2})", "%25")

@@ -19,11 +19,8 @@ from articlelake.functions.text import (
 )
 from articlelake.functions.urls import (
     is_article_url,
-    is_image_url,
-    let,
     page_url_reason,
-    url_fields,
-    url_pieces,
+    with_first_image,
     with_url,
 )
 from articlelake.operators.profiles import article_source
@@ -59,14 +56,6 @@ def select_candidate(eligible: Column, page_identity: Column) -> tuple[Column, C
     return chosen, reason
 
 
-def first_image(images: Column) -> Column:
-    """The first image URL that passes the loose https test."""
-    usable = F.filter(
-        images, lambda url: let(url_pieces(url), lambda cut: is_image_url(url_fields(cut)))
-    )
-    return F.try_element_at(usable, F.lit(1))
-
-
 def build_articles(
     frame: DataFrame,
     *,
@@ -99,15 +88,13 @@ def build_articles(
     )
 
     node = F.col("_node")
+    stamps = ", ".join(
+        ("_node.date_published", f"{page}.meta_published", "_node.date_modified", f"{page}.meta_modified")
+    )
     fields = addressed.withColumns(
         {
             "_headline": F.coalesce(present(node["headline"]), meta["og_title"]),
-            "_published": F.coalesce(
-                times.iso_micros(node["date_published"]), times.iso_micros(meta["meta_published"])
-            ),
-            "_modified": F.coalesce(
-                times.iso_micros(node["date_modified"]), times.iso_micros(meta["meta_modified"])
-            ),
+            "_stamps": times.iso_micros(f"array({stamps})"),
             "_description": F.coalesce(
                 present(node["description"]),
                 F.nullif(meta["og_description"], F.lit("")),
@@ -117,13 +104,19 @@ def build_articles(
                 ordered_distinct_text(node["authors"]), F.array().cast("array<string>")
             ),
             "_section": present(node["section"]),
-            "_image": F.coalesce(first_image(node["images"]), first_image(F.array(meta["og_image"]))),
             "_language": F.coalesce(
                 language_tag(node["in_language"]), language_tag(meta["html_lang"])
             ),
         }
+    ).withColumns(
+        {
+            "_published": F.coalesce(F.col("_stamps")[0], F.col("_stamps")[1]),
+            "_modified": F.coalesce(F.col("_stamps")[2], F.col("_stamps")[3]),
+        }
     )
-    checked = with_url(fields, "_image", "_image_url")
+    empty = F.array().cast("array<string>")
+    images = F.concat(F.coalesce(node["images"], empty), F.array(meta["og_image"]))
+    checked = with_url(with_first_image(fields, images, "_image"), "_image", "_image_url")
 
     canonical = F.col("_canonical")
     canonical_reason = page_url_reason(canonical, F.col("_canonical_url"), F.col(domains))

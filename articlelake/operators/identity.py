@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from articlelake.functions.hosts import IPV4
 from articlelake.functions.text import has_control
-from articlelake.functions.urls import split_url
+from articlelake.functions.urls import with_url
 
 # Product names that must not be imitated, and the length limit.
 IMITATED = (
@@ -35,9 +35,8 @@ def user_agent(name: Column, version: Column, project_url: Column, contact: Colu
     return F.concat(name, F.lit("/"), version, F.lit(" (+"), project_url, extra, F.lit(")"))
 
 
-def is_public_https_url(url: Column) -> Column:
+def is_public_https_url(url: Column, parts: Column) -> Column:
     """https, public named host, no user info, query or fragment, no control characters."""
-    parts = split_url(url)
     host = F.rtrim(parts["host"], F.lit("."))
     ok = (
         (url != "")
@@ -71,11 +70,19 @@ def audit_identities(identities: DataFrame) -> DataFrame:
         F.when(~_is_token(name), F.lit("product_name_invalid"))
         .when(imitates, F.lit("product_name_imitates"))
         .when(~_is_token(version), F.lit("product_version_invalid"))
-        .when(~is_public_https_url(url), F.lit("project_url_invalid"))
-        .when(contact.isNotNull() & ~is_public_https_url(contact), F.lit("contact_invalid"))
+        .when(~is_public_https_url(url, F.col("_project")), F.lit("project_url_invalid"))
+        .when(
+            contact.isNotNull() & ~is_public_https_url(contact, F.col("_contact")),
+            F.lit("contact_invalid"),
+        )
         .when(F.length(agent) > MAX_USER_AGENT, F.lit("user_agent_too_long"))
     )
-    return identities.withColumn("user_agent", agent).withColumn("identity_reason", reason)
+    parts = with_url(with_url(identities, "project_url", "_project"), "contact", "_contact")
+    return (
+        parts.withColumn("user_agent", agent)
+        .withColumn("identity_reason", reason)
+        .drop("_project", "_contact")
+    )
 
 
 def identity_disagreements(page_log: DataFrame, robots_log: DataFrame) -> DataFrame:

@@ -16,11 +16,11 @@ from articlelake.functions.text import is_blank, strip
 from articlelake.functions.urls import (
     fetch_target_reason,
     let,
+    netloc_valid_sql,
     origin,
     percent_decode,
     percent_encode,
-    url_fields,
-    url_pieces,
+    url_cut,
     with_url,
 )
 from articlelake.operators.joins import lookup_join
@@ -112,42 +112,41 @@ def _tail(pieces: Column) -> Column:
     return F.concat(query, fragment)
 
 
-def _rule(token: Column) -> Column:
-    value = percent_decode(F.substring(token, 2, 2147483647))
-    allow = F.startswith(token, F.lit("Y")) | (value == "")
-
-    def rule(path: Column, valid: Column) -> Column:
-        return F.struct(path.alias("path"), allow.alias("allow"), valid.alias("valid"))
-
-    return F.when(value.rlike(_PLAIN_PATH), rule(value, F.lit(True))).otherwise(
-        let(
-            url_pieces(value),
-            lambda pieces: rule(_rebuilt(pieces), url_fields(pieces)["netloc_valid"]),
-        )
-    )
+def parse_groups(text: Column) -> Column:
+    """Groups of a robots file: ``array<struct<agents, rules<path, allow, netloc>>>``."""
+    lines = F.split(text, _LINE_ENDS)
+    tokens = F.filter(F.transform(lines, _token), lambda token: token.isNotNull())
+    joined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
+    return F.transform(F.regexp_extract_all(joined, F.lit(_GROUP), F.lit(0)), _group)
 
 
 def _group(text: Column) -> Column:
     tokens = F.split(text, "\n")
     agents = F.filter(tokens, lambda token: F.startswith(token, F.lit("A")))
-    rules = F.filter(
-        tokens,
-        lambda token: F.startswith(token, F.lit("Y")) | F.startswith(token, F.lit("N")),
-    )
+    rules = F.filter(tokens, lambda token: token.rlike(r"\A[YN]"))
     return F.struct(
-        F.transform(
-            agents, lambda token: percent_decode(F.substring(token, 2, 2147483647))
-        ).alias("agents"),
+        F.transform(agents, lambda token: percent_decode(_value(token))).alias("agents"),
         F.transform(rules, _rule).alias("rules"),
     )
 
 
-def parse_groups(text: Column) -> Column:
-    """Groups of a robots file: ``array<struct<agents, rules<path, allow, valid>>>``."""
-    lines = F.split(text, _LINE_ENDS)
-    tokens = F.filter(F.transform(lines, _token), lambda token: token.isNotNull())
-    joined = F.concat(F.array_join(tokens, "\n"), F.lit("\n"))
-    return F.transform(F.regexp_extract_all(joined, F.lit(_GROUP), F.lit(0)), _group)
+def _value(token: Column) -> Column:
+    return F.substring(token, 2, 2147483647)
+
+
+def _rule(token: Column) -> Column:
+    return let(percent_decode(_value(token)), lambda value: _cut_rule(token, value))
+
+
+def _cut_rule(token: Column, value: Column) -> Column:
+    allow = F.startswith(token, F.lit("Y")) | (value == "")
+
+    def rule(path: Column, netloc: Column) -> Column:
+        return F.struct(path.alias("path"), allow.alias("allow"), netloc.alias("netloc"))
+
+    return F.when(value.rlike(_PLAIN_PATH), rule(value, F.lit(""))).otherwise(
+        let(url_cut(value), lambda cut: rule(_rebuilt(cut), cut[1]))
+    )
 
 
 def robots_rules(captures: DataFrame) -> DataFrame:
@@ -166,10 +165,8 @@ def robots_rules(captures: DataFrame) -> DataFrame:
     parsed = first.withColumn(
         "groups", F.when(~is_blank(F.col("_text")), parse_groups(F.col("_text")))
     )
-    broken = F.coalesce(
-        F.exists("groups", lambda group: F.exists(group["rules"], lambda rule: ~rule["valid"])),
-        F.lit(False),
-    )
+    unreadable = f"exists(groups, g -> exists(g.rules, r -> NOT {netloc_valid_sql('r.netloc')}))"
+    broken = F.coalesce(F.expr(unreadable), F.lit(False))
     reason = (
         F.when(status.isNull(), F.lit("robots_unavailable"))
         .when(~_usable(status), F.lit("robots_status_unsupported"))
@@ -228,9 +225,9 @@ def decide(frame: DataFrame, url: str, agent_rules: DataFrame) -> DataFrame:
     that finds no file for the origin is ``robots_unavailable``.
     """
     joined = lookup_join(frame, agent_rules, "origin", spread=url)
-    cut = joined.withColumn("_cut", url_pieces(percent_decode(F.col(url))))
+    cut = joined.withColumn("_cut", url_cut(percent_decode(F.col(url))))
     located = cut.withColumn("_path", match_path(F.col("_cut"))).withColumn(
-        "_readable", url_fields(F.col("_cut"))["netloc_valid"]
+        "_readable", F.expr(netloc_valid_sql("_cut[1]"))
     )
     first = F.try_element_at(
         F.filter(
