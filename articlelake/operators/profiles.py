@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articlelake.functions import hosts as host_rules
+from articlelake.functions.staging import once
 from articlelake.functions.text import strip
 from articlelake.functions.urls import resolvable_host, with_url
 from articlelake.operators.joins import lookup_join
@@ -48,11 +49,10 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
         )
         .when(F.col("enabled").isNull(), F.lit("enabled_invalid"))
     )
-    return (
-        checked.withColumn("reason", reason)
-        .withColumn("domains", F.when(F.coalesce(sound, F.lit(False)), domains).otherwise(F.col("domains")))
-        .drop("_hosts")
+    valid = checked.withColumn("reason", reason).withColumn(
+        "domains", F.when(F.coalesce(sound, F.lit(False)), domains).otherwise(F.col("domains"))
     )
+    return once(valid.drop("_hosts"), "domains", "reason")
 
 
 def duplicate_sources(profiles: DataFrame) -> DataFrame:

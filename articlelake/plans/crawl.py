@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from articlelake.functions.staging import once
 from articlelake.operators import capture, metadata, profiles, robots
 from articlelake.operators.parsers import FAMILIES
 from articlelake.sources.schemas import ARTICLE_COLUMNS, STAGE_OF_REASON
@@ -89,14 +90,11 @@ def parse(decoded: DataFrame) -> DataFrame:
         "article_reason",
         F.when(F.col("article").isNull(), F.lit("no_candidate")),
     )
-    return built.withColumn("reason_code", reason).select(
-        "position",
-        F.col("url").alias("request_url"),
-        "source",
-        "reason_code",
-        stage_of(F.col("reason_code")).alias("stage"),
-        "article",
+    decided = built.withColumn("reason_code", reason).select(
+        "position", F.col("url").alias("request_url"), "source", "reason_code", "article"
     )
+    settled = once(decided, "reason_code", "article")
+    return settled.withColumn("stage", stage_of(F.col("reason_code")))
 
 
 def stage_of(reason: Column) -> Column:
