@@ -18,97 +18,90 @@ MAX_MICROS = 253_402_300_799_999_999
 _DAY_MICROS = 86_400_000_000
 
 # A date, one separator character, the clock up to the first sign or Z, sign, offset.
-_REST = r".([^+\-Z]*)([+\-])(.*)\z"
-_CALENDAR = (
-    rf"(?s)\A(\d{{4}})-(\d\d)-(\d\d){_REST}",
-    rf"(?s)\A(\d{{4}})(\d\d)(\d\d){_REST}",
-)
-# In the last two the separator may itself be a digit; the length of the run decides.
-_WEEK = (
-    rf"(?s)\A(\d{{4}})-W(\d\d)-(\d)(?!\d){_REST}",
-    rf"(?s)\A(\d{{4}})-W(\d\d)(){_REST}",
-    rf"(?s)\A(\d{{4}})W(\d\d)()(?:(?!\d)|(?=\d(?:\d\d)++(?!\d))){_REST}",
-    rf"(?s)\A(\d{{4}})W(\d\d)(\d)(?:(?!\d)|(?=\d(?:\d\d)*+(?!\d))){_REST}",
+# Calendar dates, then week dates; in compact week dates the separator may itself be a
+# digit, and the length of the run decides.
+_TEXT = (
+    r"(?s)\A(\d{4})(?:-(\d\d)-(\d\d)|(\d\d)(\d\d)|-W(\d\d)-(\d)(?!\d)|-W(\d\d)"
+    r"|W(\d\d)(?:(?!\d)|(?=\d(?:\d\d)++(?!\d)))"
+    r"|W(\d\d)(\d)(?:(?!\d)|(?=\d(?:\d\d)*+(?!\d))))"
+    r".([^+\-Z]*)([+\-])(.*)\z"
 )
+# year, month, day, week, weekday, clock, sign, offset
+_TEXT_PARTS = "$1\\n$2$4\\n$3$5\\n$6$8$9$10\\n$7$11\\n$12\\n$13\\n$14"
 
-# The clock tolerates one stray ASCII character at its end, and any text after six
-# digits of fraction; the offset tolerates neither.
+# The clock with or without colons. It tolerates one stray ASCII character at its end,
+# and any text after six digits of fraction; the offset tolerates neither.
 _CLOCK = (
-    (r"(?s)\A(\d\d)(?::(\d\d)(?::(\d\d))?)?(?:[.,](\d{1,5}|\d{6}.*)|[\x00-\x7f])?\z"),
-    (r"(?s)\A(\d\d):(\d\d):(\d\d):(\d{1,5}|\d{6}.*)\z"),
-    (r"(?s)\A(\d\d)(\d\d)(\d\d)?(?:[.,](\d{1,5}|\d{6}.*)|[\x00-\x7f])?\z"),
-    (r"(?s)\A(\d\d)(\d\d)(\d\d)(\d{1,5}|\d{6}.*)\z"),
+    r"(?s)\A(\d\d)(?:(?::(\d\d)(?::(\d\d))?)?(?:[.,](\d{1,5}|\d{6}.*)|[\x00-\x7f])?"
+    r"|:(\d\d):(\d\d):(\d{1,5}|\d{6}.*)"
+    r"|(\d\d)(\d\d)?(?:[.,](\d{1,5}|\d{6}.*)|[\x00-\x7f])?"
+    r"|(\d\d)(\d\d)(\d{1,5}|\d{6}.*))\z"
 )
 _OFFSET = (
-    (r"\A(\d\d)(?::(\d\d)(?::(\d\d))?)?(?:[.,](\d+))?\z"),
-    (r"\A(\d\d):(\d\d):(\d\d):(\d+)\z"),
-    (r"\A(\d\d)(\d\d)(\d\d)?(?:[.,](\d+))?\z"),
-    (r"\A(\d\d)(\d\d)(\d\d)(\d{2,})\z"),
+    r"\A(\d\d)(?:(?::(\d\d)(?::(\d\d))?)?(?:[.,](\d+))?"
+    r"|:(\d\d):(\d\d):(\d+)"
+    r"|(\d\d)(\d\d)?(?:[.,](\d+))?"
+    r"|(\d\d)(\d\d)(\d{2,}))\z"
 )
+# hours, minutes, seconds, fraction
+_CLOCK_PARTS = "$1\\n$2$5$8$11\\n$3$6$9$12\\n$4$7$10$13"
 
 
-def _groups(value: str, patterns: tuple[str, ...], count: int) -> str:
-    """SQL for the groups of the first pattern that matches, as an array, or null."""
-    tried = []
-    for pattern in patterns:
-        found = ", ".join(
-            f"regexp_extract({value}, r'{pattern}', {index + 1})" for index in range(count)
-        )
-        tried.append(f"WHEN {value} RLIKE r'{pattern}' THEN array({found})")
-    return f"CASE {' '.join(tried)} END"
+def _parts(value: str, pattern: str, parts: str) -> str:
+    """SQL for the parts of a text that matches, as an array, else null."""
+    cut = f"split(regexp_replace({value}, r'{pattern}', '{parts}'), '\\n')"
+    return f"CASE WHEN {value} RLIKE r'{pattern}' THEN {cut} END"
 
 
 def _micros(part: str) -> str:
     """SQL for the microseconds of ``[hh, mm, ss, fraction]``."""
     whole = " + ".join(
-        f"{unit} * CAST(coalesce(nullif({part}[{index}], ''), '0') AS bigint)"
+        f"{unit} * CAST(concat('0', {part}[{index}]) AS bigint)"
         for index, unit in enumerate((3_600_000_000, 60_000_000, 1_000_000))
     )
     return f"{whole} + CAST(rpad(left({part}[3], 6), 6, '0') AS bigint)"
 
 
-def _day(date: str) -> str:
-    """SQL for the days since the epoch of ``[year, month, day]``, or null."""
-    text = f"concat_ws('-', {date}[0], {date}[1], {date}[2])"
-    return f"CASE WHEN {date}[0] >= '0001' THEN unix_date(try_cast({text} AS date)) END"
-
-
-def _week_day(date: str) -> str:
-    """SQL for the days since the epoch of ``[year, week, weekday]``, or null."""
+def _day(part: str) -> str:
+    """SQL for the date as days since the epoch, or null when it does not exist."""
+    calendar = f"try_cast(concat_ws('-', {part}[0], {part}[1], {part}[2]) AS date)"
+    week, weekday = f"CAST({part}[3] AS int)", f"CAST(coalesce(nullif({part}[4], ''), '1') AS int)"
+    # The first week holds January 4th; a week belongs to the year of its Thursday.
     monday = "date_sub(j, weekday(j))"
-    thursday = f"date_add({monday}, 7 * CAST({date}[1] AS int) - 4)"
-    weekday = f"CAST(coalesce(nullif({date}[2], ''), '1') AS int)"
     exists = (
-        f"CAST({date}[1] AS int) BETWEEN 1 AND 53 AND {weekday} BETWEEN 1 AND 7 "
-        f"AND year({thursday}) = CAST({date}[0] AS int)"
+        f"{week} BETWEEN 1 AND 53 AND {weekday} BETWEEN 1 AND 7 "
+        f"AND year(date_add({monday}, 7 * {week} - 4)) = CAST({part}[0] AS int)"
     )
-    days = f"unix_date({monday}) + 7 * (CAST({date}[1] AS int) - 1) + {weekday} - 1"
-    fourth = f"try_cast(concat({date}[0], '-01-04') AS date)"
-    inside = f"w BETWEEN {MIN_MICROS // _DAY_MICROS} AND {MAX_MICROS // _DAY_MICROS}"
-    checked = let_sql(days, "w", f"CASE WHEN {inside} THEN w END")
-    return let_sql(fourth, "j", f"CASE WHEN {exists} THEN {checked} END")
-
-
-def _instant(cut: str, day: str) -> str:
-    """SQL for UTC microseconds from the groups of a date-and-clock pattern."""
-    clock = (
-        f"CASE WHEN c[0] <= '23' AND c[1] <= '59' AND c[2] <= '59' THEN {_micros('c')} END"
+    week_day = let_sql(
+        f"try_cast(concat({part}[0], '-01-04') AS date)",
+        "j",
+        f"CASE WHEN {exists} THEN date_add({monday}, 7 * {week} + {weekday} - 8) END",
     )
-    local = let_sql(_groups(f"{cut}[3]", _CLOCK, 4), "c", clock)
-    offset = let_sql(_groups(f"{cut}[5]", _OFFSET, 4), "o", _micros("o"))
-    signed = let_sql(
-        offset, "z", f"CASE WHEN z < {_DAY_MICROS} THEN IF({cut}[4] = '-', -z, z) END"
+    day = f"CASE WHEN {part}[3] = '' THEN {calendar} ELSE {week_day} END"
+    return let_sql(
+        f"CASE WHEN {part}[0] >= '0001' THEN {day} END",
+        "x",
+        "CASE WHEN year(x) BETWEEN 1 AND 9999 THEN unix_date(x) END",
     )
-    return f"{day} * {_DAY_MICROS} + {local} - {signed}"
 
 
 def iso_micros_sql(value: str) -> str:
     """SQL for the microseconds of an ISO 8601 text with an offset, else null."""
-    zulu = f"IF({value} RLIKE r'(?s)[Zz]\\z', concat(left({value}, length({value}) - 1), '+00:00'), {value})"
-    calendar = let_sql(_groups("s", _CALENDAR, 6), "d", _instant("d", _day("d")))
-    week = let_sql(_groups("s", _WEEK, 6), "d", _instant("d", _week_day("d")))
-    chosen = f"CASE WHEN s RLIKE r'\\A[0-9]{{4}}-?W' THEN {week} ELSE {calendar} END"
-    return let_sql(zulu, "s", chosen)
+    # A line break can only be a separator or a stray character; any letter reads alike.
+    flat = f"translate({value}, '\\n', 'x')"
+    zulu = f"IF({flat} RLIKE r'[Zz]\\z', concat(left({flat}, length({flat}) - 1), '+00:00'), {flat})"
+    clock = let_sql(
+        _parts("p[5]", _CLOCK, _CLOCK_PARTS),
+        "c",
+        f"CASE WHEN c[0] <= '23' AND c[1] <= '59' AND c[2] <= '59' THEN {_micros('c')} END",
+    )
+    offset = let_sql(
+        let_sql(_parts("p[7]", _OFFSET, _CLOCK_PARTS), "o", _micros("o")),
+        "z",
+        f"CASE WHEN z < {_DAY_MICROS} THEN IF(p[6] = '-', -z, z) END",
+    )
+    instant = f"{_day('p')} * {_DAY_MICROS} + {clock} - {offset}"
+    return let_sql(let_sql(zulu, "s", _parts("s", _TEXT, _TEXT_PARTS)), "p", instant)
 
 
 def iso_micros(texts: str) -> Column:

@@ -95,25 +95,20 @@ def fields_sql(pieces: str) -> str:
             THEN concat(lower(substring_index(h, '%', 1)), substring(h, instr(h, '%')))
             ELSE lower(h) END""",
     )
-    number = let_sql(
-        port,
-        "t",
-        """named_struct(
-            'ok', t = '' OR (t RLIKE r'\\A0*[0-9]{1,5}\\z'
-                AND coalesce(try_cast(right(t, 5) AS int) <= 65535, false)),
-            'port', CASE WHEN t RLIKE r'\\A0*[0-9]{1,5}\\z' THEN try_cast(right(t, 5) AS int) END)""",
-    )
+    checks = f"""named_struct(
+        'port_text', {port}, 'netloc_ok', {netloc_valid_sql(netloc)}, 'host', {lowered})"""
+    port_number = "IF(n.port_text RLIKE r'\\A0*[0-9]{1,5}\\z', CAST(right(n.port_text, 5) AS int), -1)"
     return let_sql(
-        number,
+        checks,
         "n",
         f"""named_struct(
             'scheme', lower({pieces}[0]), 'netloc', {netloc}, 'path', {pieces}[2],
             'query', {pieces}[3], 'fragment', {pieces}[4],
             'has_userinfo', contains({netloc}, '@'),
-            'host', nullif({lowered}, ''),
-            'port', CASE WHEN n.ok THEN n.port END,
-            'netloc_valid', {netloc_valid_sql(netloc)},
-            'valid', n.ok AND {netloc_valid_sql(netloc)})""",
+            'host', nullif(n.host, ''),
+            'port', IF({port_number} BETWEEN 0 AND 65535, {port_number}, NULL),
+            'netloc_valid', n.netloc_ok,
+            'valid', n.netloc_ok AND (n.port_text = '' OR {port_number} BETWEEN 0 AND 65535))""",
     )
 
 

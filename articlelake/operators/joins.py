@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from articlelake.functions.staging import once
+
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 5_000_000
@@ -40,6 +42,8 @@ def lookup_join(
 
     Beyond the bound the join shuffles and spreads hot keys (``skewed_left_join``).
     """
+    # A settled key keeps the optimizer from tracing it through the whole plan below.
+    left = once(left, key)
     if fits_broadcast(right, max_rows=max_rows, max_bytes=max_bytes):
         return left.join(F.broadcast(right), key, "left")
     if left.isStreaming:

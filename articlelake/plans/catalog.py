@@ -23,7 +23,7 @@ from articlelake.operators import (
 )
 from articlelake.plans import crawl, derived
 from articlelake.plans.derived import AGENT, table
-from articlelake.session import prepare, scratch_folder
+from articlelake.session import prepare, scratch_folder, stored
 from articlelake.sources import schemas, tables
 from articlelake.streaming import articles as streaming
 
@@ -45,16 +45,19 @@ def _pages_with_url(spark: SparkSession, folder: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    rules = robots.rules_for_agent(
-        robots.robots_rules(derived.document_robots(spark, folder)), AGENT
-    )
+    return crawl.crawl_captures(derived.captures(documents), *_document_lookups(spark, folder))
+
+
+def _document_lookups(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Stored snapshots of the robots rules and the profile hosts of all documents."""
+    rules = robots.robots_rules(derived.document_robots(spark, folder))
     hosts = profiles.profile_hosts(derived.document_profiles(spark, folder))
-    return crawl.crawl_captures(derived.captures(documents), rules, hosts)
+    return stored(robots.rules_for_agent(rules, AGENT), "robots"), stored(hosts, "hosts")
 
 
 def _page_hosts_table(spark: SparkSession, folder: str, *, include_disabled: bool) -> DataFrame:
     declared = profiles.validate_profiles(derived.page_profiles(spark, folder))
-    return profiles.profile_hosts(declared, include_disabled=include_disabled)
+    return stored(profiles.profile_hosts(declared, include_disabled=include_disabled), "hosts")
 
 
 # --- requests, URLs and hosts ---------------------------------------------------------
@@ -143,7 +146,7 @@ def source_resolution(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def profile_lookups(spark: SparkSession, folder: str) -> DataFrame:
     """Lookup by URL, by host in another spelling, and by source name, per page."""
-    declared = profiles.validate_profiles(derived.page_profiles(spark, folder))
+    declared = stored(profiles.validate_profiles(derived.page_profiles(spark, folder)), "profiles")
     hosts = profiles.profile_hosts(declared).select("profile_host", F.col("source").alias("found"))
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     pages = table(spark, folder, "pages").select(
@@ -251,7 +254,8 @@ def robots_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def robots_decisions(spark: SparkSession, folder: str) -> DataFrame:
-    rules = robots.rules_for_agent(robots.robots_rules(derived.page_robots(spark, folder)), AGENT)
+    snapshot = robots.robots_rules(derived.page_robots(spark, folder))
+    rules = stored(robots.rules_for_agent(snapshot, AGENT), "robots")
     pages = robots.with_origin(table(spark, folder, "pages").select("page_id", "url"), "url")
     return robots.decide(pages, "url", rules).select("page_id", "robots_reason")
 
@@ -601,8 +605,7 @@ def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:
             F.when(F.col("position") % 9 == 0, F.lit("InvalidURL")).alias("error_class"),
         )
     )
-    rules = robots.rules_for_agent(robots.robots_rules(derived.document_robots(spark, folder)), AGENT)
-    hosts = profiles.profile_hosts(derived.document_profiles(spark, folder))
+    rules, hosts = _document_lookups(spark, folder)
     outcomes = crawl.crawl(requests, responses, rules, hosts, attempts=log)
     return outcomes.groupBy(
         F.coalesce("stage", F.lit("accepted")).alias("stage"),
@@ -711,10 +714,7 @@ def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
         .option("pathGlobFilter", "documents.parquet")
         .parquet(folder)
     )
-    rules = robots.rules_for_agent(
-        robots.robots_rules(derived.document_robots(spark, folder)), AGENT
-    )
-    hosts = profiles.profile_hosts(derived.document_profiles(spark, folder))
+    rules, hosts = _document_lookups(spark, folder)
     outcomes = streaming.stream_outcomes(derived.captures(landing), rules, hosts)
     base = scratch_folder(spark, "stream")
     streaming.write_stream(outcomes, f"{base}/outcomes", f"{base}/state").awaitTermination()

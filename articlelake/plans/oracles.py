@@ -79,7 +79,7 @@ ranked AS (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY outcome IS NULL, attempt_no) AS rank,
         max(attempt_no) OVER (PARTITION BY request_id) AS seen
     FROM endings)
-SELECT request_id, coalesce(CASE WHEN outcome IS NOT NULL THEN attempt_no END, seen) AS attempts_used,
+SELECT request_id, coalesce(CASE WHEN outcome IS NOT NULL THEN attempt_no END, seen)::INTEGER AS attempts_used,
     coalesce(outcome, 'incomplete') AS outcome,
     CASE WHEN outcome IS NOT NULL THEN status END AS final_status,
     CASE coalesce(CASE WHEN outcome IS NOT NULL THEN attempt_no END, seen)
@@ -171,7 +171,7 @@ ORACLES: dict[str, str] = {
         SELECT page_id, url FROM pages WHERE NOT {_HTTPS} OR length({_HOST}) % 3 = 0""",
     "profile_conflicts": f"""
         WITH {_PROFILES}
-        SELECT 'source' AS kind, source AS value, 2 AS claims FROM profiles WHERE length(host) % 4 = 0
+        SELECT 'source' AS kind, source AS value, 2::BIGINT AS claims FROM profiles WHERE length(host) % 4 = 0
         UNION ALL SELECT 'host', host, 2 FROM profiles WHERE length(host) % 7 = 0
         UNION ALL SELECT 'host', 'alt.' || host, 2 FROM profiles WHERE length(host) % 7 = 0""",
     "profile_validation": f"""
@@ -212,7 +212,7 @@ ORACLES: dict[str, str] = {
         {_ENDINGS}""",
     "backoff_schedule": f"""
         WITH {_ATTEMPTS}
-        SELECT request_id, attempt_no,
+        SELECT request_id, attempt_no::INTEGER AS attempt_no,
             CASE WHEN attempt_no = 1 THEN 0.0::DOUBLE
                 ELSE least(0.5 * pow(2, attempt_no - 2), 8.0)::DOUBLE END AS delay,
             CASE WHEN attempt_no = 1 THEN 0.0::DOUBLE
@@ -303,7 +303,7 @@ ORACLES: dict[str, str] = {
     "jsonld_limits": """
         SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 + 61 + 1 > 64 THEN 'jsonld_limits' END
             ELSE CASE WHEN 9994 + doc_id % 4 + 6 > 10000 THEN 'jsonld_limits' END END AS reason,
-            CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS candidates
+            (CASE WHEN reason IS NULL THEN 1 ELSE 0 END)::BIGINT AS candidates
         FROM documents""",
     "author_lists": f"""
         WITH words AS (

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Pages are large rows, so Arrow batches are kept short.
 _BATCH_ROWS = "256"
@@ -54,3 +54,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         shared = tempfile.mkdtemp(prefix="articlelake-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """Write a lookup table once to the shared scratch folder and read it back.
+
+    A lookup is measured and then joined; stored, it is computed once for both, and the
+    plans that use it start from a scan.
+    """
+    path = scratch_folder(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
