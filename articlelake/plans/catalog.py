@@ -22,7 +22,7 @@ from articlelake.operators import (
     robots,
 )
 from articlelake.plans import crawl, derived
-from articlelake.plans.derived import AGENT, table
+from articlelake.plans.derived import AGENT, spread_table, table
 from articlelake.session import prepare, scratch_folder, stored
 from articlelake.sources import schemas, tables
 from articlelake.streaming import articles as streaming
@@ -44,7 +44,7 @@ def _pages_with_url(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread_table(spark, folder, "documents", "doc_id")
     return crawl.crawl_captures(derived.captures(documents), *_document_lookups(spark, folder))
 
 
@@ -380,7 +380,7 @@ def _responses(spark: SparkSession, folder: str) -> DataFrame:
         doc % 13 == 12, F.create_map(F.lit("Server"), F.lit("x"))
     ).otherwise(F.create_map(F.lit("Server"), F.lit("x"), name, header))
     body = F.encode("text", "UTF-8")
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id").select(
         F.concat(F.lit("https://www.example.org/"), doc.cast("string")).alias("request_url"),
         F.concat(F.lit("https://www.example.org/final/"), doc.cast("string")).alias("final_url"),
         F.when(doc % 11 == 0, 404).when(doc % 11 == 1, 500).when(doc % 11 == 2, 204).otherwise(200).alias("status_code"),
@@ -426,7 +426,7 @@ def capture_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def page_language(spark: SparkSession, folder: str) -> DataFrame:
     """Pages per declared language, read from the whole page by the head pass."""
-    pages = table(spark, folder, "pages").select(metadata.page_meta(F.col("html")).alias("page"))
+    pages = spread_table(spark, folder, "pages", "page_id").select(metadata.page_meta(F.col("html")).alias("page"))
     language = text.language_tag(F.col("page.html_lang"))
     return pages.groupBy(language.alias("language")).agg(F.count(F.lit(1)).alias("pages"))
 
@@ -520,7 +520,7 @@ def jsonld_limits(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('<script type="application/ld+json">'), block, F.lit("</script><p>"),
         F.replace("text", F.lit("<"), F.lit("&lt;")),
     )
-    pages = table(spark, folder, "documents").select(
+    pages = spread_table(spark, folder, "documents", "doc_id").select(
         "doc_id", metadata.page_meta(html).alias("page")
     )
     return pages.select(
@@ -535,7 +535,7 @@ def author_lists(spark: SparkSession, folder: str) -> DataFrame:
     """Author shapes built from the words of each text."""
     words = F.filter(F.split(derived.flat_text(F.col("text")), " "), lambda word: word != "")
     named = F.transform(words, lambda word: F.concat(F.lit(" "), word, F.lit(" ")))
-    listed = table(spark, folder, "documents").select(
+    listed = spread_table(spark, folder, "documents", "doc_id").select(
         "doc_id", text.ordered_distinct_text(named).alias("names"), F.size(named).alias("given")
     )
     return listed.select(
@@ -586,7 +586,7 @@ def timestamp_forms(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     """The whole flow from separate tables: requests per stage and reason."""
-    pages = derived.captures(table(spark, folder, "documents"))
+    pages = derived.captures(spread_table(spark, folder, "documents", "doc_id"))
     responses = pages.select(
         F.col("url").alias("request_url"),
         "final_url",
@@ -639,7 +639,7 @@ def _toy_parser(document: dict):
 
 @query
 def document_items(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages").select(
+    pages = spread_table(spark, folder, "pages", "page_id").select(
         "page_id", F.col("url").alias("requested_url"), F.col("html").alias("content")
     )
     items = parsers.parse_documents(pages, _toy_parser, _ITEM, key="page_id")
@@ -649,7 +649,7 @@ def document_items(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def item_prefix(spark: SparkSession, folder: str) -> DataFrame:
     """Items before the first failure, those of the failing page included."""
-    pages = table(spark, folder, "pages").select(
+    pages = spread_table(spark, folder, "pages", "page_id").select(
         "page_id", F.col("url").alias("requested_url"), F.col("html").alias("content")
     )
     items = parsers.parse_documents(pages, _toy_parser, _ITEM, key="page_id")
@@ -664,7 +664,7 @@ def item_prefix(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def redact_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread_table(spark, folder, "documents", "doc_id").select(
         "doc_id", text.redact_text(F.col("text")).alias("text")
     )
 

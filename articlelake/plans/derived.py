@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from articlelake.functions.staging import once
 from articlelake.operators.profiles import ARTICLE_FAMILY
 
 AGENT = "Example-Agent/1.0 (+https://agent.example/about)"
@@ -20,6 +21,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """The same for tables of long texts: a table in fewer files than there are cores is
+    dealt out by key first, as one file may be one task. Larger tables stay unshuffled.
+    """
+    frame = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return frame if len(frame.inputFiles()) >= cores else frame.repartition(cores, key)
+
+
 def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     return table(spark, folder, "pages").select(host.alias("host")).distinct()
@@ -135,10 +145,12 @@ def _script(block: Column) -> Column:
 
 def captures(documents: DataFrame) -> DataFrame:
     """One captured page per document, shaped by ``doc_id % 16``."""
+    # Long texts are settled step by step, so that each is made once.
+    documents = once(documents.withColumn("_flat", flat_text(F.col("text"))), "_flat")
     shape, doc = F.col("doc_id") % SHAPES, F.col("doc_id").cast("string")
     site = F.concat(F.lit("https://www."), F.col("source"), F.lit(".example/"))
     canonical = F.concat(site, F.lit("a/"), doc)
-    flat = flat_text(F.col("text"))
+    flat = F.col("_flat")
     title = F.concat(F.lit("No. "), doc, F.lit(": "), F.left(flat, F.lit(60)))
     instant = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 61)
     fraction = F.when(F.col("doc_id") % 3 == 0, F.lit(".25")).otherwise(F.lit(""))
@@ -186,6 +198,8 @@ def captures(documents: DataFrame) -> DataFrame:
         _field("inLanguage", F.when(shape == 15, F.lit('"EN-us"')).when(shape != 4, _json(F.col("lang")))),
         F.lit('"publisher":{"name":"Not an author"}}'),
     )
+    noded = once(documents.withColumn("_node_json", node), "_node_json")
+    node = F.col("_node_json")
     other = F.concat(
         F.lit('{"@type":"Article","url":'), _json(F.concat(site, F.lit("other"))),
         F.lit(',"headline":"Other"}'),
@@ -206,7 +220,7 @@ def captures(documents: DataFrame) -> DataFrame:
         blocks,
         F.lit("</head><body><p>"), _attribute(F.col("text")), F.lit("</p></body></html>"),
     )
-    return documents.select(
+    return noded.select(
         F.col("doc_id").alias("position"),
         F.concat(site, F.when(F.col("doc_id") % 25 == 24, F.lit("closed/")).otherwise(F.lit("r/")), doc).alias("url"),
         canonical.alias("final_url"),
