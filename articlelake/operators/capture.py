@@ -46,11 +46,13 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
+def attach_responses(
+    requests: DataFrame, responses: DataFrame, *, hot: DataFrame | None = None
+) -> DataFrame:
     """Each request with its captured response (nulls when there is none).
 
-    ``responses`` holds one row per ``request_url``; see ``first_responses``. Hot URLs
-    are salted, so a list that repeats one URL many times still spreads.
+    ``responses`` holds one row per ``request_url``; see ``first_responses``. ``hot``
+    lists the URLs that very many requests repeat (``joins.hot_keys``); they are salted.
     """
     right = responses.select(
         F.col("request_url").alias("url"),
@@ -60,7 +62,7 @@ def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
         F.col("body").alias("response_body"),
         F.coalesce("elapsed", F.lit(0.0)).alias("elapsed"),
     )
-    return skewed_left_join(requests, right, "url", spread="position")
+    return skewed_left_join(requests, right, "url", spread="position", hot=hot)
 
 
 def first_responses(responses: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from articlelake.functions.staging import once
+from articlelake.session import stored
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
@@ -32,7 +33,7 @@ def lookup_join(
     right: DataFrame,
     key: str,
     *,
-    spread: Column | str,
+    spread: str,
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
@@ -48,7 +49,25 @@ def lookup_join(
         return left.join(F.broadcast(right), key, "left")
     if left.isStreaming:
         return left.join(right, key, "left")
-    return skewed_left_join(left, right, key, spread=spread, hot_rows=hot_rows, salts=salts)
+    hot = hot_keys(left, key, hot_rows=hot_rows)
+    return skewed_left_join(left, right, key, spread=spread, hot=hot, salts=salts)
+
+
+def hot_keys(frame: DataFrame, key: str, *, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with over ``hot_rows`` rows as a stored table, or None when there is none.
+
+    Counts combine inside each task before they are shuffled. The table holds at most
+    (rows / hot_rows) keys, which bounds what is broadcast.
+    """
+    hot = stored(
+        frame.where(F.col(key).isNotNull())
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > hot_rows)
+        .select(key, F.lit(True).alias("_hot")),
+        "hot-keys",
+    )
+    return None if hot.isEmpty() else hot
 
 
 def skewed_left_join(
@@ -56,32 +75,34 @@ def skewed_left_join(
     right: DataFrame,
     key: str,
     *,
-    spread: Column | str,
-    hot_rows: int = HOT_ROWS,
+    spread: str,
+    hot: DataFrame | None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Shuffled left join in which keys with over ``hot_rows`` rows are salted.
+    """Shuffled left join on a string key in which the ``hot`` keys are salted.
 
-    ``spread`` decides the salt of a left row; it must come from the row, so that a
-    task that runs again gives the same salt. Null keys match nothing and are spread
-    too. Only the right rows of hot keys are copied. The list of hot keys is broadcast:
-    it holds at most (left rows / hot_rows) keys.
+    ``spread`` names the left column that decides the salt; it comes from the row, so a
+    task that runs again gives the same salt. Only the right rows of hot keys are
+    copied. Null keys match nothing, and are spread by the same column. Without hot keys
+    the join uses the key alone, and so reuses a partitioning that ``right`` already has.
     """
-    spread = F.col(spread) if isinstance(spread, str) else spread
-    hot = (
-        left.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    salted_left = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot") | F.col(key).isNull(), salt).otherwise(F.lit(0)),
+    marked = F.concat(F.lit("\x00"), F.xxhash64(spread).cast("string"))
+    keyed = left.withColumn("_left_key", F.coalesce(F.col(key), marked))
+    renamed = right.withColumnRenamed(key, "_right_key")
+    match = (F.col("_left_key") == F.col("_right_key")) & F.col(key).isNotNull()
+    if hot is not None:
+        salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+        keyed = keyed.join(F.broadcast(hot), key, "left").withColumn(
+            "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
+        )
+        copies = F.when(
+            F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))
+        ).otherwise(F.array(F.lit(0)))
+        renamed = renamed.join(
+            F.broadcast(hot.withColumnRenamed(key, "_right_key")), "_right_key", "left"
+        ).withColumn("_right_salt", F.explode(copies))
+        keyed, renamed = keyed.drop("_hot"), renamed.drop("_hot")
+        match = match & (F.col("_salt") == F.col("_right_salt"))
+    return keyed.join(renamed, match, "left").drop(
+        "_left_key", "_right_key", "_salt", "_right_salt"
     )
-    copies = F.when(
-        F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
-    return salted_left.drop("_hot").join(salted_right.drop("_hot"), [key, "_salt"], "left").drop("_salt")

@@ -595,7 +595,9 @@ def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         F.col("response_body").alias("body"),
         F.lit(0.5).alias("elapsed"),
     ).where(F.col("request_url").endswith("7") == F.lit(False))
-    requests = pages.select("position", "url")
+    requests = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("position"), derived.page_url().alias("url")
+    )
     log = attempts.resolve_attempts(
         requests.select(
             F.col("position").alias("request_id"),

@@ -1,8 +1,8 @@
 """The whole flow: requests and captures in, one outcome per request out.
 
 The same columns serve batch and stream. Cheap checks and both lookups run on the
-narrow request rows; page bytes join afterwards, only for requests that may be fetched,
-and only pages that can still become articles reach the Python pass.
+narrow request rows, and so does the attempt log; page bytes join afterwards, once, only
+for requests that may be fetched; and only pages that can still become articles reach the Python pass.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from articlelake.functions.staging import once
 from articlelake.operators import capture, metadata, profiles, robots
+from articlelake.operators.joins import hot_keys
 from articlelake.operators.parsers import FAMILIES
 from articlelake.sources.schemas import ARTICLE_COLUMNS, STAGE_OF_REASON
 from articlelake.sources.tables import requests_from
@@ -30,12 +31,17 @@ def check_requests(
     )
 
 
-def attach(checked: DataFrame, responses: DataFrame) -> DataFrame:
+def attach(
+    checked: DataFrame, responses: DataFrame, *, hot: DataFrame | None = None
+) -> DataFrame:
     """Join page bytes to the requests that may be fetched (``first_responses`` form)."""
-    keyed = checked.withColumn(
-        "_requested", F.col("url")
-    ).withColumn("url", F.when(F.col("early_reason").isNull(), F.col("url")))
-    joined = capture.attach_responses(keyed, responses)
+    refused = F.coalesce(
+        "early_reason", *[name for name in ("transport_reason",) if name in checked.columns]
+    )
+    keyed = checked.withColumn("_requested", F.col("url")).withColumn(
+        "url", F.when(refused.isNull(), F.col("url"))
+    )
+    joined = capture.attach_responses(keyed, responses, hot=hot)
     return joined.withColumn("url", F.col("_requested")).drop("_requested")
 
 
@@ -117,11 +123,11 @@ def crawl(
     comes from ``robots.rules_for_agent``, ``hosts`` from ``profiles.profile_hosts`` and
     ``attempts`` (optional) from ``resolve_attempts`` with the position as request id.
     """
-    joined = attach(check_requests(requests, agent_rules, hosts, idna=idna), responses)
+    checked = check_requests(requests, agent_rules, hosts, idna=idna)
     if attempts is not None:
         reasons = transport_reasons(attempts).withColumnRenamed("request_id", "position")
-        joined = joined.join(reasons, "position", "left")
-    return parse(decode(joined))
+        checked = checked.join(reasons, "position", "left")
+    return parse(decode(attach(checked, responses, hot=hot_keys(requests, "url"))))
 
 
 def crawl_captures(

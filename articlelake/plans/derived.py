@@ -143,6 +143,14 @@ def _script(block: Column) -> Column:
     return F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))
 
 
+def page_url() -> Column:
+    """The URL of a document's page; every 25th lies in the closed folder."""
+    folder = F.when(F.col("doc_id") % 25 == 24, F.lit("closed/")).otherwise(F.lit("r/"))
+    return F.concat(
+        F.lit("https://www."), F.col("source"), F.lit(".example/"), folder, F.col("doc_id").cast("string")
+    )
+
+
 def captures(documents: DataFrame) -> DataFrame:
     """One captured page per document, shaped by ``doc_id % 16``."""
     # Long texts are settled step by step, so that each is made once.
@@ -222,7 +230,7 @@ def captures(documents: DataFrame) -> DataFrame:
     )
     return noded.select(
         F.col("doc_id").alias("position"),
-        F.concat(site, F.when(F.col("doc_id") % 25 == 24, F.lit("closed/")).otherwise(F.lit("r/")), doc).alias("url"),
+        page_url().alias("url"),
         canonical.alias("final_url"),
         F.lit(200).alias("status_code"),
         F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("response_headers"),

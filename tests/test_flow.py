@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articlelake.operators import attempts, capture, identity, logs, parsers, profiles, robots
+from articlelake.operators.joins import hot_keys
 from articlelake.plans import crawl
 from articlelake.session import scratch_folder
 from articlelake.sources import schemas, tables
@@ -212,17 +213,18 @@ def test_crawl_gives_one_outcome_per_request(spark):
     assert set(crawl.articles(outcomes).columns) == {"position", *schemas.ARTICLE_COLUMNS}
 
 
-def test_salted_response_join_keeps_every_row(spark, monkeypatch):
+def test_salted_response_join_keeps_every_row(spark):
     requests, responses, _, _ = inputs(spark)
-    plain = capture.attach_responses(requests, responses).select("position", "url", "final_url")
-    original = capture.skewed_left_join
-    monkeypatch.setattr(
-        capture, "skewed_left_join",
-        lambda *args, **options: original(*args, **options, hot_rows=5, salts=4),
-    )
-    salted = capture.attach_responses(requests, responses).select("position", "url", "final_url")
-    assert salted.count() == 60
+    requests = requests.withColumn("url", F.when(F.col("position") % 7 > 0, F.col("url")))
+    assert hot_keys(requests, "url", hot_rows=1000) is None
+    hot = hot_keys(requests, "url", hot_rows=5)
+    assert [row["url"] for row in hot.collect()] == ["https://news.example/articles/one"]
+    columns = ["position", "url", "final_url"]
+    plain = capture.attach_responses(requests, responses).select(*columns)
+    salted = capture.attach_responses(requests, responses, hot=hot).select(*columns)
+    assert plain.count() == salted.count() == 60
     assert plain.exceptAll(salted).count() == 0
+    assert plain.where("url is null and final_url is not null").count() == 0
 
 
 def test_stream_equals_batch(spark):
