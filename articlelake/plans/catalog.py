@@ -748,7 +748,7 @@ def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
     )
     base = scratch_folder(spark, "robots")
     streaming.write_robots_snapshots(captures, f"{base}/rules", f"{base}/state").awaitTermination()
-    snapshot = spark.read.parquet(f"{base}/rules")
+    snapshot = streaming.read_robots_snapshot(spark, f"{base}/rules")
     return robots.rules_for_agent(snapshot, AGENT).select(
         "origin", F.col("robots_policy").alias("policy"), F.size("robots_rules").cast("long").alias("rules")
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from articlelake.plans import crawl
 from articlelake.operators.robots import robots_rules
+from articlelake.plans import crawl
 
 
 def stream_outcomes(
@@ -30,22 +32,45 @@ def write_stream(frame: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     )
 
 
-def first_robots_captures(captures: DataFrame) -> DataFrame:
-    """The first captured file of every origin; the state holds the origins seen."""
-    return captures.dropDuplicates(["origin"])
-
-
 def write_robots_snapshots(captures: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Parse each origin's first file and append its rules to the snapshot table."""
+    """Keep the first usable robots file of every origin in a growing snapshot table.
+
+    Each batch is first reduced to one file per origin inside its tasks, so that a busy
+    origin costs one row in the shuffle, and then leaves out the origins already stored.
+    The stored table is the state: it grows by origins, not by captures. A failed file
+    is stored as well, but does not keep a later usable one out.
+    """
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        rules = robots_rules(batch)
+        earlier = _stored_snapshots(batch.sparkSession, path)
+        if earlier is not None:
+            known = earlier.where((F.col("batch") < batch_id) & (F.col("policy") != "error"))
+            rules = rules.join(known.select("origin"), "origin", "left_anti")
         # A batch that is repeated after a failure replaces its own folder.
-        robots_rules(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rules.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        first_robots_captures(captures)
-        .writeStream.option("checkpointLocation", checkpoint)
+        captures.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(append)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def _stored_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def read_robots_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """One row per origin: the first usable rules, else the first failure."""
+    order = F.struct(F.col("policy") == "error", "batch")
+    return (
+        spark.read.parquet(path)
+        .groupBy("origin")
+        .agg(F.min_by(F.struct("policy", "reason", "groups"), order).alias("_first"))
+        .select("origin", "_first.*")
+    )

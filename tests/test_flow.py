@@ -245,3 +245,41 @@ def test_stream_equals_batch(spark):
 def test_default_profiles_are_sound(spark):
     rows = profiles.registry(tables.default_profiles(spark)).collect()
     assert [(row["enabled"], len(row["domains"])) for row in rows] == [(True, 1), (False, 3)]
+
+
+def test_robots_stream_keeps_the_first_usable_file(spark):
+    base = scratch_folder(spark, "robots-test")
+    body, other = b"User-agent: *\nDisallow: /a", b"User-agent: *\nDisallow: /b\nDisallow: /c"
+    batches = [
+        [("https://a.example", 200, body), ("https://b.example", 500, b"")],
+        [("https://a.example", 200, other), ("https://b.example", 200, other)],
+        [("https://b.example", 200, body), ("https://c.example", 404, b"")],
+    ]
+    for number, rows in enumerate(batches):
+        frame = spark.createDataFrame([(*row, datetime(2026, 1, 1)) for row in rows], schemas.ROBOTS)
+        frame.coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        landing = tables.stream_table(spark, f"{base}/landing", schemas.ROBOTS)
+        streaming.write_robots_snapshots(landing, f"{base}/rules", f"{base}/state").awaitTermination()
+    rows = streaming.read_robots_snapshot(spark, f"{base}/rules").collect()
+    found = {row["origin"]: (row["policy"], len((row["groups"] or [{"rules": []}])[0]["rules"])) for row in rows}
+    assert found == {
+        "https://a.example": ("rules", 1), "https://b.example": ("rules", 2), "https://c.example": ("allow_all", 0),
+    }
+
+
+def test_sinks_round_trip(spark):
+    base = scratch_folder(spark, "sinks-test")
+    requests, responses, rules, hosts = inputs(spark, 12)
+    outcomes = crawl.write_outcomes(crawl.crawl(requests, responses, rules, hosts), f"{base}/outcomes")
+    tables.write_articles(crawl.articles(outcomes), f"{base}/processed")
+    tables.write_failed(crawl.failed(outcomes), f"{base}/failed")
+    articles = tables.read_table(spark, f"{base}/processed", schemas.ARTICLES + ", position bigint")
+    assert {row["published_at"] for row in articles.collect()} == {datetime(2026, 8, 6, 5, 30)}
+    reasons = spark.read.parquet(f"{base}/failed").groupBy("reason_code").count().collect()
+    assert sum(row["count"] for row in reasons) + articles.count() == 12
+
+
+def test_raw_dumps_are_read_as_bytes(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<html>\xff")
+    (row,) = tables.read_raw_dumps(spark, str(tmp_path), "*.html").collect()
+    assert bytes(row["body"]) == b"<html>\xff"
