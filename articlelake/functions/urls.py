@@ -127,15 +127,18 @@ def url_fields(pieces: str) -> Column:
     return F.expr(fields_sql(pieces))
 
 
-def with_url(frame: DataFrame, url: str, name: str) -> DataFrame:
-    """Add the struct ``name`` with the parts of column ``url``.
+def with_urls(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Add one struct of URL parts per entry of ``names`` (struct name to URL column).
 
-    Two projections, so that the optimizer keeps the cut as one shared value.
+    Two projections, so that the optimizer keeps each cut as one shared value.
     """
-    cut = f"_{name}_cut"
-    return (
-        frame.withColumn(cut, url_cut(F.col(url))).withColumn(name, url_fields(cut)).drop(cut)
-    )
+    cuts = {name: f"_{name}_cut" for name in names}
+    cut = frame.withColumns({cuts[name]: url_cut(F.col(url)) for name, url in names.items()})
+    return cut.withColumns({name: url_fields(cuts[name]) for name in names}).drop(*cuts.values())
+
+
+def with_url(frame: DataFrame, url: str, name: str) -> DataFrame:
+    return with_urls(frame, {name: url})
 
 
 def with_first_image(frame: DataFrame, images: Column, name: str) -> DataFrame:

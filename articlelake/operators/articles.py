@@ -22,6 +22,7 @@ from articlelake.functions.urls import (
     page_url_reason,
     with_first_image,
     with_url,
+    with_urls,
 )
 from articlelake.operators.profiles import article_source
 from articlelake.sources.schemas import ARTICLE_COLUMNS
@@ -83,8 +84,8 @@ def build_articles(
     selected = identified.withColumns(
         {"_node": chosen, "_select_reason": select_reason}
     ).withColumn("_canonical", F.coalesce(page_identity, candidate_identity(F.col("_node"))))
-    addressed = with_url(
-        with_url(selected, "_canonical", "_canonical_url"), requested_url, "_requested_url"
+    addressed = with_urls(
+        selected, {"_canonical_url": "_canonical", "_requested_url": requested_url}
     )
 
     node = F.col("_node")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from articlelake.functions.hosts import IPV4
 from articlelake.functions.text import has_control
-from articlelake.functions.urls import with_url
+from articlelake.functions.urls import with_urls
 
 # Product names that must not be imitated, and the length limit.
 IMITATED = (
@@ -77,7 +77,7 @@ def audit_identities(identities: DataFrame) -> DataFrame:
         )
         .when(F.length(agent) > MAX_USER_AGENT, F.lit("user_agent_too_long"))
     )
-    parts = with_url(with_url(identities, "project_url", "_project"), "contact", "_contact")
+    parts = with_urls(identities, {"_project": "project_url", "_contact": "contact"})
     return (
         parts.withColumn("user_agent", agent)
         .withColumn("identity_reason", reason)
