@@ -1,4 +1,4 @@
-"""Session helpers: shipping the package, batch sizes and the shared scratch folder."""
+"""Session helpers: shipping the package and the shared scratch folder."""
 
 from __future__ import annotations
 
@@ -9,22 +9,12 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Pages are large rows, so Arrow batches are kept short.
-_BATCH_ROWS = "256"
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_DEFAULT_BATCH = "10000"
-
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable on executors and size Arrow batches for pages.
-
-    A batch size that was set by the user stays.
-    """
+    """Make the package importable on executors. No other setting of the session changes."""
     if spark.conf.get("spark.articlelake.shipped", "") != spark.sparkContext.applicationId:
         spark.sparkContext.addPyFile(_package_zip())
         spark.conf.set("spark.articlelake.shipped", spark.sparkContext.applicationId)
-    if spark.conf.get(_BATCH_CONF) == _DEFAULT_BATCH:
-        spark.conf.set(_BATCH_CONF, _BATCH_ROWS)
     return spark
 
 
@@ -56,12 +46,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a lookup table once to the shared scratch folder and read it back.
 
     A lookup is measured and then joined; stored, it is computed once for both, and the
     plans that use it start from a scan.
     """
     path = scratch_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", compression).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
