@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from articlelake.session import scratch_folder
 
-from . import huffman_files, main_text, packing
+from . import huffman_files, main_text, mixing, packing, quotient_filter, winnowing
 from .tables import read, stored
 
 
@@ -31,5 +31,19 @@ def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(found)
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_huffman_ids, op3_best_fit)}
+def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    marked = quotient_filter.mark_copies(docs)
+    return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
+def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.with_neighbours(read(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_huffman_ids, op3_best_fit, op6_exact_dedup, op8_mixing, op10_winnowing)}
 ORACLES: dict[str, str] = {}

@@ -35,7 +35,7 @@ class _Powers:
         return self.up[:size], self.down[:size]
 
 
-_powers = _Powers()
+powers = _Powers()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -48,7 +48,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = _powers.upto(len(data))
+    up, down = powers.upto(len(data))
     total = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up)])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
