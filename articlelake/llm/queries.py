@@ -7,7 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from articlelake.session import scratch_folder
 
-from . import huffman_files, main_text, mixing, packing, quotient_filter, winnowing
+from . import (
+    byte_network,
+    huffman_files,
+    main_text,
+    mixing,
+    ngram_join,
+    packing,
+    quotient_filter,
+    winnowing,
+)
 from .tables import read, stored
 
 
@@ -31,12 +40,20 @@ def op3_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(found)
 
 
+def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(read(spark, folder, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     marked = quotient_filter.mark_copies(docs)
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_network.score_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
@@ -45,5 +62,17 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.with_neighbours(read(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_huffman_ids, op3_best_fit, op6_exact_dedup, op8_mixing, op10_winnowing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_main_text,
+        op2_huffman_ids,
+        op3_best_fit,
+        op4_ngram_join,
+        op6_exact_dedup,
+        op7_quality,
+        op8_mixing,
+        op10_winnowing,
+    )
+}
 ORACLES: dict[str, str] = {}
