@@ -15,6 +15,7 @@ from . import (
     ngram_join,
     packing,
     quotient_filter,
+    toxicity,
     winnowing,
 )
 from .tables import read, stored
@@ -44,6 +45,10 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join(read(spark, folder, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     marked = quotient_filter.mark_copies(docs)
@@ -69,6 +74,7 @@ QUERIES = {
         op2_huffman_ids,
         op3_best_fit,
         op4_ngram_join,
+        op5_toxicity,
         op6_exact_dedup,
         op7_quality,
         op8_mixing,
