@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ WIDTH, STRIDE, CHUNK = 8, 4, 512
 VECTOR, FILTERS = 8, 48
 MAX_ROWS, MAX_BYTES = 3000, 1 << 16
 EPOCHS, BATCH, RATE = 10, 32, 0.004
+THRESHOLD = 0.3
 #: Half chunks that are scored at once, so a very long text needs no more memory.
 STRETCH = 2048
 _HALF = CHUNK // 2
@@ -175,11 +177,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable: Column
     return sorted(found.limit(max_rows).collect(), key=lambda r: (r["doc_id"], r["text"]))
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Network:
+    """A network fitted on labelled rows outside the held-out part."""
+    rows = training_rows(docs, labels, "quality", ~held_out(F.col("doc_id"), 5, 0), max_rows, max_bytes)
+    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.float32))
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
-    test = held_out(F.col("doc_id"), 5, 0)
-    rows = training_rows(docs, labels, "quality", ~test, max_rows, max_bytes)
-    net = fit([r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.float32))
+    net = trained(docs, labels)
 
     def start():
         def score(doc_id, text):
@@ -188,4 +194,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ma
         return score
 
     scored = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), start, "doc_id long, score double")
+    test = held_out(F.col("doc_id"), 5, 0)
     return scored.select("doc_id", test.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents whose score reaches the threshold, with all their columns."""
+    net = trained(docs, labels)
+
+    def scores(texts: pa.Array) -> pa.Array:
+        return pa.array([net.score(t) for t in texts.to_pylist()], type=pa.float64())
+
+    return docs.filter(F.arrow_udf(scores, "double")(text_or_empty()) >= threshold)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from articlelake.session import scratch_folder
 
 from . import (
     byte_network,
     huffman_files,
+    line_dedup,
     main_text,
     mixing,
     ngram_join,
@@ -63,6 +65,13 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(read(spark, folder, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(read(spark, folder, "documents"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_kept", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
 def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.with_neighbours(read(spark, folder, "documents"))
 
@@ -78,6 +87,7 @@ QUERIES = {
         op6_exact_dedup,
         op7_quality,
         op8_mixing,
+        op9_line_dedup,
         op10_winnowing,
     )
 }
