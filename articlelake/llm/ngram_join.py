@@ -41,7 +41,7 @@ SHORT_LIST = 48
 #: Leaders that long lists are compared with before blocks are paired.
 LEADER_ROUNDS = 2
 #: Pairs of one set that are verified in one task.
-PAIRS_PER_TASK = 5000
+PAIRS_PER_TASK = 1000
 #: Shingles that a task holds before it passes them on.
 HELD = 1 << 21
 
