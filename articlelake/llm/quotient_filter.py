@@ -105,11 +105,13 @@ def repeated(fingerprints: DataFrame, shard_bits: int) -> DataFrame:
         held: list[int] = []
 
         def close():
+            if not held:
+                return
             values = np.array(held, dtype=np.int64).view(np.uint64)
             held.clear()
             values, counts = np.unique(values, return_counts=True)
             shards = (values >> np.uint64(width)).astype(np.int64)
-            cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(values) else []
+            cuts = np.flatnonzero(np.append(True, shards[1:] != shards[:-1]))
             for begin, end in zip(cuts, [*cuts[1:], len(values)], strict=True):
                 inner = values[begin:end] & np.uint64((1 << width) - 1)
                 part = CountingQuotientFilter.build(width, inner, counts[begin:end])
