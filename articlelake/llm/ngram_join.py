@@ -6,12 +6,14 @@
 2. Rare shingles first, a set's prefix is so long that two linked sets share a shingle of
    both prefixes. Sets with equal shingles are one set. Shingles that occur once get no list.
 3. Short lists give pairs, skipped by size and by position in the prefix.
-4. In long lists each set is first compared with one leader. Linked sets form components.
-   A list whose sets are all in one component is done. In the others, sets are kept in
+4. In long lists each set is first compared with the first of a few random small crews, then
+   with one leader, the set of the list with most links. Linked sets form components. A list
+   whose sets are all in one component is done. In the others, sets are kept in
    blocks by component, size, position and distance to the leader, and pairs of blocks are
    skipped when their positions, or the answers already computed for the leader, rule a
-   link out: |s & t| <= min(|s & l|, |t & l|) + min(|s - l|, |t - l|). The pairs that are
-   left are verified, so no link between two components is lost, and pairs inside a
+   link out: |s & t| <= min(|s & l|, |t & l|) + min(|s - l|, |t - l|). For pairs of sets the
+   answer is derived more closely from their differences to the leader. Pairs that may still
+   be links are verified, so no link between two components is lost, and pairs inside a
    component, of which a group of copies has very many, are never made.
 
 Texts are read whole. A null or wordless text has an empty set and links with nothing; its
@@ -38,8 +40,8 @@ WORDS, SHARE = 5, 80  # shingle width; 100 * intersection >= SHARE * union
 LEVEL_BITS = 25
 #: A list of more sets goes by its leader first.
 SHORT_LIST = 48
-#: Leaders that long lists are compared with before blocks are paired.
-LEADER_ROUNDS = 2
+#: In a long list, sets are first compared inside so many random draws of crews of about this size.
+DRAWS, CREW = 3, 16
 #: Pairs of one set that are verified in one task.
 PAIRS_PER_TASK = 1000
 #: Shingles that a task holds before it passes them on.
@@ -138,8 +140,34 @@ def _may_link(overlap: Column, n: Column, m: Column, share: int) -> Column:
     return (100 + share) * overlap >= share * (n + m)
 
 
+def difference(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """What b lacks of a and has besides it, by 64 cells of the hash, and the size of a.
+
+    Each of the two is three bit maps, of the cells with at least one, two and three such
+    shingles, and the number of shingles beyond.
+    """
+    numbers = []
+    for part in (np.setdiff1d(a, b, assume_unique=True), np.setdiff1d(b, a, assume_unique=True)):
+        cells = np.bincount((part >> np.uint64(58)).astype(np.int64), minlength=64)
+        maps = [np.packbits(cells > k, bitorder="little").view("<i8")[0] for k in range(3)]
+        numbers += [*map(int, maps), int(np.maximum(cells - 3, 0).sum())]
+    return [*numbers, len(a)]
+
+
+def _shared_at_most(s: Column, t: Column, overlap_s: Column, overlap_t: Column) -> Column:
+    """A bound of |s & t| from what is known of both against one set l.
+
+    |s & t & l| is |s & l| + |t & l| - |l| + |(l - s) & (l - t)|. The last term, and what s
+    and t share outside of l, are at most the sums of the smaller counts in each cell.
+    """
+    cells = [F.bit_count(s[k].bitwiseAND(t[k])) for k in (0, 1, 2, 4, 5, 6)]
+    return overlap_s + overlap_t - s[8] + sum(cells[1:], cells[0]) + F.least(s[3], t[3]) + F.least(s[7], t[7])
+
+
 def overlaps(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The intersection size of each pair (a, b). ``texts`` has set_id and text of each set.
+    """For each pair (a, b) overlap, the intersection size, and the difference() of both.
+
+    ``texts`` has set_id and text of each set.
 
     The sets of all b are sent to the place of their a, which is held once; an a of very
     many pairs has several places.
@@ -172,11 +200,11 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
             if b is None:
                 state["own"] = values
             else:
-                yield a, b, len(np.intersect1d(state["own"], values, assume_unique=True))
+                yield a, b, len(np.intersect1d(state["own"], values, assume_unique=True)), difference(state["own"], values)
 
         return rows
 
-    return map_rows(ordered.select("a", "b", "shingles"), compare, "a long, b long, overlap long")
+    return map_rows(ordered.select("a", "b", "shingles"), compare, "a long, b long, overlap long, difference array<long>")
 
 
 def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
@@ -220,33 +248,31 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
     short = a.join(b, "shingle").filter((F.col("set_id_a") < F.col("set_id_b")) & by_position(a, b))
     pairs = short.select(F.col("set_id_a").alias("a"), F.col("set_id_b").alias("b"))
 
-    long = lists.filter(F.col("length") > SHORT_LIST).drop("length")
-    open_lists = long.withColumn("component", F.col("set_id"))
-    answers = links_found = None
-    for number in range(LEADER_ROUNDS):
-        leaders = open_lists.groupBy("shingle").agg(F.min(F.struct("component", "set_id")).alias("leader"))
-        leaders = leaders.select("shingle", F.col("leader.set_id").alias("leader"), F.col("leader.component").alias("leading"))
-        against = stored(open_lists.join(leaders, "shingle"), "leaders")
-        to_leader = against.filter("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b"))
-        checked = stored(verified(to_leader.unionByName(pairs) if number == 0 else to_leader), "checked")
-        linked = checked.filter(is_link()).select("a", "b")
-        links_found = linked if links_found is None else links_found.unionByName(linked)
-        grouped = components(links_found)
-        # Every open set keeps what is known about this round's leader of its list.
-        known = checked.select(F.col("a").alias("leader"), F.col("b").alias("set_id"), "overlap")
-        answers = against.join(known, ["leader", "set_id"], "left").withColumn(
-            "overlap", F.when(F.col("set_id") == F.col("leader"), F.col("n")).otherwise(F.col("overlap"))
-        )
-        grouped = grouped.select(F.col("node").alias("set_id"), F.col("component").alias("_c"))
-        answers = answers.drop("component").join(grouped, "set_id", "left")
-        answers = answers.withColumn("component", F.coalesce("_c", "set_id")).select("shingle", "set_id", "n", "place", "overlap", "component")
-        several = answers.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        answers = stored(answers.join(several.select("shingle", "low"), "shingle"), "answers")
-        if answers.isEmpty():
-            return links_found
-        if number < LEADER_ROUNDS - 1:
-            open_lists = answers.withColumn("component", F.struct((F.col("component") == F.col("low")).alias("led"), F.col("component").alias("id")))
-            open_lists = open_lists.select("shingle", "set_id", "n", "place", "component")
+    long = lists.filter(F.col("length") > SHORT_LIST)
+    # Draws of small crews: each set is compared with the first of its crew.
+    crews = F.pmod(F.xxhash64("set_id", "draw"), F.pow(F.lit(2), F.ceil(F.log2(F.col("length") / CREW))).cast("long"))
+    drawn = long.select("shingle", "set_id", "length", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("draw"))
+    drawn = drawn.select("shingle", "set_id", "draw", crews.alias("crew"))
+    firsts = drawn.groupBy("shingle", "draw", "crew").agg(F.min("set_id").alias("a"))
+    to_first = drawn.join(firsts, ["shingle", "draw", "crew"]).filter("a <> set_id").select("a", F.col("set_id").alias("b"))
+    links_found = stored(verified(pairs.unionByName(to_first)).filter(is_link()).select("a", "b"), "set-links")
+
+    # The set with most links so far leads its list; all sets of the list get their answer for it.
+    ends = links_found.union(links_found.select("b", "a"))
+    degrees = ends.groupBy(F.col("a").alias("set_id")).agg(F.count("*").alias("degree"))
+    rated = long.join(degrees, "set_id", "left").select("shingle", "set_id", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
+    leaders = rated.groupBy("shingle").agg(F.max(F.struct("degree", "set_id"))["set_id"].alias("leader"))
+    against = stored(long.drop("length").join(leaders, "shingle"), "leaders")
+    checked = stored(verified(against.filter("set_id <> leader").select(F.col("leader").alias("a"), F.col("set_id").alias("b"))), "checked")
+    links_found = stored(links_found.unionByName(checked.filter(is_link()).select("a", "b")), "set-links")
+    known = checked.select(F.col("a").alias("leader"), F.col("b").alias("set_id"), "overlap", "difference")
+    grouped = components(links_found).select(F.col("node").alias("set_id"), "component")
+    answers = against.join(known, ["leader", "set_id"], "left").join(grouped, "set_id", "left").select(
+        "shingle", "set_id", "n", "place", F.coalesce("overlap", "n").alias("overlap"),
+        F.coalesce("difference", F.concat(F.array_repeat(F.lit(0).cast("long"), 8), F.array("n"))).alias("difference"), F.coalesce("component", "set_id").alias("component"),
+    )
+    several = answers.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    answers = stored(answers.join(several.select("shingle"), "shingle", "left_semi"), "answers")
     far = F.col("n") - F.col("overlap")
     blocked = answers.withColumn("far", far).withColumn(
         "block",
@@ -254,7 +280,7 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
             "component", F.floor(F.log("n") / F.log(F.lit(1.05))), F.floor(16 * F.col("place") / F.col("n")), F.floor(8 * F.col("far") / F.col("n"))
         ),
     )
-    blocked = stored(blocked.select("shingle", "block", "component", "set_id", "n", "place", "overlap", "far"), "blocked")
+    blocked = stored(blocked.select("shingle", "block", "component", "set_id", "n", "place", "overlap", "difference", "far"), "blocked")
     blocks = blocked.groupBy("shingle", "block", "component").agg(
         F.min("n").alias("least"), F.max(F.col("n") - F.col("place")).alias("room"), F.max("overlap").alias("near"), F.max("far").alias("far")
     )
@@ -265,7 +291,7 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
     )
     meeting = meeting.select("shingle", "block_a", "block_b")
     a, b = both(blocked)
-    bound = F.least("overlap_a", "overlap_b") + F.least("far_a", "far_b")
+    bound = _shared_at_most(*(F.col(f"{c}_{k}") for c in ("difference", "overlap") for k in "ab"))
     crossing = (
         meeting.join(a, ["shingle", "block_a"]).join(b, ["shingle", "block_b"])
         .filter((F.col("component_a") < F.col("component_b")) & by_position(a, b) & _may_link(bound, F.col("n_a"), F.col("n_b"), share))
