@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .tables import map_rows, text_or_empty
 
-#: Units kept in a worker's table before it starts anew, and their longest length.
-TABLE_UNITS = 300_000
+#: Units in each of a worker's two tables, and their longest length.
+TABLE_UNITS = 500_000
 UNIT_LENGTH = 48
 
 _WHITE_RUN = re.compile(r"\s\s")
@@ -29,16 +29,24 @@ _CERTAIN_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 class _Units(dict):
-    """Ids of units as bytes; an unknown unit is encoded by the library."""
+    """Ids of units as bytes; an unknown unit is encoded by the library.
+
+    A full table becomes the old one, and units met again move on to the new one, so
+    frequent units stay known.
+    """
 
     def __init__(self, encode: Callable[[str], list[int]], lead: str = "") -> None:
         super().__init__()
         self.encode, self.lead = encode, lead
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = np.array(self.encode(self.lead + unit), dtype="<u4").tobytes()
+        ids = self.old.get(unit)
+        if ids is None:
+            ids = np.array(self.encode(self.lead + unit), dtype="<u4").tobytes()
         if len(unit) <= UNIT_LENGTH:
             if len(self) >= TABLE_UNITS:
+                self.old = dict(self)
                 self.clear()
             self[unit] = ids
         return ids
