@@ -250,7 +250,7 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
 
     long = lists.filter(F.col("length") > SHORT_LIST)
     # Draws of small crews: each set is compared with the first of its crew.
-    crews = F.pmod(F.xxhash64("set_id", "draw"), F.pow(F.lit(2), F.ceil(F.log2(F.col("length") / CREW))).cast("long"))
+    crews = F.pmod(F.xxhash64("set_id", "draw"), F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.col("length") / CREW)), F.lit(0))).cast("long"))
     drawn = long.select("shingle", "set_id", "length", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("draw"))
     drawn = drawn.select("shingle", "set_id", "draw", crews.alias("crew"))
     firsts = drawn.groupBy("shingle", "draw", "crew").agg(F.min("set_id").alias("a"))
