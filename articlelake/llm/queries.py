@@ -91,4 +91,12 @@ QUERIES = {
         op10_winnowing,
     )
 }
-ORACLES: dict[str, str] = {}
+# The other results have no SQL form, or one that is too slow on whole tables: pages are read
+# by rules, ids come from a tokenizer, scores from fitted models, links from all pairs, orders
+# from hashes. Their tests compare with brute force.
+ORACLES = {
+    "op6_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+}
