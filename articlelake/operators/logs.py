@@ -22,17 +22,17 @@ def log_lines(events: DataFrame, level: str = "INFO") -> DataFrame:
     """Add ``line`` to the events at or above a level; works on batch and stream.
 
     time | level | logger | correlation | message, with secrets removed from the message
-    and ``-`` for a missing correlation id.
+    and ``-`` for a missing correlation id. Another missing field is empty, so a line always
+    has five fields. Events of an unknown or missing level have no rank and are kept.
     """
     correlation = F.coalesce(F.nullif(F.col("correlation_id"), F.lit("")), F.lit(NO_CORRELATION))
-    line = F.concat_ws(
-        SEPARATOR,
+    fields = (
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssxx"),
         F.upper("level"),
         F.col("logger"),
         correlation,
         redact_text(F.col("message")),
     )
-    return events.where(level_rank(F.col("level")) >= LEVELS[level.upper()]).withColumn(
-        "line", line
-    )
+    line = F.concat_ws(SEPARATOR, *(F.coalesce(field, F.lit("")) for field in fields))
+    shown = F.coalesce(level_rank(F.col("level")) >= LEVELS[level.upper()], F.lit(True))
+    return events.where(shown).withColumn("line", line)

@@ -93,10 +93,10 @@ def registry(profiles: DataFrame) -> DataFrame:
         raise ValueError(f"invalid source profile {bad['source']!r}: {bad['reason']}")
     twice = duplicate_sources(checked).first()
     if twice is not None:
-        raise ValueError(f"duplicate source declaration: {twice['source']}")
+        raise ValueError(f"two profiles are named {twice['source']}")
     claimed = duplicate_hosts(checked).first()
     if claimed is not None:
-        raise ValueError(f"duplicate hostname declaration: {claimed['host']}")
+        raise ValueError(f"two profiles own the host {claimed['host']}")
     return checked.drop("reason").orderBy("position")
 
 

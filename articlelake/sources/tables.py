@@ -30,10 +30,11 @@ def request_list(
 
     A blank URL refuses the whole list. For URL tables use ``requests_from``.
     """
-    copied = [str(url) for url in urls]
-    if any(not url.strip() for url in copied):
-        raise ValueError("urls must not contain empty values")
-    rows = spark.createDataFrame(list(enumerate(copied)), "position bigint, url string")
+    numbered = [(position, str(url)) for position, url in enumerate(urls)]
+    blank = [position for position, url in numbered if not url or url.isspace()]
+    if blank:
+        raise ValueError(f"blank URL at position {blank[0]}")
+    rows = spark.createDataFrame(numbered, "position bigint, url string")
     return requests_from(rows, metadata)
 
 

@@ -13,7 +13,7 @@ from articlelake.plans import crawl
 from articlelake.session import scratch_folder
 from articlelake.sources import schemas, tables
 from articlelake.streaming import articles as streaming
-from test_articles import node, page
+from test_articles import html, story
 
 ATTEMPT = "request_id bigint, attempt_no int, method string, status_code int, error_class string"
 
@@ -184,7 +184,7 @@ def inputs(spark, count=60):
     urls[1], urls[2], urls[4] = " ", "https:///x", "https://news.example/private/x"
     urls[5], urls[7], urls[8] = "https://foreign.example/x", "https://norobots.example/x", "http://news.example/x"
     requests = tables.requests_from(spark.createDataFrame(list(enumerate(urls)), "position bigint, url string"))
-    html = page(node(mainEntityOfPage=None), canonical=url).encode()
+    html = html(story(mainEntityOfPage=None), canonical=url).encode()
     responses = spark.createDataFrame(
         [(u, u, 200, {"Content-Type": "text/html"}, html, None, None, datetime(2026, 1, 1)) for u in sorted(set(urls) - {urls[10]})],
         schemas.RESPONSES,
@@ -283,3 +283,23 @@ def test_raw_dumps_are_read_as_bytes(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<html>\xff")
     (row,) = tables.read_raw_dumps(spark, str(tmp_path), "*.html").collect()
     assert bytes(row["body"]) == b"<html>\xff"
+
+
+def test_no_request_of_the_log_is_lost(spark):
+    rows = [(1, n, "GET", 503 if n < 5 else 200, None) for n in range(1, 6)]
+    rows += [(2, n, "GET", 200, None) for n in range(3)]
+    rows += [(3, None, "GET", 200, None)]
+    log = spark.createDataFrame(rows, ATTEMPT)
+    found = {r["request_id"]: r for r in attempts.resolve_attempts(log, attempts.RetryRule(max_attempts=5)).collect()}
+    assert (found[1]["outcome"], found[1]["attempts_used"], found[1]["final_status"]) == ("response", 5, 200)
+    assert {found[k]["outcome"] for k in (2, 3)} == {"bad_attempt_numbers"}
+    numbered = attempts.number_attempts(log.drop("attempt_no").withColumn("ts", F.monotonically_increasing_id()))
+    assert numbered.count() == len(rows)
+
+
+def test_log_lines_keep_unknown_levels_and_empty_fields(spark):
+    rows = [("NOTICE", None, "a"), ("DEBUG", "app", "b"), (None, "app", None), ("ERROR", "app", "c")]
+    events = spark.createDataFrame(rows, "level string, logger string, message string")
+    events = events.withColumn("ts", F.lit("2030-01-02 03:04:05").cast("timestamp")).withColumn("correlation_id", F.lit(None).cast("string"))
+    got = [r["line"].split(" | ")[1:] for r in logs.log_lines(events, "INFO").collect()]
+    assert got == [["NOTICE", "", "-", "a"], ["", "app", "-", ""], ["ERROR", "app", "-", "c"]]

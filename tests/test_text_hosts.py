@@ -38,36 +38,62 @@ def test_language_tags(spark):
     assert column(spark, values, text.language_tag) == want
 
 
+# message and what is left of it
 MESSAGES = [
-    "Authorization: Bearer top-secret", "password=hunter2", "API_KEY: 'abc123'",
-    'api-key="key-value"', "apikey=compact", "access_token: access-value",
-    "refresh_token=refresh-value", "client_secret: client-value", "TOKEN=token-value",
-    "Cookie: session-value", "Set-Cookie=session-value", "Proxy-Authorization: Basic encoded-value",
-    "tokenizer processed safe path /tokens/archive and status=ok", "password=%(password)s",
-    "my-password=1 _token=2 token-x=3", "token='a b' token=\"a 'b\" token='open",
-    "token: x, secret = y; cookie=z} passwd=w] passwd", "token=a\nsecret='x\ny'",
-    "TOKEN=kelvin ſecret=long étoken=e tokeń=mark", "token\x1c=\x1fv",
-    "Authorization: bearer\x85abc,def", "password=", "token='' token=\"\" token=;x",
+    ('login failed for ola, password = s3same',
+     'login failed for ola, password = [REDACTED]'),
+    ('retry with Token:q9/xx; next',
+     'retry with Token:[REDACTED]; next'),
+    ("secret='two words' kept",
+     'secret=[REDACTED] kept'),
+    ('cookie="a b" path=/',
+     'cookie=[REDACTED] path=/'),
+    ('authorization=Basic QWxh, host=x',
+     'authorization=[REDACTED], host=x'),
+    ('AUTHORIZATION : bearer zz.yy.xx]',
+     'AUTHORIZATION : [REDACTED]]'),
+    ('the cookies are fine and so is a secretary',
+     'the cookies are fine and so is a secretary'),
+    ('passwordless=1 tokens=2',
+     'passwordless=1 tokens=2'),
+    ('password=%(pw)s stays',
+     'password=%(pw)s stays'),
+    ('x-token=1 _secret=2 cookie-jar=3',
+     'x-token=1 _secret=2 cookie-jar=3'),
+    ('{token: 12, secret: 34}',
+     '{token: [REDACTED], secret: [REDACTED]}'),
+    ('secret=',
+     'secret='),
+    ('token="" and token=\'\'',
+     'token=[REDACTED] and token=[REDACTED]'),
+    ("token='open end",
+     'token=[REDACTED] end'),
+    ('a=1 password=p\nb=2',
+     'a=1 password=[REDACTED]\nb=2'),
+    ('Password\t=\tp tail',
+     'Password\t=\t[REDACTED] tail'),
+    ('set-cookie: id=7; Path=/',
+     'set-cookie: [REDACTED]; Path=/'),
+    ('api_key=k1 api-key=k2 apikey=k3',
+     'api_key=[REDACTED] api-key=[REDACTED] apikey=[REDACTED]'),
+    ('refresh_token = r, access_token = t',
+     'refresh_token = [REDACTED], access_token = [REDACTED]'),
+    ('client_secret=c}',
+     'client_secret=[REDACTED]}'),
+    ('proxy-authorization: Bearer abc',
+     'proxy-authorization: [REDACTED]'),
+    ('TOKEN=kelvin ſecret=long',
+     'TOKEN=[REDACTED] ſecret=[REDACTED]'),
+    ('token\x1c=\x1fv',
+     'token\x1c=\x1f[REDACTED]'),
+    ('',
+     ''),
 ]
 
 
-def python_redact(value):
-    """The same grammar in the interpreter's own regular expressions."""
-    keys = "|".join(text.SENSITIVE_KEYS)
-    return re.sub(
-        rf"(?i)((?<![\w-])(?:{keys})(?![\w-])\s*[:=]\s*)"
-        r"(?:'[^\n']*'|\"[^\n\"]*\"|(?:Bearer|Basic)\s+[^\s,;}\]]+|(?!%\()[^\s,;}\]]+)",
-        r"\1[REDACTED]",
-        value,
-    )
-
-
 def test_redacted_text(spark):
-    got = column(spark, MESSAGES, text.redact_text)
-    assert got == [python_redact(message) for message in MESSAGES]
-    assert got[12] == MESSAGES[12] and got[13] == MESSAGES[13]
-    for message, secret in zip(got[:12], "top-secret hunter2 abc123 key-value compact".split(), strict=False):
-        assert secret not in message and "[REDACTED]" in message
+    got = column(spark, [given for given, _ in MESSAGES], text.redact_text)
+    assert got == [left for _, left in MESSAGES]
 
 
 def test_redacted_maps_fold_case(spark):
@@ -81,10 +107,9 @@ def test_redacted_maps_fold_case(spark):
 
 
 REFUSED = [
-    "", "https://news.example", "news.example:443", "news.example/path", "news.example?q=1",
-    "news.example#f", "user:secret@news.example", "*.news.example", "-invalid.example",
-    "localhost", "127.0.0.1", "::1", " news.example", "a\\b.example", "...", "a..example",
-    "news.example\n", "x" * 64 + ".example",
+    "", "http://paper.example", "paper.example:80", "paper.example/a", "paper.example?b", "paper.example#c",
+    "me@paper.example", "paper.*", "-paper.example", "paper-.example", "localhost", "10.1.2.3", "fe80::1",
+    "paper.example ", "\tpaper.example", "paper\\x.example", ".", "paper..example", "paper.example\r", "p" * 70 + ".example",
 ]
 
 
@@ -108,12 +133,12 @@ def test_article_and_parser_hosts_differ(spark):
 
 
 def test_identifiers(spark):
-    values = ["example", "example_news", "a", "a" * 64, "", "Example", "example-news", "01_news",
-              "example.news", "example\nnews", "a" * 65, "a__b", "a_", "a\n", None]
-    want = [True] * 4 + [False] * 7 + [True, True, False, False]
-    assert column(spark, values, profiles.is_identifier) == want
-    assert column(spark, ["a__b", "a_", "1a", " x ", "a_b", "A"], profiles.article_source) == [
-        None, None, "1a", "x", "a_b", None,
+    good = ["daily", "daily_post", "z", "lives_9", "q" * 64, "a1_b2", "daily_", "two__lines"]
+    bad = ["Daily", "9_lives", "daily-post", "daily.post", "daily post", "_daily", "daily\n", "q" * 65, ""]
+    got = column(spark, [*good, *bad, None], profiles.is_identifier)
+    assert got[: len(good)] == [True] * len(good) and not any(got[len(good) :])
+    assert column(spark, ["p__q", "q_", "7up", "\tz ", "p_q", "P"], profiles.article_source) == [
+        None, None, "7up", "z", "p_q", None,
     ]
 
 
@@ -134,8 +159,8 @@ def test_validation_and_registry_order(spark):
     checked = {row["source"]: row for row in profiles.validate_profiles(frame).collect()}
     assert checked["b"]["domains"] == ["news.example", "regional.news.example"]
     for bad, message in [
-        (profile("b", ["x.example"]), "duplicate source"),
-        (profile("c", ["A.example"]), "duplicate hostname"),
+        (profile("b", ["x.example"]), "two profiles are named"),
+        (profile("c", ["A.example"]), "two profiles own the host"),
         (profile("c", []), "domains_invalid"),
         (profile("c", ["d.example"], key="Bad"), "adapter_key_invalid"),
     ]:
@@ -144,16 +169,16 @@ def test_validation_and_registry_order(spark):
 
 
 def test_url_lookup_is_exact_and_scales(spark):
-    rows = [profile(f"source_{n}", [f"news-{n}.example"], position=n) for n in range(1000)]
+    rows = [profile(f"source_{n}", [f"news-{n}.example"], position=n) for n in range(0, 3000, 3)]
     hosts_table = profiles.profile_hosts(spark.createDataFrame(rows, SCHEMA)).select(
         "profile_host", F.col("source").alias("found")
     )
     cases = {
-        "https://NEWS-7.EXAMPLE/article?id=1": "source_7", "https://news-999.example./a#s": "source_999",
-        "https://sub.news-7.example/": None, "http://news-7.example/": None,
-        "https://user:secret@news-7.example/": None, "/relative": None, "https:///a": None,
-        "https://news-7.example:bad/": None, "https://news-7.example:8443/": "source_7",
-        "": None, " https://news-7.example/": None, "https://news-7.example/ ": None,
+        "https://NEWS-6.EXAMPLE/x?y=2": "source_6", "https://news-2997.example./b#t": "source_2997",
+        "https://sub.news-6.example/": None, "http://news-6.example/": None,
+        "https://who:ever@news-6.example/": None, "/relative": None, "https:///a": None,
+        "https://news-6.example:bad/": None, "https://news-6.example:8443/": "source_6",
+        "": None, " https://news-6.example/": None, "https://news-6.example/ ": None,
     }
     frame = spark.createDataFrame([(url,) for url in cases], "url string")
     got = {row["url"]: row["found"] for row in profiles.resolve_by_url(frame, "url", hosts_table).collect()}
