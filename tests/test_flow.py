@@ -13,7 +13,7 @@ from articlelake.plans import crawl
 from articlelake.session import scratch_folder
 from articlelake.sources import schemas, tables
 from articlelake.streaming import articles as streaming
-from test_articles import html, story
+from test_articles import html as markup, story
 
 ATTEMPT = "request_id bigint, attempt_no int, method string, status_code int, error_class string"
 
@@ -184,7 +184,7 @@ def inputs(spark, count=60):
     urls[1], urls[2], urls[4] = " ", "https:///x", "https://news.example/private/x"
     urls[5], urls[7], urls[8] = "https://foreign.example/x", "https://norobots.example/x", "http://news.example/x"
     requests = tables.requests_from(spark.createDataFrame(list(enumerate(urls)), "position bigint, url string"))
-    html = html(story(mainEntityOfPage=None), canonical=url).encode()
+    html = markup(story(mainEntityOfPage=None), canonical=url).encode()
     responses = spark.createDataFrame(
         [(u, u, 200, {"Content-Type": "text/html"}, html, None, None, datetime(2026, 1, 1)) for u in sorted(set(urls) - {urls[10]})],
         schemas.RESPONSES,
@@ -274,7 +274,7 @@ def test_sinks_round_trip(spark):
     tables.write_articles(crawl.articles(outcomes), f"{base}/processed")
     tables.write_failed(crawl.failed(outcomes), f"{base}/failed")
     articles = tables.read_table(spark, f"{base}/processed", schemas.ARTICLES + ", position bigint")
-    assert {row["published_at"] for row in articles.collect()} == {datetime(2026, 8, 6, 5, 30)}
+    assert {row["published_at"] for row in articles.collect()} == {datetime(2031, 3, 9, 6, 15)}
     reasons = spark.read.parquet(f"{base}/failed").groupBy("reason_code").count().collect()
     assert sum(row["count"] for row in reasons) + articles.count() == 12
 
