@@ -10,8 +10,8 @@
    with one leader, the set of the list with most links. Linked sets form components. A list
    whose sets are all in one component is done. In the others, sets are kept in
    blocks by component, size, position and distance to the leader, and pairs of blocks are
-   skipped when their positions, or the answers already computed for the leader, rule a
-   link out: |s & t| <= min(|s & l|, |t & l|) + min(|s - l|, |t - l|). For pairs of sets the
+   skipped when they have met in an earlier list, or when their positions or the answers
+   already computed for the leader rule a link out: |s & t| <= min(|s & l|, |t & l|) + min(|s - l|, |t - l|). For pairs of sets the
    answer is derived more closely from their differences to the leader. Pairs that may still
    be links are verified, so no link between two components is lost, and pairs inside a
    component, of which a group of copies has very many, are never made.
@@ -42,6 +42,8 @@ LEVEL_BITS = 25
 SHORT_LIST = 48
 #: In a long list, sets are first compared inside so many random draws of crews of about this size.
 DRAWS, CREW = 3, 16
+#: So many of a set's first lists are remembered, to skip pairs of blocks that met in one of them.
+REMEMBERED = 3
 #: Pairs of one set that are verified in one task.
 PAIRS_PER_TASK = 1000
 #: Shingles that a task holds before it passes them on.
@@ -273,24 +275,31 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
     )
     several = answers.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     answers = stored(answers.join(several.select("shingle"), "shingle", "left_semi"), "answers")
+    # All sets list their shingles in one order. Sets that share one of their first lists met
+    # there, where their positions leave most room, and need not meet in later ones.
+    firsts = answers.groupBy("set_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "shingle"))), 1, REMEMBERED).alias("firsts"))
+    earlier = F.transform(F.filter("firsts", lambda x: x["place"] < F.col("place")), lambda x: x["shingle"])
     far = F.col("n") - F.col("overlap")
-    blocked = answers.withColumn("far", far).withColumn(
+    blocked = answers.join(firsts, "set_id").withColumn("earlier", earlier).withColumn("far", far).withColumn(
         "block",
         F.xxhash64(
-            "component", F.floor(F.log("n") / F.log(F.lit(1.05))), F.floor(16 * F.col("place") / F.col("n")), F.floor(8 * F.col("far") / F.col("n"))
+            "component", F.floor(F.log("n") / F.log(F.lit(1.05))), F.floor(16 * F.col("place") / F.col("n")), F.floor(8 * F.col("far") / F.col("n")), "earlier"
         ),
     )
-    blocked = stored(blocked.select("shingle", "block", "component", "set_id", "n", "place", "overlap", "difference", "far"), "blocked")
+    blocked = stored(blocked.select("shingle", "block", "component", "set_id", "n", "place", "overlap", "difference", "far", "earlier"), "blocked")
     blocks = blocked.groupBy("shingle", "block", "component").agg(
-        F.min("n").alias("least"), F.max(F.col("n") - F.col("place")).alias("room"), F.max("overlap").alias("near"), F.max("far").alias("far")
-    )
+        F.min("n").alias("least"), F.max(F.col("n") - F.col("place")).alias("room"), F.max("overlap").alias("near"), F.max("far").alias("far"),
+        F.first("earlier").alias("earlier"),
+    )
     a, b = both(blocks)
     bound = F.least(F.least("near_a", "near_b") + F.least("far_a", "far_b"), F.least("room_a", "room_b"))
     meeting = a.join(b, "shingle").filter(
-        (F.col("component_a") < F.col("component_b")) & _may_link(bound, F.col("least_a"), F.col("least_b"), share)
+        (F.col("component_a") < F.col("component_b"))
+        & ~F.arrays_overlap("earlier_a", "earlier_b")
+        & _may_link(bound, F.col("least_a"), F.col("least_b"), share)
     )
     meeting = meeting.select("shingle", "block_a", "block_b")
-    a, b = both(blocked)
+    a, b = both(blocked.drop("earlier"))
     bound = _shared_at_most(*(F.col(f"{c}_{k}") for c in ("difference", "overlap") for k in "ab"))
     crossing = (
         meeting.join(a, ["shingle", "block_a"]).join(b, ["shingle", "block_b"])
