@@ -68,7 +68,9 @@ def attach_responses(
 def first_responses(responses: DataFrame) -> DataFrame:
     """The earliest capture of every ``request_url``."""
     columns = [name for name in responses.columns if name not in ("request_url", "metadata")]
-    order = F.struct("fetched_at", F.xxhash64("body"))
+    # Ties in time go by the whole row; map columns have no hash of their own.
+    hashed = [F.to_json(n) if isinstance(t.dataType, T.MapType) else F.col(n) for n in columns for t in [responses.schema[n]]]
+    order = F.struct("fetched_at", F.xxhash64(*hashed))
     return (
         responses.groupBy("request_url")
         .agg(F.min_by(F.struct(*columns), order).alias("_first"))

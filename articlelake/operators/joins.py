@@ -10,8 +10,9 @@ from articlelake.session import stored
 
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+#: Rows, and bytes of joined rows, of one key that one task takes; a key of more is split.
 HOT_ROWS = 5_000_000
-SALTS = 64
+HOT_BYTES = 2 * 1024 * 1024 * 1024
 
 
 def fits_broadcast(
@@ -35,11 +36,11 @@ def lookup_join(
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Left join that broadcasts ``right`` only after measuring it.
 
-    Beyond the bound the join shuffles and spreads hot keys (``skewed_left_join``).
+    Beyond the bound the join shuffles and spreads hot keys (``skewed_left_join``). The keys
+    of a stream cannot be counted; give this function its batches instead.
     """
     # A settled key keeps the optimizer from tracing it through the whole plan below.
     left = once(left, key)
@@ -48,23 +49,30 @@ def lookup_join(
     if left.isStreaming:
         return left.join(right, key, "left")
     hot = hot_keys(left, key, hot_rows=hot_rows)
-    return skewed_left_join(left, right, key, spread=spread, hot=hot, salts=salts)
+    return skewed_left_join(left, right, key, spread=spread, hot=hot)
 
 
-def hot_keys(frame: DataFrame, key: str, *, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with over ``hot_rows`` rows as a stored table, or None when there is none.
+def hot_keys(
+    frame: DataFrame,
+    key: str,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
+    hot_bytes: int = HOT_BYTES,
+) -> DataFrame | None:
+    """Keys that one task should not take alone, with ``_salts``, the tasks that share them.
 
-    Counts combine inside each task before they are shuffled. The table holds at most
-    (rows / hot_rows) keys, which bounds what is broadcast.
+    Counts combine inside each task before they are shuffled. ``sizes`` has ``key`` and
+    ``_bytes`` of the row that each key is joined to, so that a key also counts as hot when
+    its joined rows have many bytes. The result is a stored table, or None when it is empty.
     """
-    hot = stored(
-        frame.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > hot_rows)
-        .select(key, F.lit(True).alias("_hot")),
-        "hot-keys",
-    )
+    counts = frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    load = F.col("_rows") / hot_rows
+    if sizes is not None:
+        counts = counts.join(sizes, key, "left")
+        load = F.greatest(load, F.col("_rows") * F.coalesce("_bytes", F.lit(0)) / hot_bytes)
+    split = counts.withColumn("_salts", F.ceil(load).cast("int")).where(F.col("_salts") > 1)
+    hot = stored(split.select(key, "_salts"), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
@@ -75,7 +83,6 @@ def skewed_left_join(
     *,
     spread: str,
     hot: DataFrame | None,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Shuffled left join on a string key in which the ``hot`` keys are salted.
 
@@ -89,17 +96,13 @@ def skewed_left_join(
     renamed = right.withColumnRenamed(key, "_right_key")
     match = (F.col("_left_key") == F.col("_right_key")) & F.col(key).isNotNull()
     if hot is not None:
-        salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-        keyed = keyed.join(F.broadcast(hot), key, "left").withColumn(
-            "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
-        )
-        copies = F.when(
-            F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))
-        ).otherwise(F.array(F.lit(0)))
+        listed = F.broadcast(hot) if fits_broadcast(hot) else hot
+        salts = F.coalesce("_salts", F.lit(1))
+        keyed = keyed.join(listed, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts))
         renamed = renamed.join(
-            F.broadcast(hot.withColumnRenamed(key, "_right_key")), "_right_key", "left"
-        ).withColumn("_right_salt", F.explode(copies))
-        keyed, renamed = keyed.drop("_hot"), renamed.drop("_hot")
+            listed.withColumnRenamed(key, "_right_key"), "_right_key", "left"
+        ).withColumn("_right_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        keyed, renamed = keyed.drop("_salts"), renamed.drop("_salts")
         match = match & (F.col("_salt") == F.col("_right_salt"))
     return keyed.join(renamed, match, "left").drop(
         "_left_key", "_right_key", "_salt", "_right_salt"

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articlelake.operators.articles import build_articles
@@ -14,10 +15,24 @@ from articlelake.operators.profiles import ARTICLE_FAMILY
 # The parser families that profiles may name, and the operator that builds their items.
 FAMILIES = {ARTICLE_FAMILY: build_articles}
 
-_FLUSH_ROWS = 1024
+_FLUSH_ROWS, _FLUSH_BYTES = 1024, 4 << 20
 _CONTRACT, _EXECUTION = "parser_contract", "parser_execution"
 
 
+def build_items(
+    frame: DataFrame, families: Mapping[str, Callable[[DataFrame], DataFrame]] = FAMILIES
+) -> DataFrame:
+    """Add ``article`` and ``article_reason`` by the operator of each row's family."""
+    found: dict[str, list] = {"article": [], "article_reason": []}
+    for number, (family, build) in enumerate(families.items()):
+        frame = build(frame)
+        for name, values in found.items():
+            frame = frame.withColumnRenamed(name, f"_{name}_{number}")
+            values.append(F.when(F.col("parser_family") == family, F.col(f"_{name}_{number}")))
+    built = frame.withColumns({name: F.coalesce(*values) for name, values in found.items()})
+    return built.drop(*[f"_{name}_{number}" for name in found for number in range(len(families))])
+
+
 class DocumentRejected(Exception):
     """Raised by a user parser to refuse a document with its own reason code."""
 
@@ -54,18 +69,13 @@ def parse_rows(
         ]
     )
 
-    def rows_of(values: dict, item_type: pa.DataType) -> Iterator[tuple]:
+    def rows_of(values: dict) -> Iterator[tuple]:
         position = 0
         try:
             for item in parse({name: values[name] for name in inputs}):
                 if not isinstance(item, Mapping):
                     raise DocumentRejected(_CONTRACT)
-                fields = dict(item)
-                try:
-                    pa.array([fields], item_type)
-                except (pa.ArrowException, TypeError, ValueError, OverflowError):
-                    raise DocumentRejected(_CONTRACT) from None
-                yield values[key], position, fields, None
+                yield values[key], position, dict(item), None
                 position += 1
         except DocumentRejected as refused:
             yield values[key], position, None, refused.reason_code
@@ -77,20 +87,55 @@ def parse_rows(
 
         target = to_arrow_schema(schema)
         pending: list[tuple] = []
+        size = 0
         for batch in batches:
             for row in range(batch.num_rows):
-                values = {name: batch.column(name)[row].as_py() for name in columns}
-                for output in rows_of(values, target.field("item").type):
+                values = {name: batch.column(name)[row].as_py(maps_as_pydicts="lossy") for name in columns}
+                for output in rows_of(values):
                     pending.append(output)
-                    if len(pending) >= _FLUSH_ROWS:
-                        yield _batch(pending, target)
-                        pending = []
+                    size += _size(output[2])
+                    if len(pending) >= _FLUSH_ROWS or size >= _FLUSH_BYTES:
+                        rows, refused = _fitting(pending, target)
+                        yield _batch(rows, target)
+                        pending, size = [], 0
+                        if refused:
+                            break
         if pending:
-            yield _batch(pending, target)
+            yield _batch(_fitting(pending, target)[0], target)
 
     return frame.select(*columns).mapInArrow(run, schema)
 
 
+def _size(item: dict | None) -> int:
+    return 64 + sum(len(v) for v in (item or {}).values() if isinstance(v, (str, bytes)))
+
+
+def _fitting(rows: list[tuple], target: pa.Schema) -> tuple[list[tuple], bool]:
+    """Rows whose items fit the schema, and whether the last document was refused.
+
+    Items are tried all at once; only if one does not fit are they tried one by one. The
+    first such item ends its document, whose outputs begin at position 0.
+    """
+
+    def fits(items: list) -> bool:
+        try:
+            pa.array(items, target.field("item").type)
+        except (pa.ArrowException, TypeError, ValueError, OverflowError):
+            return False
+        return True
+
+    if fits([row[2] for row in rows]):
+        return rows, False
+    kept: list[tuple] = []
+    refused = False
+    for key, position, item, reason in rows:
+        refused = refused and position > 0
+        if not refused:
+            refused = not fits([item])
+            kept.append((key, position, None, _CONTRACT) if refused else (key, position, item, reason))
+    return kept, refused
+
+
 def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     arrays = [
         pa.array(list(values), field.type)
@@ -99,17 +144,37 @@ def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
+#: What a parser of documents, and one of raw responses, is given of each row.
+DOCUMENT_FIELDS = ("requested_url", "final_url", "status_code", "headers", "content", "encoding", "metadata")
+RESPONSE_FIELDS = ("url", "final_url", "status_code", "headers", "response_body", "elapsed", "metadata")
+
+
+def _inputs(frame: DataFrame, fields: tuple[str, ...], renamed: Mapping[str, str]) -> DataFrame:
+    """``frame`` with the fields under their names; a field that is not there is null."""
+    given = frame.withColumns(
+        {name: F.col(other) for name, other in renamed.items() if name not in frame.columns and other in frame.columns}
+    )
+    return given.withColumns({name: F.lit(None).cast("string") for name in fields if name not in given.columns})
+
+
 def parse_documents(frame: DataFrame, parse, item_schema: T.StructType, *, key: str) -> DataFrame:
-    """``parse_rows`` over decoded documents."""
-    inputs = [name for name in ("requested_url", "final_url", "content") if name in frame.columns]
-    return parse_rows(frame, parse, item_schema, key=key, inputs=inputs)
+    """``parse_rows`` over decoded documents; ``parse`` gets the DOCUMENT_FIELDS.
+
+    ``frame`` may come from ``crawl.decode``, whose url and response_headers are taken.
+    """
+    if "response_headers" in frame.columns:
+        frame = frame.drop("headers")
+    given = _inputs(frame, DOCUMENT_FIELDS, {"requested_url": "url", "headers": "response_headers"})
+    return parse_rows(given, parse, item_schema, key=key, inputs=list(DOCUMENT_FIELDS))
 
 
 def parse_responses(frame: DataFrame, parse, item_schema: T.StructType, *, key: str) -> DataFrame:
-    """``parse_rows`` over raw responses."""
-    inputs = [
-        name
-        for name in ("url", "final_url", "status_code", "response_body")
-        if name in frame.columns
-    ]
-    return parse_rows(frame, parse, item_schema, key=key, inputs=inputs)
+    """``parse_rows`` over raw responses; ``parse`` gets the RESPONSE_FIELDS.
+
+    Frames of ``capture.attach_responses`` fit, and so do bare response tables.
+    """
+    # Requests have headers too; those of the response count.
+    if "response_headers" in frame.columns:
+        frame = frame.drop("headers")
+    given = _inputs(frame, RESPONSE_FIELDS, {"url": "request_url", "headers": "response_headers", "response_body": "body"})
+    return parse_rows(given, parse, item_schema, key=key, inputs=list(RESPONSE_FIELDS))

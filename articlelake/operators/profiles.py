@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ def article_source(value: Column) -> Column:
     return F.when(stripped.rlike(_SOURCE), stripped)
 
 
-def validate_profiles(profiles: DataFrame) -> DataFrame:
+def validate_profiles(
+    profiles: DataFrame, families: Iterable[str] = (ARTICLE_FAMILY,)
+) -> DataFrame:
     """Normalise ``domains`` (ordered, without repeats) and add ``reason``.
 
     ``reason`` is null for a sound profile; checks run in field order.
@@ -40,7 +44,7 @@ def validate_profiles(profiles: DataFrame) -> DataFrame:
         F.when(~is_identifier(F.col("source")), F.lit("source_invalid"))
         .when(~F.coalesce(sound, F.lit(False)), F.lit("domains_invalid"))
         .when(
-            ~F.coalesce(F.col("parser_family") == ARTICLE_FAMILY, F.lit(False)),
+            ~F.coalesce(F.col("parser_family").isin(*families), F.lit(False)),
             F.lit("family_invalid"),
         )
         .when(
@@ -143,13 +147,13 @@ def unresolved(frame: DataFrame, url: str, hosts: DataFrame, *, idna: bool = Tru
     return resolved.where(F.col("_owner").isNull()).drop("_owner")
 
 
-def dispatch_reason() -> Column:
+def dispatch_reason(families: Iterable[str] = (ARTICLE_FAMILY,)) -> Column:
     """Why the resolved profile of a row cannot be parsed, or null."""
     return (
         F.when(F.col("source").isNull(), F.lit("source_unresolved"))
         .when(~F.col("enabled"), F.lit("source_disabled"))
         .when(F.col("adapter_key").isNotNull(), F.lit("source_adapter_unsupported"))
-        .when(F.col("parser_family") != ARTICLE_FAMILY, F.lit("source_family_unsupported"))
+        .when(~F.col("parser_family").isin(*families), F.lit("source_family_unsupported"))
         .when(article_source(F.col("source")).isNull(), F.lit("source_parser_refused"))
     )
 

@@ -61,7 +61,7 @@ def first_capture(captures: DataFrame) -> DataFrame:
 
     Partial aggregation leaves one row per origin and task before the shuffle.
     """
-    order = F.struct(~_usable(F.col("status_code")), F.col("fetched_at"), F.xxhash64("body"))
+    order = F.struct(~_usable(F.col("status_code")), F.col("fetched_at"), F.xxhash64("status_code", "body"))
     return (
         captures.groupBy("origin")
         .agg(F.min_by(F.struct("status_code", "body", "fetched_at"), order).alias("_first"))

@@ -21,6 +21,7 @@ from articlelake.operators import (
     profiles,
     robots,
 )
+from articlelake.operators.joins import hot_keys
 from articlelake.plans import crawl, derived
 from articlelake.plans.derived import AGENT, spread_table, table
 from articlelake.session import prepare, scratch_folder, stored
@@ -507,8 +508,9 @@ def article_sinks(spark: SparkSession, folder: str) -> DataFrame:
 def jsonld_limits(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks around both limits, nested or widened by the id of the document."""
     doc = F.col("doc_id")
-    deep = (doc % 4 + 61).cast("int")
-    wide = (9_994 + doc % 4).cast("int")
+    beyond = F.floor(doc / 2) % 4
+    deep = (beyond + 61).cast("int")
+    wide = (beyond + 9_994).cast("int")
     node = F.lit('{"@type":"Article","headline":"H"}')
     block = F.when(
         doc % 2 == 0,
@@ -608,7 +610,8 @@ def crawl_outcomes(spark: SparkSession, folder: str) -> DataFrame:
         )
     )
     rules, hosts = _document_lookups(spark, folder)
-    outcomes = crawl.crawl(requests, responses, rules, hosts, attempts=log)
+    hot = hot_keys(requests, "url")
+    outcomes = crawl.crawl(requests, responses, rules, hosts, attempts=log, hot=hot)
     return outcomes.groupBy(
         F.coalesce("stage", F.lit("accepted")).alias("stage"),
         F.coalesce("reason_code", F.lit("accepted")).alias("reason_code"),
@@ -717,9 +720,10 @@ def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
         .parquet(folder)
     )
     rules, hosts = _document_lookups(spark, folder)
-    outcomes = streaming.stream_outcomes(derived.captures(landing), rules, hosts)
     base = scratch_folder(spark, "stream")
-    streaming.write_stream(outcomes, f"{base}/outcomes", f"{base}/state").awaitTermination()
+    streaming.write_outcomes(
+        derived.captures(landing), lambda _: (rules, hosts), f"{base}/outcomes", f"{base}/state"
+    ).awaitTermination()
     return (
         spark.read.parquet(f"{base}/outcomes")
         .groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("outcome"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from articlelake.functions.staging import once
 from articlelake.operators import capture, metadata, profiles, robots
-from articlelake.operators.joins import hot_keys
-from articlelake.operators.parsers import FAMILIES
-from articlelake.sources.schemas import ARTICLE_COLUMNS, STAGE_OF_REASON
+from articlelake.operators.joins import fits_broadcast, hot_keys, skewed_left_join
+from articlelake.operators.parsers import FAMILIES, build_items
+from articlelake.sources.schemas import ARTICLE_COLUMNS, PROFILE_COLUMNS, STAGE_OF_REASON
 from articlelake.sources.tables import requests_from
 
 
@@ -84,12 +84,11 @@ def decode(captured: DataFrame) -> DataFrame:
 def parse(decoded: DataFrame) -> DataFrame:
     """One outcome per row: ``position, request_url, source, reason_code, stage, article``."""
     waiting = F.col("document_stage_reason").isNull() & F.col("_dispatch").isNull()
-    dispatched = decoded.withColumn("_dispatch", profiles.dispatch_reason()).withColumn(
+    dispatched = decoded.withColumn("_dispatch", profiles.dispatch_reason(tuple(FAMILIES))).withColumn(
         "_page_text",
         F.when(waiting & metadata.needs_pass(F.col("content")), F.col("content")),
     )
-    (build,) = FAMILIES.values()
-    built = build(dispatched.withColumn("page", metadata.page_meta(F.col("_page_text"))))
+    built = build_items(dispatched.withColumn("page", metadata.page_meta(F.col("_page_text"))))
     reason = F.coalesce(
         "document_stage_reason",
         "_dispatch",
@@ -115,6 +114,7 @@ def crawl(
     hosts: DataFrame,
     *,
     attempts: DataFrame | None = None,
+    hot: DataFrame | None = None,
     idna: bool = True,
 ) -> DataFrame:
     """Outcomes of a request table.
@@ -122,22 +122,40 @@ def crawl(
     ``responses`` has one row per URL (``capture.first_responses``), ``agent_rules``
     comes from ``robots.rules_for_agent``, ``hosts`` from ``profiles.profile_hosts`` and
     ``attempts`` (optional) from ``resolve_attempts`` with the position as request id.
+    ``hot`` lists URLs whose requests one task should not take alone (``joins.hot_keys``).
     """
     checked = check_requests(requests, agent_rules, hosts, idna=idna)
     if attempts is not None:
         reasons = transport_reasons(attempts).withColumnRenamed("request_id", "position")
         checked = checked.join(reasons, "position", "left")
-    return parse(decode(attach(checked, responses, hot=hot_keys(requests, "url"))))
+    return parse(decode(attach(checked, responses, hot=hot)))
 
 
 def crawl_captures(
-    captures: DataFrame, agent_rules: DataFrame, hosts: DataFrame, *, idna: bool = True
+    captures: DataFrame,
+    agent_rules: DataFrame,
+    hosts: DataFrame,
+    *,
+    idna: bool = True,
+    by_url: bool | None = None,
 ) -> DataFrame:
     """Outcomes of rows that already hold request and response; batch or stream.
 
-    Needs ``position, url, final_url, status_code, response_headers, response_body``.
+    Needs ``position, url, final_url, status_code, response_headers, response_body``. When a
+    lookup is too large to broadcast (or ``by_url`` says so), distinct URLs without page
+    bytes are checked, and the verdicts join to the pages once.
     """
-    return parse(decode(check_requests(captures, agent_rules, hosts, idna=idna)))
+    if by_url is None:
+        by_url = not captures.isStreaming and not (fits_broadcast(agent_rules) and fits_broadcast(hosts))
+    if not by_url:
+        return parse(decode(check_requests(captures, agent_rules, hosts, idna=idna)))
+    urls = captures.select("url").where(F.col("url").isNotNull()).distinct()
+    verdicts = check_requests(urls.withColumn("position", F.xxhash64("url")), agent_rules, hosts, idna=idna)
+    narrow = verdicts.select("url", "early_reason", *PROFILE_COLUMNS)
+    pages = capture.normalize_requests(requests_from(captures))
+    joined = skewed_left_join(pages, narrow, "url", spread="position", hot=hot_keys(captures, "url"))
+    reason = F.coalesce("request_reason", "early_reason")
+    return parse(decode(joined.withColumn("early_reason", reason).drop("request_reason")))
 
 
 def articles(outcomes: DataFrame) -> DataFrame:

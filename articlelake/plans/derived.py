@@ -22,12 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
-    """The same for tables of long texts: a table in fewer files than there are cores is
-    dealt out by key first, as one file may be one task. Larger tables stay unshuffled.
-    """
-    frame = table(spark, folder, name)
-    cores = spark.sparkContext.defaultParallelism
-    return frame if len(frame.inputFiles()) >= cores else frame.repartition(cores, key)
+    """The same for tables of long texts, dealt out by key: one row group may be one task."""
+    return table(spark, folder, name).repartition(F.col(key))
 
 
 def page_hosts(spark: SparkSession, folder: str) -> DataFrame:

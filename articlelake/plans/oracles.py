@@ -301,8 +301,8 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT reason, count(*), 'failed' FROM judged WHERE reason IS NOT NULL GROUP BY 1
         UNION ALL SELECT 'all', count(*), 'raw' FROM judged""",
     "jsonld_limits": """
-        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 4 + 61 + 1 > 64 THEN 'jsonld_limits' END
-            ELSE CASE WHEN 9994 + doc_id % 4 + 6 > 10000 THEN 'jsonld_limits' END END AS reason,
+        SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id // 2 % 4 + 61 + 1 > 64 THEN 'jsonld_limits' END
+            ELSE CASE WHEN 9994 + doc_id // 2 % 4 + 6 > 10000 THEN 'jsonld_limits' END END AS reason,
             (CASE WHEN reason IS NULL THEN 1 ELSE 0 END)::BIGINT AS candidates
         FROM documents""",
     "author_lists": f"""

@@ -78,13 +78,29 @@ def default_profiles(spark: SparkSession) -> DataFrame:
 
 
 def write_raw(documents: DataFrame, path: str, mode: str = "append") -> None:
-    documents.write.mode(mode).parquet(path)
+    """Raw captures, in a folder per day where they have a time (see ``read_captures``)."""
+    if "fetched_at" not in documents.columns:
+        documents.write.mode(mode).parquet(path)
+        return
+    dated = documents.withColumn("capture_date", F.to_date("fetched_at"))
+    _partitioned(dated, "capture_date", path, mode)
+
+
+def read_captures(spark: SparkSession, path: str, schema: str, first: str, last: str) -> DataFrame:
+    """Captures of the days ``first`` to ``last`` (ISO dates); other folders are not read."""
+    dated = spark.read.schema(f"{schema}, capture_date date").parquet(path)
+    return dated.where(F.col("capture_date").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+
+
+def _partitioned(frame: DataFrame, part: str, path: str, mode: str) -> None:
+    """Rows meet by partition before they are written; a large one is split by its size."""
+    frame.hint("rebalance", F.col(part)).write.mode(mode).partitionBy(part).parquet(path)
 
 
 def write_articles(articles: DataFrame, path: str, mode: str = "append") -> None:
-    """Articles by source. A source spreads over as many files as it has tasks."""
-    articles.write.mode(mode).partitionBy("source").parquet(path)
+    """Articles by source."""
+    _partitioned(articles, "source", path, mode)
 
 
 def write_failed(failed: DataFrame, path: str, mode: str = "append") -> None:
-    failed.write.mode(mode).partitionBy("reason_code").parquet(path)
+    _partitioned(failed, "reason_code", path, mode)

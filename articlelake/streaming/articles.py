@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,32 @@ def stream_outcomes(
     return crawl.crawl_captures(captures, agent_rules, hosts, idna=idna)
 
 
+def write_outcomes(
+    captures: DataFrame,
+    lookups: Callable[[SparkSession], tuple[DataFrame, DataFrame]],
+    path: str,
+    checkpoint: str,
+    **trigger,
+) -> StreamingQuery:
+    """Outcomes of a stream of captures, each batch by the whole batch plan.
+
+    ``lookups`` gives agent rules and hosts and is called for every batch, so a new robots
+    snapshot counts from the next batch on, and large lookups and hot keys are handled as
+    in a batch. A batch that is repeated after a failure replaces its own folder.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        outcomes = crawl.crawl_captures(batch, *lookups(batch.sparkSession))
+        outcomes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        captures.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(append)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
 def write_stream(frame: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append a stream to a Parquet folder, exactly once, through its checkpoint."""
     return (
@@ -37,16 +65,19 @@ def write_robots_snapshots(captures: DataFrame, path: str, checkpoint: str, **tr
 
     Each batch is first reduced to one file per origin inside its tasks, so that a busy
     origin costs one row in the shuffle, and then leaves out the origins already stored.
-    The stored table is the state: it grows by origins, not by captures. A failed file
-    is stored as well, but does not keep a later usable one out.
+    The stored table is the state: it has at most two rows per origin, as a failed file is
+    stored once and does not keep a later usable one out.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rules = robots_rules(batch)
         earlier = _stored_snapshots(batch.sparkSession, path)
         if earlier is not None:
-            known = earlier.where((F.col("batch") < batch_id) & (F.col("policy") != "error"))
-            rules = rules.join(known.select("origin"), "origin", "left_anti")
+            known = earlier.where(F.col("batch") < batch_id).select(
+                F.col("origin").alias("_origin"), (F.col("policy") != "error").alias("_usable")
+            )
+            settled = (F.col("origin") == F.col("_origin")) & (F.col("_usable") | (F.col("policy") == "error"))
+            rules = rules.join(known, settled, "left_anti")
         # A batch that is repeated after a failure replaces its own folder.
         rules.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
@@ -61,8 +92,10 @@ def write_robots_snapshots(captures: DataFrame, path: str, checkpoint: str, **tr
 def _stored_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_robots_snapshot(spark: SparkSession, path: str) -> DataFrame:

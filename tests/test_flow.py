@@ -219,6 +219,9 @@ def test_salted_response_join_keeps_every_row(spark):
     assert hot_keys(requests, "url", hot_rows=1000) is None
     hot = hot_keys(requests, "url", hot_rows=5)
     assert [row["url"] for row in hot.collect()] == ["https://news.example/articles/one"]
+    sizes = responses.select(F.col("request_url").alias("url"), F.octet_length("body").alias("_bytes"))
+    heavy = hot_keys(requests, "url", sizes=sizes, hot_bytes=2 * len(responses.first()["body"]))
+    assert [row["url"] for row in heavy.collect()] == ["https://news.example/articles/one"] and heavy.first()["_salts"] > 2
     columns = ["position", "url", "final_url"]
     plain = capture.attach_responses(requests, responses).select(*columns)
     salted = capture.attach_responses(requests, responses, hot=hot).select(*columns)
@@ -242,6 +245,77 @@ def test_stream_equals_batch(spark):
     assert stored.exceptAll(batch).count() == 0 and stored.count() == 60
 
 
+def test_batches_of_a_stream_read_their_lookups(spark):
+    requests, responses, rules, hosts = inputs(spark)
+    captures = capture.attach_responses(requests, responses).select(
+        "position", "url", "final_url", "status_code", "response_headers", "response_body"
+    )
+    base = scratch_folder(spark, "batches-test")
+    captures.repartition(2).write.parquet(f"{base}/landing")
+    landing = spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing")
+    streaming.write_outcomes(landing, lambda _: (rules, hosts), f"{base}/out", f"{base}/state").awaitTermination()
+    found = spark.read.parquet(f"{base}/out")
+    assert {r["position"]: r["reason_code"] for r in crawl.failed(found).collect()} == WANT
+    assert found.count() == 60 and found.select("batch").distinct().count() == 2
+
+
+def test_page_bytes_move_once_when_lookups_are_large(spark):
+    requests, responses, rules, hosts = inputs(spark)
+    captures = capture.attach_responses(requests, responses).select(
+        "position", "url", "final_url", "status_code", "response_headers", "response_body"
+    )
+    path = scratch_folder(spark, "captures-test")
+    captures.write.parquet(path)
+    captures = spark.read.parquet(path)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        outcomes = crawl.crawl_captures(captures, rules, hosts, by_url=True)
+        assert {r["position"]: r["reason_code"] for r in crawl.failed(outcomes).collect()} == WANT
+        assert outcomes.count() == 60
+        plan = outcomes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "response_body" in line]
+    assert len(scans) == 1
+
+
+def test_raw_captures_are_pruned_by_day(spark):
+    path = scratch_folder(spark, "raw-test")
+    _, responses, _, _ = inputs(spark, 12)
+    later = responses.withColumn("fetched_at", F.lit("2026-02-03 00:00:00").cast("timestamp"))
+    tables.write_raw(responses.unionByName(later), path)
+    found = tables.read_captures(spark, path, schemas.RESPONSES, "2026-02-01", "2026-02-28")
+    assert found.count() == responses.count()
+    assert "PartitionFilters: [isnotnull(capture_date" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_families_build_their_own_rows(spark):
+    def family(value):
+        return lambda frame: frame.withColumns({"article": F.lit(value), "article_reason": F.lit(None).cast("string")})
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "n int, parser_family string")
+    built = parsers.build_items(frame, {"a": family("x"), "b": family("y")})
+    assert [tuple(r) for r in built.orderBy("n").select("n", "article").collect()] == [(1, "x"), (2, "y"), (3, None)]
+    assert built.columns == ["n", "parser_family", "article", "article_reason"]
+
+
+def test_response_parsers_see_the_whole_contract(spark):
+    requests, responses, _, _ = inputs(spark, 12)
+    schema = T.StructType([T.StructField("seen", T.StringType())])
+
+    def parse(response):
+        yield {"seen": "|".join(sorted(response))}
+        yield {"seen": f"{response['headers']} {response['elapsed']}"}
+        yield {"seen": {}}
+
+    rows = parsers.parse_responses(capture.attach_responses(requests, responses), parse, schema, key="position").collect()
+    of = {(r["position"], r["item_pos"]): r for r in rows}
+    assert len(of) == 36 and of[0, 0]["item"]["seen"] == "|".join(sorted(parsers.RESPONSE_FIELDS))
+    assert of[0, 1]["item"]["seen"] == "{'Content-Type': 'text/html'} 0.0"
+    assert {of[n, 2]["reason_code"] for n in range(12)} == {"parser_contract"}
+
+
 def test_default_profiles_are_sound(spark):
     rows = profiles.registry(tables.default_profiles(spark)).collect()
     assert [(row["enabled"], len(row["domains"])) for row in rows] == [(True, 1), (False, 3)]
