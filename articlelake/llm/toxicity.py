@@ -3,7 +3,7 @@
 Logistic regression on the words of a text and on the beginnings of longer words, which
 inflected and compounded forms share, with a sparse set of weights. For labelled texts
 that mention a group, the terms of the group are swapped for each other and for a plain
-word, and squared changes of the score are penalised; so a mention of a group, which is
+word, and squared changes of the logit, beginnings included, are penalised; so a mention of a group, which is
 neutral by itself, moves the score as little as a mention of any other.
 
 It is fitted on at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes, chosen by
@@ -94,14 +94,25 @@ class Model:
 
 
 def counterfactuals(found: set[str], groups: tuple[str, ...] = IDENTITY_TERMS) -> list[tuple[set[str], set[str]]]:
-    """For each term of a text, what its swaps take away and add; a plain word adds nothing."""
+    """For each term of a text, the features that its swaps take away and add.
+
+    ``found`` has all words of the text: a feature that another word of it gives stays, and
+    one that is there already is not added. A plain word adds nothing.
+    """
+    given = Counter(f for word in found for f in features_of(word))
     swaps = []
     for group in groups:
         terms = group.split()
         for term in terms:
             if term in found:
-                swaps.append(({term}, set()))
-                swaps += [({term}, {other}) for other in terms if other != term and other not in found]
+                own = set(features_of(term))
+                rest = {f for f, n in given.items() if n > (f in own)}
+                gone = own - rest
+                swaps.append((gone, set()))
+                for other in terms:
+                    if other != term and other not in found:
+                        new = set(features_of(other)) - rest
+                        swaps.append((gone - new, new - gone))
     return swaps
 
 
@@ -122,7 +133,7 @@ def fit(texts: list[str], labels: np.ndarray, groups: tuple[str, ...] = IDENTITY
             if word not in by_word:
                 by_word[word] = [index.setdefault(f, len(index)) for f in features_of(word)]
         columns.append(np.unique([k for w in spoken for k in by_word[w]]).astype(np.int64))
-        for out, new in counterfactuals(spoken & terms, groups):
+        for out, new in counterfactuals(spoken, groups) if spoken & terms else ():
             differences[tuple(sorted(out)), tuple(sorted(new))] += 1
     by_word.clear()
     counts = np.bincount(np.concatenate(columns), minlength=len(index))
@@ -139,13 +150,16 @@ def fit(texts: list[str], labels: np.ndarray, groups: tuple[str, ...] = IDENTITY
     flat, rows = np.concatenate(columns), np.repeat(np.arange(len(columns)), [len(c) for c in columns])
     # Each distinct swap is a row of differences, weighted by how often labelled texts have it.
     pairs = [([number[w] for w in out if w in number], [number[w] for w in new if w in number], n) for (out, new), n in differences.items()]
-    minus = np.array([p[0][0] if p[0] else -1 for p in pairs], dtype=np.int64)
-    plus = np.array([p[1][0] if p[1] else -1 for p in pairs], dtype=np.int64)
+    pairs = [p for p in pairs if p[0] or p[1]]
+    swap = np.repeat(np.arange(len(pairs)), [len(out) + len(new) for out, new, _ in pairs])
+    moved = np.array([k for out, new, _ in pairs for k in (*out, *new)], dtype=np.int64)
+    sign = np.array([x for out, new, _ in pairs for x in (*[1.0] * len(out), *[-1.0] * len(new))], dtype=float)
     times = fairness * np.array([p[2] for p in pairs], dtype=float) / len(texts)
     size = np.array([len(c) for c in columns], dtype=float) + 1
     curve = 0.25 * np.bincount(flat, weights=size[rows], minlength=len(kept)) / len(texts) + 1e-9
-    np.add.at(curve, minus[minus >= 0], 4 * times[minus >= 0])
-    np.add.at(curve, plus[plus >= 0], 4 * times[plus >= 0])
+    # A swap that moves m features bends each by twice its weight, m times at most.
+    if len(pairs):
+        curve += np.bincount(moved, weights=(2 * times * np.bincount(swap, minlength=len(pairs)))[swap], minlength=len(kept))
     offset_curve = 0.25 * size.mean()
     weights = ahead = np.zeros(len(kept))
     bias = bias_ahead = offset
@@ -155,10 +169,8 @@ def fit(texts: list[str], labels: np.ndarray, groups: tuple[str, ...] = IDENTITY
         error = 1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels
         slope = np.bincount(flat, weights=error[rows], minlength=len(kept)) / len(texts)
         if len(pairs):
-            value = lambda at: np.where(at >= 0, ahead[at], 0.0)
-            pull = 2 * times * (value(minus) - value(plus))
-            np.add.at(slope, minus[minus >= 0], pull[minus >= 0])
-            np.add.at(slope, plus[plus >= 0], -pull[plus >= 0])
+            pull = 2 * times * np.bincount(swap, weights=sign * ahead[moved], minlength=len(pairs))
+            slope += np.bincount(moved, weights=sign * pull[swap], minlength=len(kept))
         step = ahead - slope / curve
         step = np.sign(step) * np.maximum(np.abs(step) - SPARSITY / curve, 0)
         bias_step = bias_ahead - error.mean() / offset_curve

@@ -124,6 +124,21 @@ def test_swapped_identity_terms_do_not_move_the_score():
     assert toxicity.fit([], np.array([])).scorer()("x") == 0.5
 
 
+@pytest.mark.parametrize("term,other", [("muslim", "jewish"), ("immigrants", "refugees"), ("transgender", "heterosexual")])
+def test_beginnings_of_identity_terms_do_not_move_the_score(term, other):
+    texts = [f"{term} people are here"] * 12 + [f"{other} people are here"] * 20 + ["all is well"] * 20
+    labels = np.array([1.0] * 12 + [0.0] * 40)
+
+    def gap(model):
+        score = lambda t: (lambda p: np.log(p / (1 - p)))(model.scorer()(t))
+        return abs(score(f"{term} people") - score(f"{other} people"))
+
+    fair, plain = toxicity.fit(texts, labels), toxicity.fit(texts, labels, fairness=0.0)
+    assert gap(fair) < gap(plain) / 4
+    gone, new = next(x for x in toxicity.counterfactuals({term, term + "ly"}) if other in x[1])
+    assert gone == {term} and new == set(toxicity.features_of(other))
+
+
 def test_network_learns_and_reads_to_the_end():
     draw = random.Random(2)
     good = [" ".join(draw.choices(["the", "sea", "is", "calm", "and", "blue,"], k=draw.randint(5, 200))) for _ in range(150)]
