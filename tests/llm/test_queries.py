@@ -210,6 +210,18 @@ def test_line_dedup(session, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_lines_join_within_a_tenth(session):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcdefghijklm", k=7)) for _ in range(1000)]
+    # Seventy words with other letters: 490 of 7,999 characters, 6 %.
+    changed = words[:60] + ["nopqrst"] * 70 + words[130:]
+    rows = [(1, " ".join(words)), (2, " ".join(changed))]
+    table = session.createDataFrame([(k, 0, len(t)) for k, t in rows], "id long, simhash long, size int")
+    table = table.withColumn("first", F.struct(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, F.xxhash64(F.lit(rows[0][1]))).otherwise(F.xxhash64(F.lit(rows[1][1]))).alias("text_hash"), F.lit(0).alias("place")))
+    docs = session.createDataFrame(rows, "doc_id long, text string")
+    assert line_dedup.groups(docs, stored(table, "classes")).count() == 2
+
+
 @pytest.mark.parametrize("score,label", [(byte_network.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
 def test_scores_of_all_rows(session, docs, nothing, score, label):
     frame, rows = docs
