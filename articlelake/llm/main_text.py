@@ -7,7 +7,8 @@ are left the label of their nearest decided neighbours. Inside a declared articl
 element the stop-word rule does not reject, since tables or lists of names are text there.
 
 A null, empty or text-free page gives an empty text. Repeated rows stay apart, other columns
-are ignored, and any length is read to its end. Unclosed tags end with their container.
+are ignored, and any length is read to its end. Unclosed tags end with their container,
+head with the first element of the body; only script, style and textarea run on.
 """
 
 from __future__ import annotations
@@ -36,10 +37,13 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Elements whose content is never text, containers, and elements that end a block.
-SILENT = "script style noscript template textarea select button svg iframe object title head canvas math option datalist"
-REJECTED = frozenset("nav header footer aside form menu dialog figcaption".split())
+SILENT = frozenset("noscript template select button svg iframe object title head canvas option datalist".split())
+# What runs on without its end tag, whatever stands in it, and what may stand in head.
+RAW = frozenset("script style textarea".split())
+HEAD = frozenset("title meta link base basefont script style noscript template".split())
+REJECTED = frozenset("nav header footer aside form menu dialog".split())
 DECLARED = frozenset("article main".split())
-CONTAINERS = REJECTED | DECLARED | frozenset("div section ul ol dl table tbody thead tr td th figure fieldset details blockquote body html center".split())
+CONTAINERS = REJECTED | DECLARED | frozenset("div section ul ol dl table tbody thead tr td th figure figcaption fieldset details blockquote body html center".split())
 BLOCKS = CONTAINERS | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre address hr caption summary legend".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HINTS = frozenset(
@@ -64,7 +68,8 @@ LINKED = 0.5
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<silent>{SILENT.replace(' ', '|')})\b(?P<rest>(?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>(?:.*?</(?P=silent)\s*>|.*\Z)"
+    rf"|<(?P<raw>{'|'.join(sorted(RAW))})\b(?P<rest>(?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+)>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<title\b[^>]*(?<!/)>(?:(?!</?(?:head|body)\b).)*?</title\s*>"
     r"|</?(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?>[^\"'>]+|\"[^\"]*\"|'[^']*')*+|[^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -115,6 +120,7 @@ def blocks(page: str) -> Iterator[Block]:
     linked = regions = links = 0
     own_rejected = heading = False
     at = 0
+    silent: list[tuple[str, int]] = []  # open silent elements, and the containers open around each
 
     def block() -> Iterator[Block]:
         nonlocal linked
@@ -127,7 +133,7 @@ def blocks(page: str) -> Iterator[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not silent:
             pieces.append(html.unescape(raw) if "&" in raw else raw)
             if links:
                 linked += len("".join(pieces[-1].split()))
@@ -139,6 +145,30 @@ def blocks(page: str) -> Iterator[Block]:
         if not tag:
             continue
         closing = page[found.start() + 1] == "/"
+        if silent and silent[0][0] == "head" and (tag == "body" or silent[-1][0] == "head" and tag not in HEAD | {"head", "html"}):
+            silent.clear()
+        if tag in SILENT:
+            if not closing:
+                if not found["attributes"].rstrip().endswith("/"):
+                    silent.append((tag, len(open_tags)))
+            elif tag in (names := [name for name, _ in silent]):
+                del silent[len(names) - 1 - names[::-1].index(tag) :]
+            continue
+        if silent:
+            opened = max((k for k in range(1, len(open_tags)) if open_tags[k][0] == tag), default=0) if closing else 0
+            if not closing or opened >= silent[-1][1]:  # inside of the silent element
+                if tag in CONTAINERS and closing:
+                    del open_tags[opened:]
+                elif tag in CONTAINERS and not found["attributes"].endswith("/"):
+                    open_tags.append((tag, *open_tags[-1][1:]))
+                continue
+            if not opened:
+                continue
+            while silent and silent[-1][1] > opened:
+                silent.pop()
+            if silent:
+                del open_tags[opened:]
+                continue
         if tag == "a":
             links = 0 if closing else 1
         elif tag == "br":

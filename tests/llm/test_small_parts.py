@@ -114,6 +114,18 @@ def test_main_text_leaves_out_what_surrounds_the_article():
     assert main_text.main_text(None) == main_text.main_text("") == main_text.main_text("<p></p>") == ""
 
 
+def test_main_text_survives_unclosed_and_empty_silent_elements():
+    long = "The harbour was closed for the winter and all of the boats that were in it had to be taken to the other side of the bay, where they are to stay until the ice has gone and it is safe for them to return to the town."
+    assert main_text.main_text(f"<html><head><title>T</title><body><article><p>{long}</article>") == long
+    assert main_text.main_text(f"<html><head><title>T</title><meta charset=x><article><p>{long}</article>") == long
+    for tag in ("svg", "iframe", "canvas", "object"):
+        assert main_text.main_text(f"<article><p>{long}</p><{tag} a='b' /><p>{long}</p><{tag}>no</{tag}><p>{long}</p></article>") == "\n".join([long] * 3)
+        assert main_text.main_text(f"<article><div><{tag}>no</div><p>{long}</p></article>") == long
+        assert main_text.main_text(f"<article><p>{long} <{tag}><div>no</div></{tag}>more</p></article>") == f"{long} more"
+    page = f"<article><p>{long}</p><p>So <math><mi>x</mi></math> is it.</p><figure><figcaption>{long}</figcaption></figure></article><script>a"
+    assert main_text.main_text(page) == f"{long}\nSo x is it.\n{long}"
+
+
 def test_swapped_identity_terms_do_not_move_the_score():
     texts = ["gay people are idiot here"] * 8 + ["gay women idiot"] * 4 + ["straight people are fine here"] * 20 + ["all is well"] * 20
     labels = np.array([1.0] * 12 + [0.0] * 40)
