@@ -56,6 +56,14 @@ HINTS = frozenset(
     pager copyright legal disclaimer alert skip
     """.split()
 )
+# Parts that beside hints say where a container lies or what it looks like.
+NEUTRAL = frozenset(
+    """
+    site page main global local primary secondary top bottom left right upper lower inner outer
+    area box bar block section wrapper wrap container list item items content links link buttons
+    button icons posts post form text body message modal col column slot unit widget region zone
+    """.split()
+)
 TEXT_HINTS = frozenset("article articlebody post entry story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog note menu menubar toolbar".split())
 
@@ -85,16 +93,27 @@ class Block:
     rejected: bool
     declared: int
     heading: bool
+    hinted: tuple[int, ...] = ()  # containers around it that only their name rejects
+
+
+def _is_hint(token: str) -> bool:
+    """Whether a whole class token names what is no article text, as in left-sidebar but not no-sidebar."""
+    parts = [p.lower() for p in _NAME_PARTS.findall(token)]
+    return any(p in HINTS for p in parts) and all(p in HINTS or p in NEUTRAL or p.isdigit() for p in parts)
+
+
+def _named(attributes: str) -> bool:
+    """Whether class or id of a tag names what is no article text."""
+    found = ((name.lower(), value.strip("\"'")) for name, value, _ in _ATTRIBUTE.findall(attributes))
+    return any(name in ("class", "id") and any(map(_is_hint, value.split())) for name, value in found)
 
 
 def _hinted(attributes: str) -> bool:
-    """Whether class, id, role or visibility of a tag marks what is no article text."""
+    """Whether role or visibility of a tag marks what is no article text."""
     for name, value, hidden in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if hidden or (name == "aria-hidden" and value.lower() == "true"):
             return True
-        if name in ("class", "id") and any(p.lower() in HINTS for p in _NAME_PARTS.findall(value)):
-            return True
         if name == "role" and value.lower() in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
@@ -113,9 +132,42 @@ def _declares_text(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """Blocks of a page in order, with the evidence that pass one needs."""
-    open_tags: list[tuple[str, bool, int]] = [("", False, 0)]  # name, rejected, declared region
+def _declares_main(tag: str, attributes: str) -> bool:
+    """Whether a tag is the one place of the article; teasers and comments may be article elements too."""
+    if tag == "main":
+        return True
+    found = ((name.lower(), value.strip("\"'").lower()) for name, value, _ in _ATTRIBUTE.findall(attributes))
+    return any((name, value) in (("itemprop", "articlebody"), ("role", "main")) for name, value in found)
+
+
+def blocks(page: str) -> list[Block]:
+    """Blocks of a page in order, with the evidence that pass one needs.
+
+    The name of a container does not reject it if it holds the main region of the page, or,
+    where none is declared outside of it, most of the text and of what is rich in stop words.
+    """
+    holds_main: set[int] = set()
+    found = list(_blocks(page, holds_main))
+    if not any(b.hinted for b in found):
+        return found
+    rich = [len(b.text) if not b.rejected and len(b.text) >= SHORT and _density(b.text) >= RICH else 0 for b in found]
+    whole = [0 if b.rejected else len(b.text) for b in found]
+    held: dict[int, tuple[int, int]] = {}
+    for b, *sizes in zip(found, rich, whole, strict=True):
+        for k in b.hinted:
+            held[k] = tuple(x + y for x, y in zip(held.get(k, (0, 0)), sizes, strict=True))
+    outside = any(size and b.declared and holds_main.issuperset(b.hinted) for b, size in zip(found, rich, strict=True))
+    free = holds_main | {k for k, (a, b) in held.items() if not outside and 2 * a > sum(rich) and 2 * b > sum(whole)}
+    for b in found:
+        b.rejected = b.rejected or not free.issuperset(b.hinted)
+    return found
+
+
+def _blocks(page: str, holds_main: set[int]) -> Iterator[Block]:
+    """Blocks in order; adds the hinted containers that hold the main region to ``holds_main``."""
+    # Name, rejected, declared region, containers that their name rejects.
+    open_tags: list[tuple[str, bool, int, tuple[int, ...]]] = [("", False, 0, ())]
+    named = 0
     pieces: list[str] = []
     linked = regions = links = 0
     own_rejected = heading = False
@@ -126,8 +178,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            _, rejected, declared = open_tags[-1]
-            yield Block(text, linked, rejected or own_rejected, declared, heading)
+            _, rejected, declared, hinted = open_tags[-1]
+            yield Block(text, linked, rejected or own_rejected, declared, heading, hinted)
         pieces.clear()
         linked = 0
 
@@ -179,7 +231,7 @@ def blocks(page: str) -> Iterator[Block]:
         links, own_rejected, heading = 0, False, False
         if tag not in CONTAINERS:
             if not closing and tag not in VOID:
-                own_rejected = bool(found["attributes"]) and _hinted(found["attributes"])
+                own_rejected = bool(found["attributes"]) and (_hinted(found["attributes"]) or _named(found["attributes"]))
                 heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         elif closing:
             for k in range(len(open_tags) - 1, 0, -1):
@@ -187,19 +239,30 @@ def blocks(page: str) -> Iterator[Block]:
                     del open_tags[k:]
                     break
         elif not found["attributes"].endswith("/"):
-            _, rejected, declared = open_tags[-1]
-            if not rejected and not declared and (tag in DECLARED or _declares_text(found["attributes"])):
+            _, rejected, declared, hinted = open_tags[-1]
+            declares = tag in DECLARED or _declares_text(found["attributes"])
+            if not rejected and not declared and declares:
                 regions += 1
                 declared = regions
+            if not rejected and _declares_main(tag, found["attributes"]):
+                holds_main.update(hinted)
             inner_header = tag == "header" and declared
             rejected = rejected or (tag in REJECTED and not inner_header)
             if tag not in ("body", "html") and found["attributes"]:
                 rejected = rejected or _hinted(found["attributes"])
-            open_tags.append((tag, rejected, declared))
+                if not declares and not inner_header and _named(found["attributes"]):
+                    named += 1
+                    hinted = (*hinted, named)
+            open_tags.append((tag, rejected, declared, hinted))
     say(page[at:])
     yield from block()
 
 
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words)
+
+
 def _first_pass(b: Block) -> tuple[bool | None, bool]:
     """Label if decided, and whether a doubtful block leans to text."""
     size = len(b.text)
@@ -209,8 +272,7 @@ def _first_pass(b: Block) -> tuple[bool | None, bool]:
         return False, False
     if size < SHORT:
         return None, b.heading and bool(b.declared)
-    words = b.text.lower().split()
-    density = sum(_EDGE.sub("", w) in STOP_WORDS for w in words) / len(words)
+    density = _density(b.text)
     if b.declared:
         return True, True
     if density >= RICH:
@@ -222,7 +284,7 @@ def _first_pass(b: Block) -> tuple[bool | None, bool]:
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by one line end."""
-    found = list(blocks(page or ""))
+    found = blocks(page or "")
     decided = [_first_pass(b) for b in found]
     labels = [label for label, _ in decided]
     kept = []

@@ -126,6 +126,15 @@ def test_main_text_survives_unclosed_and_empty_silent_elements():
     assert main_text.main_text(page) == f"{long}\nSo x is it.\n{long}"
 
 
+def test_names_of_containers_do_not_lose_the_article():
+    long = "The harbour was closed for the winter and all of the boats that were in it had to be taken to the other side of the bay, where they are to stay until the ice has gone and it is safe for them to return to the town."
+    for tag in ("main class='content-with-sidebar'", "article class='post has-social-share'", "div id=page class=no-sidebar", "div class='legal-news'", "div class=sidebar"):
+        page = f"<body><{tag}><p>{long}</p></{tag.split()[0]}><div class='left-sidebar'><p>Is it on? {long[:90]}</p></div></body>"
+        assert main_text.main_text(page) == long, tag
+    assert main_text.main_text(f"<div class='layout sidebar'><main><p>{long}</p></main></div><div class=comments><p>{long * 3}</p></div>") == long
+    assert main_text.main_text(f"<article><header class='entry-header header'><h1>Ice</h1></header><p>{long}</p></article>") == f"Ice\n{long}"
+
+
 def test_swapped_identity_terms_do_not_move_the_score():
     texts = ["gay people are idiot here"] * 8 + ["gay women idiot"] * 4 + ["straight people are fine here"] * 20 + ["all is well"] * 20
     labels = np.array([1.0] * 12 + [0.0] * 40)
