@@ -210,6 +210,22 @@ def test_line_dedup(session, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_one_changed_place_is_found_at_any_length(session):
+    draw = random.Random(9)
+    rows, han = [], "这是一个关于海港的故事在冬天关闭了"
+    for n in (4, 10, 20, 40, 100):
+        for k in range(12):
+            words = ["".join(draw.choices("abcdefghijklm", k=draw.randint(4, 8))) for _ in range(n)]
+            at = draw.randrange(n)
+            # A letter goes or comes; from eleven words on a whole word is another one.
+            edits = (words[at][1:], words[at] + "x", "".join(draw.choices("nopqrst", k=4)) if n >= 20 else "x" + words[at][1:])
+            rows += [" ".join(words), " ".join([*words[:at], edits[k % 3], *words[at + 1 :]])]
+    rows += [han, han, "two words"]
+    table = [(2 * k, t) for k, t in enumerate(rows)] + [(2 * len(rows) - 2, "two words")]
+    got = {r["doc_id"]: r["n_kept"] for r in line_dedup.dedup_lines(session.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [got[2 * k] for k in range(len(rows))] == [1, 0] * (len(rows) // 2) + [1]
+
+
 def test_long_lines_join_within_a_tenth(session):
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefghijklm", k=7)) for _ in range(1000)]
@@ -217,7 +233,7 @@ def test_long_lines_join_within_a_tenth(session):
     changed = words[:60] + ["nopqrst"] * 70 + words[130:]
     rows = [(1, " ".join(words)), (2, " ".join(changed))]
     table = session.createDataFrame([(k, 0, len(t)) for k, t in rows], "id long, simhash long, size int")
-    table = table.withColumn("first", F.struct(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, F.xxhash64(F.lit(rows[0][1]))).otherwise(F.xxhash64(F.lit(rows[1][1]))).alias("text_hash"), F.lit(0).alias("place")))
+    table = table.withColumn("ends", F.array().cast("array<bigint>")).withColumn("first", F.struct(F.col("id").alias("doc_id"), F.when(F.col("id") == 1, F.xxhash64(F.lit(rows[0][1]))).otherwise(F.xxhash64(F.lit(rows[1][1]))).alias("text_hash"), F.lit(0).alias("place")))
     docs = session.createDataFrame(rows, "doc_id long, text string")
     assert line_dedup.groups(docs, stored(table, "classes")).count() == 2
 
