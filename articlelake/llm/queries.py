@@ -13,6 +13,7 @@ from . import (
     huffman_files,
     line_dedup,
     main_text,
+    merkle,
     mixing,
     ngram_join,
     packing,
@@ -76,6 +77,10 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.with_neighbours(read(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,8 +94,65 @@ QUERIES = {
         op8_mixing,
         op9_line_dedup,
         op10_winnowing,
+        op12_merkle_manifest,
     )
 }
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+def _crc32_sql(value: str) -> str:
+    """Each byte goes in, then eight shifts (marked -1) by the reversed polynomial."""
+    steps = f"flatten(list_transform(string_split({value}, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    shift = "CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda r, x: {shift}))"
+
+
+def _paths_sql(leaves: str, tree: str) -> str:
+    """What stands before and after each leaf's ancestors in their runs of three."""
+    return f"""
+        SELECT l.grp, l.i, lvl, coalesce(string_agg(h, '' ORDER BY t.i) FILTER (WHERE t.i < l.at), '') AS before,
+            coalesce(string_agg(h, '' ORDER BY t.i) FILTER (WHERE t.i > l.at), '') AS after
+        FROM (SELECT grp, i, lvl, i // CAST(3 ** lvl AS BIGINT) AS at
+            FROM {leaves} JOIN (SELECT DISTINCT grp, lvl FROM {tree} WHERE n > 1) USING (grp)) l
+        JOIN {tree} t USING (grp, lvl) WHERE t.n > 1 AND t.i // 3 = l.at // 3 GROUP BY l.grp, l.i, lvl"""
+
+
+def _tree_sql(leaves: str, tree: str) -> str:
+    return f"""{tree}(grp, lvl, i, h, n) AS (
+            SELECT grp, 0, i, leaf, count(*) OVER (PARTITION BY grp) FROM {leaves}
+            UNION ALL SELECT grp, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+            FROM {tree} WHERE n > 1 GROUP BY grp, lvl, n, i // 3)"""
+
+
+_MERKLE_SQL = f"""
+    WITH RECURSIVE hashed AS (
+        SELECT coalesce('=' || source, '') AS grp, doc_id, {_leaf_sql("text")} AS leaf,
+            {_leaf_sql("replace(text, chr(10), '')")} AS changed FROM documents),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed),
+    {_tree_sql("leaves", "tree")},
+    subs AS (SELECT '' AS grp, grp AS source, h AS leaf, row_number() OVER (ORDER BY grp) - 1 AS i FROM tree WHERE n = 1),
+    {_tree_sql("subs", "tops")},
+    low AS ({_paths_sql("leaves", "tree")}), high AS ({_paths_sql("subs", "tops")}),
+    steps AS (
+        SELECT *, row_number() OVER (PARTITION BY grp, i ORDER BY lvl) AS step FROM (
+            SELECT * FROM low UNION ALL
+            SELECT l.grp, l.i, 1000 + high.lvl, before, after
+            FROM leaves l JOIN subs s ON s.source = l.grp JOIN high ON high.i = s.i)),
+    proofs AS (SELECT grp, i, string_agg(before || after, '' ORDER BY step) AS proof FROM steps GROUP BY grp, i),
+    folds(grp, i, step, h) AS (
+        SELECT grp, i, 0, CASE WHEN {_crc32_sql('doc_id::VARCHAR')} % 2 = 0 THEN changed ELSE leaf END FROM leaves
+        UNION ALL SELECT grp, i, folds.step + 1, sha256(before || h || after)
+        FROM folds JOIN steps USING (grp, i) WHERE steps.step = folds.step + 1)
+    SELECT doc_id, leaf, subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+    FROM leaves l JOIN (SELECT source AS grp, leaf AS subroot FROM subs) USING (grp) CROSS JOIN (SELECT h FROM tops WHERE n = 1) r LEFT JOIN proofs p USING (grp, i)
+    JOIN (SELECT grp, i, max_by(h, step) AS h FROM folds GROUP BY grp, i) f USING (grp, i)"""
 # The other results have no SQL form, or one that is too slow on whole tables: pages are read
 # by rules, ids come from a tokenizer, scores from fitted models, links from all pairs, orders
 # from hashes. Their tests compare with brute force.
@@ -99,4 +161,5 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op12_merkle_manifest": _MERKLE_SQL,
 }
