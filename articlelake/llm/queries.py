@@ -17,6 +17,7 @@ from . import (
     mixing,
     ngram_join,
     packing,
+    phrases,
     quotient_filter,
     toxicity,
     winnowing,
@@ -81,6 +82,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(read(spark, folder, "documents"))
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -95,6 +100,7 @@ QUERIES = {
         op9_line_dedup,
         op10_winnowing,
         op12_merkle_manifest,
+        op13_phrases,
     )
 }
 
@@ -153,6 +159,31 @@ _MERKLE_SQL = f"""
     SELECT doc_id, leaf, subroot, r.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
     FROM leaves l JOIN (SELECT source AS grp, leaf AS subroot FROM subs) USING (grp) CROSS JOIN (SELECT h FROM tops WHERE n = 1) r LEFT JOIN proofs p USING (grp, i)
     JOIN (SELECT grp, i, max_by(h, step) AS h FROM folds GROUP BY grp, i) f USING (grp, i)"""
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_GRAMS = ", ".join(f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))" for k in (1, 2, 3))
+_PHRASES_SQL = rf"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(text, '{_LETTERS}', '{_LETTERS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    listed AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+    grams AS (SELECT lang, unnest(flatten([{_GRAMS}])) AS phrase FROM listed),
+    counts AS (SELECT lang, phrase, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+    totals AS (SELECT lang, sum(a) AS n FROM counts WHERE len(w) = 1 GROUP BY lang),
+    candidates AS (SELECT * FROM counts WHERE len(w) > 1 AND a >= 10),
+    cuts AS (SELECT *, unnest(range(1, len(w))) AS k FROM candidates),
+    scores AS (
+        SELECT c.lang, c.phrase, c.a, k, f.a AS l, g.a AS r, 1000000 * c.a * c.a // (f.a * g.a) AS score
+        FROM cuts c JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(c.w[1:k], ' ')
+        JOIN counts g ON g.lang = c.lang AND g.phrase = array_to_string(c.w[k + 1:], ' ')),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_parts AS (
+        SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS above
+        FROM (SELECT *, unnest([1, 2]) AS i FROM candidates WHERE len(w) = 3) GROUP BY ALL),
+    ranked AS (
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+        FROM best LEFT JOIN inner_parts USING (lang, phrase) WHERE above IS NULL OR 100 * above < 50 * a)
+    SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 # The other results have no SQL form, or one that is too slow on whole tables: pages are read
 # by rules, ids come from a tokenizer, scores from fitted models, links from all pairs, orders
 # from hashes. Their tests compare with brute force.
@@ -162,4 +193,5 @@ ORACLES = {
             doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op12_merkle_manifest": _MERKLE_SQL,
+    "op13_phrases": _PHRASES_SQL,
 }
