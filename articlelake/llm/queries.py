@@ -10,6 +10,7 @@ from articlelake.session import scratch_folder
 
 from . import (
     byte_network,
+    chosen_path,
     huffman_files,
     line_dedup,
     main_text,
@@ -78,6 +79,10 @@ def op10_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.with_neighbours(read(spark, folder, "documents"))
 
 
+def op11_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    return chosen_path.join(read(spark, folder, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(read(spark, folder, "documents"))
 
@@ -99,6 +104,7 @@ QUERIES = {
         op8_mixing,
         op9_line_dedup,
         op10_winnowing,
+        op11_chosen_path,
         op12_merkle_manifest,
         op13_phrases,
     )
