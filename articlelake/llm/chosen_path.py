@@ -8,9 +8,10 @@ two sets agree in a token with the probability of their Jaccard similarity.
    the child of each selected token's value. The name of a child is a hash of its path, so
    sets find their nodes without any exchange. Linked sets stay together in at least one
    child per node on average; the unlike are dealt apart.
-2. Nodes of one set end. In a node of at most ``SMALL`` sets all pairs are compared. In a
-   larger one, all sets are compared with one leader; unless that leaves them all in one
-   component, the node branches again. Sets of the leader's component that are too close to
+2. Nodes whose sets are all in one component end. A node is small if its sets have at most
+   ``SMALL`` others outside of their components on average; then all pairs across components
+   are compared. In a larger one, all sets are compared with one leader, and unless that
+   leaves one component, the node branches again. Sets of the leader's component that are too close to
    the leader to be linked to any other set of the node stay behind: Jaccard distance obeys
    the triangle inequality.
 3. Candidates whose sketches agree far too little are dropped, the others are confirmed on
@@ -32,8 +33,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +48,8 @@ from .tables import map_rows, stored, text_or_empty
 
 WORDS, SHARE = 4, 80  # shingle width; 100 * intersection >= SHARE * union
 TOKENS, TREES, DEPTH = 64, 16, 16
-#: Nodes of at most so many sets are compared in full.
-SMALL = 24
+#: In a node compared in full, a set has so many sets of other components on average.
+SMALL = 64
 #: A candidate below so many equal tokens is no link: 4.3 standard deviations below a pair at 80 %.
 LEAST_EQUAL = 38
 #: Rows of one key that one task takes; keys of more get their facts by broadcast.
@@ -70,22 +73,29 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype("<u2")
 
 
-def children(node: np.uint64, tokens: np.ndarray, share: int = SHARE) -> list[int]:
-    """Names of the children that a set with these tokens goes to."""
+def selected(node: np.uint64, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens that a node selects, and the names they give its children."""
     draw = mix(_PLACES ^ node)
     chosen = np.flatnonzero(draw < np.uint64(int(2.0**64 / (share / 100 * TOKENS))))
-    return mix(draw[chosen] + tokens[chosen].astype(np.uint64)).view(np.int64).tolist()
+    return chosen, draw[chosen]
+
 
+def children(chosen: np.ndarray, draw: np.ndarray, tokens: np.ndarray) -> list[int]:
+    """Names of the children that a set with these tokens goes to."""
+    return mix(draw + tokens[chosen].astype(np.uint64)).view(np.int64).tolist()
 
-def roots() -> list[np.uint64]:
-    return list(mix(np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32)))
+
+def roots(share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """What the roots of all trees select."""
+    trees = [selected(node, share) for node in mix(np.arange(1, TREES + 1, dtype=np.uint64) << np.uint64(32))]
+    return tuple(np.concatenate(x) for x in zip(*trees, strict=True))
 
 
 def sketches(docs: DataFrame, words: int, share: int) -> DataFrame:
     """Per document: doc_id, text_key, n, set_id, tokens, and its nodes below all roots."""
 
     def start():
-        trees = roots()
+        trees = roots(share)
 
         def rows(doc_id, key, text):
             found = shingle_set(text, words)
@@ -94,7 +104,7 @@ def sketches(docs: DataFrame, words: int, share: int) -> DataFrame:
                 return
             set_id = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
             tokens = sketch(found)
-            yield doc_id, key, len(found), set_id, tokens.tobytes(), [c for tree in trees for c in children(tree, tokens, share)]
+            yield doc_id, key, len(found), set_id, tokens.tobytes(), children(*trees, tokens)
 
         return rows
 
@@ -122,13 +132,13 @@ def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 def estimated(pairs: DataFrame) -> DataFrame:
     """(a, b, equal) for pairs with the tokens of both: how many of them are equal."""
 
-    def start():
-        def rows(a, b, s, t):
-            yield a, b, int(np.count_nonzero(np.frombuffer(s, dtype="<u2") == np.frombuffer(t, dtype="<u2")))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, TOKENS) for k in (2, 3))
+            equal = pa.array((s == t).sum(axis=1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), equal], names=["a", "b", "equal"])
 
-        return rows
-
-    return map_rows(pairs.select("a", "b", "tokens_a", "tokens_b"), start, "a long, b long, equal int")
+    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long, equal int")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, unique: DataFrame, words: int) -> DataFrame:
@@ -149,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, unique: DataFrame, words: int)
     shingled = stored(map_rows(texts_of(docs, chosen), cut, "set_id long, shingles binary").dropDuplicates(["set_id"]), "path-sets")
     places = F.floor(F.col("degree") / PAIRS_PER_TASK) + 1
     degrees = stored(pairs.groupBy("a").agg(F.count("*").alias("degree")).withColumn("places", places), "path-degrees")
-    others = with_facts(pairs, degrees, "a", "degree").withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")))
+    others = with_facts(pairs, degrees, "a", "degree", degrees.agg(F.max("degree")).first()[0] or 0).withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")))
     others = others.join(shingled.withColumnRenamed("set_id", "b"), "b").select("a", "place", "b", "shingles")
     own = degrees.join(shingled.withColumnRenamed("set_id", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("places") - 1)).alias("place"), F.lit(None).cast("long").alias("b"), "shingles"
@@ -172,14 +182,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, unique: DataFrame, words: int)
     return map_rows(met.select("a", "b", "shingles"), compare, "a long, b long, overlap long, n_a long, n_b long")
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, largest: int) -> DataFrame:
     """Rows joined to the facts of their key; a key of very many rows is not shuffled.
 
-    ``facts`` is a stored table with the number of rows of each key. Keys of more than
-    ``HOT_ROWS`` are fewer than one in so many rows, and are broadcast once measured.
+    ``facts`` is a stored table with the number of rows of each key, ``largest`` the largest.
+    Keys of more than ``HOT_ROWS`` are fewer than one in so many rows, and are broadcast once
+    measured.
     """
     hot = facts.filter(F.col(size) > HOT_ROWS)
-    if hot.isEmpty() or not fits_broadcast(hot):
+    if largest <= HOT_ROWS or not fits_broadcast(hot):
         return rows.join(facts, key)
     cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.filter(F.col(size) <= HOT_ROWS), key)
     return cool.unionByName(rows.join(F.broadcast(hot), key))
@@ -196,50 +207,65 @@ def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = S
     entries = unique.select(F.explode("nodes").alias("node"), "set_id", F.col("set_id").alias("component"))
     checked = known = None
     for depth in range(1, DEPTH + 2):
-        facts = entries.groupBy("node").agg(
-            F.count("*").alias("size"), F.min_by("set_id", F.xxhash64("set_id", F.lit(depth))).alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        facts = stored(facts.filter("size > 1 AND low <> high").drop("low", "high"), "path-nodes")
-        entries = stored(with_facts(entries, facts, "node", "size"), "path-entries")
-        few = F.lit(depth > DEPTH) | (F.col("size") <= SMALL)
-
-        # All pairs of small nodes; the leader and each other set of large ones.
-        small = entries.filter(few)
-        a = small.select("node", F.col("set_id").alias("a"), F.col("component").alias("component_a"))
+        rank = F.struct(F.xxhash64("set_id", F.lit(depth)), "set_id")
+        parts = entries.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
+        facts = parts.groupBy("node").agg(
+            F.sum("n").alias("size"), F.min("first")["set_id"].alias("leader"), F.max(F.struct("n", "component"))["component"].alias("main"),
+            (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("across"),
+        )
+        few = F.lit(depth > DEPTH) | (F.col("across") <= 2 * SMALL * F.col("size"))
+        facts = stored(facts.filter("across > 0").select("node", "size", "leader", "main", few.alias("few")), "path-nodes")
+        largest, ended = facts.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.bool_and("few"), F.lit(True))).first()
+        entries = stored(with_facts(entries, facts, "node", "size", largest), "path-entries")
+
+        # All pairs across the components of small nodes: sets outside of the largest one
+        # meet all others.
+        small = entries.filter("few")
+        a = small.filter("component <> main").select("node", F.col("set_id").alias("a"), F.col("component").alias("component_a"))
         b = small.select("node", F.col("set_id").alias("b"), F.col("component").alias("component_b"))
-        pairs = a.join(b, "node").filter("a < b AND component_a <> component_b").select("a", "b").distinct()
-        pairs = estimated(pairs.join(named(tokens, "a", "tokens"), "a").join(named(tokens, "b", "tokens"), "b"))
-        large = entries.filter(~few)
-        leaders = stored(facts.filter(~few).withColumnRenamed("leader", "a").join(named(tokens, "a", "tokens"), "a"), "path-leaders")
-        led = with_facts(large.select("node", F.col("set_id").alias("b")), leaders, "node", "size").filter("a <> b")
-        led = estimated(led.select("a", "b", "tokens_a").distinct().join(named(tokens, "b", "tokens"), "b"))
+        pairs = a.join(b, "node").filter("component_a <> component_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = estimated(pairs.join(named(tokens, "a", "tokens"), "a").join(named(tokens, "b", "tokens"), "b")).withColumn("hub", F.lit(None).cast("long"))
+        if not ended:
+            # In large nodes, the leader meets each other set.
+            leaders = facts.filter("not few").select("node", "size", F.col("leader").alias("a")).join(named(tokens, "a", "tokens"), "a")
+            leaders = stored(leaders, "path-leaders")
+            large = entries.filter("not few").select("node", "set_id", "leader")
+            led = with_facts(large.select("node", F.col("set_id").alias("b")), leaders, "node", "size", largest).filter("a <> b")
+            led = estimated(led.select("a", "b", "tokens_a").distinct().join(named(tokens, "b", "tokens"), "b"))
+            pairs = pairs.unionByName(led.withColumn("hub", F.col("a")))
 
         # A pair is confirmed once, at its leader if it has one.
-        both = pairs.withColumn("hub", F.lit(None).cast("long")).unionByName(led.withColumn("hub", F.col("a")))
-        both = both.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("hub").alias("hub"), F.max("equal").alias("equal"))
+        pairs = pairs.groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.max("hub").alias("hub"), F.max("equal").alias("equal"))
         if checked is not None:
-            both = both.join(checked.select("low", "high"), ["low", "high"], "left_anti")
-        both = stored(both, "path-pairs")
+            pairs = pairs.join(checked.select("low", "high"), ["low", "high"], "left_anti")
+        pairs = stored(pairs, "path-pairs")
         hub = F.coalesce("hub", "low")
-        likely = both.filter(F.col("equal") >= LEAST_EQUAL).select(hub.alias("a"), F.when(hub == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+        likely = pairs.filter(F.col("equal") >= LEAST_EQUAL).select(hub.alias("a"), F.when(hub == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
         new = stored(confirmed(likely, docs, unique, words), "path-confirmed")
-        checked = both if checked is None else checked.unionByName(both)
+        checked = pairs if checked is None else checked.unionByName(pairs)
         known = new if known is None else known.unionByName(new)
         linked = known.filter((100 + share) * F.col("overlap") >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-        if large.isEmpty():
+        if ended:
             break
         grouped = components(linked).select(F.col("node").alias("set_id"), F.col("component").alias("joined"))
-        large = large.drop("component").join(grouped, "set_id", "left").withColumn("component", F.coalesce("joined", "set_id")).drop("joined")
-        entries = branched(apart(large, checked, known, share), tokens, share)
+        large = joined(large, grouped, "set_id", "component")
+        leaders = leaders.select("node", "size", F.col("a").alias("set_id"))
+        leaders = stored(joined(leaders, grouped, "set_id", "main").select("node", "main", "size"), "path-leaders")
+        left = apart(with_facts(large, leaders, "node", "size", largest), checked, known, largest, share)
+        entries = branched(left, tokens, share)
     return linked
 
 
-def apart(large: DataFrame, checked: DataFrame, known: DataFrame, share: int) -> DataFrame:
+def joined(rows: DataFrame, grouped: DataFrame, key: str, name: str) -> DataFrame:
+    return rows.join(grouped, key, "left").withColumn(name, F.coalesce("joined", key)).drop("joined")
+
+
+def apart(large: DataFrame, checked: DataFrame, known: DataFrame, largest: int, share: int) -> DataFrame:
     """Entries of nodes with several components, without sets too near to the leader to link outside.
 
-    A set of the leader's component at distance d from it is at least D - d away from a set
-    at distance D. Unconfirmed distances are at least what the sketch gives within 4.3
-    standard deviations.
+    ``main`` is the component of the leader. Its sets at distance d from the leader are at
+    least D - d away from a set at distance D. Unconfirmed distances are at least what the
+    sketch gives within 4.3 standard deviations.
     """
     low, high = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
     exact = known.select(low, high, (1 - F.col("overlap") / (F.col("n_a") + F.col("n_b") - F.col("overlap"))).alias("exact"))
@@ -248,26 +274,22 @@ def apart(large: DataFrame, checked: DataFrame, known: DataFrame, share: int) ->
         "low", "high", "exact", F.coalesce("exact", F.greatest(F.lit(1 - share / 100), 1 - slack - F.col("equal") / TOKENS)).alias("least")
     )
     low, high = F.least("set_id", "leader").alias("low"), F.greatest("set_id", "leader").alias("high")
-    measured = large.select("node", "set_id", "leader", "component", "size", low, high).join(ends, ["low", "high"], "left").drop("low", "high")
+    measured = large.select("*", low, high).join(ends, ["low", "high"], "left").drop("low", "high")
     measured = stored(measured, "path-measured")
-    leads = F.col("set_id") == F.col("leader")
-    main = measured.groupBy("node").agg(
-        F.max(F.when(leads, F.col("component"))).alias("main"), F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max("size").alias("size")
-    )
-    main = stored(main.filter("lowest <> highest").select("node", "main", "size"), "path-main")
-    placed = with_facts(measured.drop("size"), main, "node", "size")
-    nearest = placed.filter("component <> main").groupBy("node").agg(F.min(F.coalesce("least", F.lit(0.0))).alias("nearest"), F.max("size").alias("size"))
-    placed = with_facts(placed.drop("size"), stored(nearest, "path-nearest"), "node", "size")
-    distance = F.when(leads, F.lit(0.0)).otherwise(F.col("exact"))
+    outside = F.col("component") != F.col("main")
+    nearest = measured.groupBy("node").agg(F.min(F.when(outside, F.coalesce("least", F.lit(0.0)))).alias("nearest"), F.max("size").alias("size"))
+    nearest = stored(nearest.filter("nearest IS NOT NULL"), "path-nearest")
+    placed = with_facts(measured.drop("size"), nearest, "node", "size", largest)
+    distance = F.when(F.col("set_id") == F.col("leader"), F.lit(0.0)).otherwise(F.col("exact"))
     # A little is given for rounding.
     near = F.coalesce(F.col("nearest") - distance <= 1 - share / 100 + 1e-9, F.lit(True))
-    return stored(placed.filter((F.col("component") != F.col("main")) | near).select("node", "set_id", "component"), "path-apart")
+    return placed.filter(outside | near).select("node", "set_id", "component")
 
 
 def branched(entries: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
     def start():
         def rows(node, set_id, component, values):
-            for child in children(np.uint64(node & 0xFFFFFFFFFFFFFFFF), np.frombuffer(values, dtype="<u2"), share):
+            for child in children(*selected(np.uint64(node & 0xFFFFFFFFFFFFFFFF), share), np.frombuffer(values, dtype="<u2")):
                 yield child, set_id, component
 
         return rows
