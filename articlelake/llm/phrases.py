@@ -1,15 +1,18 @@
 """Phrase collocations by multikey quicksort of suffix pointers.
 
-1. Texts are cut into pieces and words as bytes. A suffix is what follows a word up to the
-   end of its piece, cut to ``LONGEST`` words. Each task counts equal suffixes and words of
-   about ``HELD`` words of text, and sends on what it has: words for the counts of single
-   words, and blobs of suffixes, routed by language and two leading words.
-2. A route holds all suffixes that begin with its pairs of words. There, pointers to suffixes
+1. Texts are cut into pieces and words as bytes, and words are counted, about ``HELD`` words
+   of text at a time in each task. Words that are frequent in some language are marked in a
+   table of ``2 ** MARK_BITS`` bits by their hash; its size does not grow, and a full one only
+   lets more words pass.
+2. A suffix is what follows a word up to the end of its piece, cut to ``LONGEST`` words and
+   before the first unmarked word. Tasks count equal suffixes in the same way and send them
+   on in blobs, routed by language and two leading words.
+3. A route holds all suffixes that begin with its pairs of words. There, pointers to suffixes
    are sorted by multikey three-way quicksort: a partition is split by one word into less,
    equal and greater; the equal part goes on to the next word, and its size is the count of
    the phrase so far. Partitions of less than ``LEAST`` suffixes are abandoned, as no phrase
    in them can be frequent. A route that grows is first compacted by counting equal suffixes.
-3. Candidates meet the counts of their parts, and lose to longer candidates, by joins.
+4. Candidates meet the counts of their parts, and lose to longer candidates, by joins.
 
 Words A-Z are lower-cased; words lie between spaces and tabs, pieces between ``.,;:!?`` and
 line ends; all other bytes belong to words. A null language is ``und``, a null or empty text
@@ -20,7 +23,7 @@ ignored. In one buffer of words, words are told apart by 64-bit hashes, elsewher
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,11 +34,13 @@ from .tables import map_rows, stored, text_or_empty
 
 LONGEST, LEAST, SHADOW, TOP = 3, 10, 50, 2000
 #: Words whose suffixes a task counts before it passes them on.
-HELD = 1 << 20
+HELD = 1 << 19
 #: Bytes of a text that are cut into words at once; a cut falls between pieces.
-STRETCH = 1 << 22
+STRETCH = 1 << 20
 #: Suffixes that a route takes before it counts equal ones; texts give a route half as many.
-ROUTE = 1 << 21
+ROUTE = 1 << 20
+#: The table of frequent words has two to this power bits.
+MARK_BITS = 25
 #: Parts of a language that are ranked apart first.
 RANK_PARTS = 64
 
@@ -80,11 +85,10 @@ def equal_rows(table: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.n
     return table[first], np.bincount(codes, weights=weights, minlength=len(first)).astype(np.int64)
 
 
-class Suffixes:
-    """Words and cut suffixes of the texts of one language, counted in one task."""
+class Words:
+    """Words of the texts of one language that a task has not counted yet."""
 
-    def __init__(self, longest: int) -> None:
-        self.longest = longest
+    def __init__(self) -> None:
         self.texts: list[bytes] = []
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = self.n_words = self.pieces = 0
@@ -100,18 +104,65 @@ class Suffixes:
         self.n_words += len(starts)
         self.pieces += int(pieces[-1]) + 1
 
-    def counted(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Words, their hashes and counts; rows of word numbers (from 1, 0 is none) and their counts."""
-        starts, ends, hashes, pieces = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        data = b"".join(self.texts)
-        distinct, first, number, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        rows = np.zeros((len(number), self.longest), dtype=np.int64)
-        for depth in range(self.longest):
-            same = pieces[depth:] == pieces[: len(pieces) - depth]
-            rows[: len(same), depth] = np.where(same, number[depth:] + 1, 0)
-        rows = rows[rows[:, 1] > 0]
-        return words, distinct, counts, *equal_rows(rows, np.ones(len(rows)))
+    def close(self) -> tuple[np.ndarray, ...]:
+        """Starts, ends, hashes and pieces of all words, and their text."""
+        whole = (*(np.concatenate(x) for x in zip(*self.parts, strict=True)), b"".join(self.texts))
+        self.parts, self.texts = [], []
+        return whole
+
+
+def counted_words(found: Words) -> Iterator[tuple[bytes, int, int]]:
+    """Each word with its hash and count."""
+    starts, ends, hashes, _, data = found.close()
+    distinct, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+    for a, b, h, n in zip(starts[first].tolist(), ends[first].tolist(), distinct.view(np.int64).tolist(), counts.tolist(), strict=True):
+        yield data[a:b], h, n
+
+
+def cut_suffixes(found: Words, longest: int, marks: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Marked words, their hashes; suffixes as rows of word numbers (0 is none) and their counts."""
+    starts, ends, hashes, pieces, data = found.close()
+    marked = marks[(hashes >> np.uint64(64 - MARK_BITS)).astype(np.int64)]
+    places = np.flatnonzero(marked)
+    distinct, first, number = np.unique(hashes[places], return_index=True, return_inverse=True)
+    first = places[first]
+    words = [data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+    numbers = np.zeros(len(hashes) + longest, dtype=np.int32)
+    numbers[places] = number + 1
+    pieces = np.concatenate([pieces, np.full(longest, -1)])
+    rows = np.zeros((len(places), longest), dtype=np.int32)
+    whole = np.ones(len(places), dtype=bool)
+    for depth in range(longest):
+        whole &= (pieces[places + depth] == pieces[places]) & (numbers[places + depth] > 0)
+        rows[:, depth] = np.where(whole, numbers[places + depth], 0)
+    rows = rows[rows[:, 1] > 0]
+    return words, distinct, *equal_rows(rows, np.ones(len(rows)))
+
+
+def by_language(held: int, close: Callable[[str, Words], Iterator[tuple]]) -> Callable:
+    """A row function that collects texts by language and closes all at ``held`` words."""
+    waiting: dict[str, Words] = {}
+    state = {"words": 0}
+
+    def finish():
+        for lang, found in waiting.items():
+            yield from close(lang, found)
+        waiting.clear()
+        state["words"] = 0
+
+    def rows(lang, text):
+        for stretch in stretches(text):
+            found = waiting.get(lang) or Words()
+            before = found.n_words
+            found.add(stretch)
+            if found.n_words:
+                waiting[lang] = found
+            state["words"] += found.n_words - before
+            if state["words"] >= held:
+                yield from finish()
+
+    rows.finish = finish
+    return rows
 
 
 def frequent(rows: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[list[int], int]]:
@@ -141,50 +192,61 @@ def frequent(rows: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tupl
                 waiting.append((equal, depth + 1))
 
 
-def _routed(docs: DataFrame, longest: int, held: int, routes: int) -> DataFrame:
-    """(route, lang, words, numbers, counts): route -1 has word counts, others suffixes."""
+def _texts(docs: DataFrame) -> DataFrame:
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    return docs.select(lang.alias("lang"), text_or_empty().cast("binary").alias("text"))
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, phrase, hash, a) of all single words."""
 
     def start():
-        open_langs: dict[str, Suffixes] = {}
-        state = {"words": 0}
+        def close(lang, found):
+            for word, number, n in counted_words(found):
+                yield lang, word.decode("utf-8", "replace"), number, n
 
-        def close():
-            for lang, found in open_langs.items():
-                words, hashes, n, rows, counts = found.counted()
-                yield -1, lang, b" ".join(words), None, n.astype("<i8").tobytes()
-                if not len(rows):
-                    continue
-                lead = mix(hashes[rows[:, 0] - 1] * np.uint64(3) + mix(hashes[rows[:, 1] - 1]))
-                route = (lead % np.uint64(routes)).astype(np.int64)
-                order = np.argsort(route, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(route[order]) != 0))
-                for begin, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                    mine = order[begin:end]
-                    used, numbers = np.unique(rows[mine], return_inverse=True)
-                    spelled = [words[k - 1] for k in used.tolist() if k]
-                    shift = 0 if used[0] == 0 else 1
-                    numbers = (numbers.reshape(-1) + shift).astype("<u4").tobytes()
-                    yield int(route[order[begin]]), lang, b" ".join(spelled), numbers, counts[mine].astype("<i8").tobytes()
-            open_langs.clear()
-            state["words"] = 0
-
-        def rows(lang, text):
-            for stretch in stretches(text):
-                found = open_langs.get(lang) or Suffixes(longest)
-                before = found.n_words
-                found.add(stretch)
-                if found.n_words:
-                    open_langs[lang] = found
-                state["words"] += found.n_words - before
-                if state["words"] >= held:
-                    yield from close()
+        return by_language(HELD, close)
 
-        rows.finish = close
-        return rows
+    spelled = map_rows(_texts(docs), start, "lang string, phrase string, hash long, a long")
+    return spelled.groupBy("lang", "phrase", "hash").agg(F.sum("a").alias("a"))
 
-    lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
-    frame = docs.select(lang.alias("lang"), text_or_empty().cast("binary").alias("text"))
-    return map_rows(frame, start, "route long, lang string, words binary, numbers binary, counts binary")
+
+def marks_of(frequent_words: DataFrame) -> np.ndarray:
+    """The table of frequent words; each part of it is one row, made by partial aggregation."""
+    bit = F.shiftrightunsigned("hash", 64 - MARK_BITS)
+    parts = frequent_words.select((bit / 32768).cast("int").alias("part"), (bit % 32768).alias("bit"))
+    table = np.zeros((1 << (MARK_BITS - 15), 4096), dtype=np.uint8)
+    for row in parts.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 4 MiB in all
+        table[row["part"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return table.ravel()
+
+
+def _routed(docs: DataFrame, longest: int, routes: int, marks: np.ndarray) -> DataFrame:
+    """Blobs of counted suffixes: (route, lang, words, numbers, counts)."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks.tobytes())
+
+    def start():
+        table = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").view(bool)
+
+        def close(lang, found):
+            words, hashes, rows, counts = cut_suffixes(found, longest, table)
+            if not len(rows):
+                return
+            lead = mix(hashes[rows[:, 0] - 1] * np.uint64(3) + mix(hashes[rows[:, 1] - 1]))
+            route = (lead % np.uint64(routes)).astype(np.int64)
+            order = np.argsort(route, kind="stable")
+            cuts = np.flatnonzero(np.append(True, np.diff(route[order]) != 0))
+            for begin, end in zip(cuts, [*cuts[1:], len(order)], strict=True):
+                mine = order[begin:end]
+                used, numbers = np.unique(rows[mine], return_inverse=True)
+                spelled = b" ".join([words[k - 1] for k in used.tolist() if k])
+                shift = 0 if used[0] == 0 else 1
+                numbers = (numbers.reshape(-1) + shift).astype("<u4").tobytes()
+                yield int(route[order[begin]]), lang, spelled, numbers, counts[mine].astype("<u4").tobytes()
+
+        return by_language(HELD, close)
+
+    return map_rows(_texts(docs), start, "route long, lang string, words binary, numbers binary, counts binary")
 
 
 def _mined(blobs: DataFrame, longest: int, least: int, parts: int) -> DataFrame:
@@ -214,9 +276,9 @@ def _mined(blobs: DataFrame, longest: int, least: int, parts: int) -> DataFrame:
                 yield from close()
                 reset((route, lang))
             number = state["number"]
-            own = np.array([0, *(number.setdefault(w, len(number) + 1) for w in words.split(b" "))], dtype=np.int64)
+            own = np.array([0, *(number.setdefault(w, len(number) + 1) for w in words.split(b" "))], dtype=np.int32)
             state["rows"].append(own[np.frombuffer(numbers, dtype="<u4")].reshape(-1, longest))
-            state["weights"].append(np.frombuffer(counts, dtype="<i8"))
+            state["weights"].append(np.frombuffer(counts, dtype="<u4").astype(np.int64))
             state["size"] += len(state["weights"][-1])
             if state["size"] >= ROUTE:
                 compact()
@@ -224,22 +286,10 @@ def _mined(blobs: DataFrame, longest: int, least: int, parts: int) -> DataFrame:
         rows.finish = close
         return rows
 
-    suffixes = blobs.filter("route >= 0").repartition(parts, "route", "lang").sortWithinPartitions("route", "lang")
+    suffixes = blobs.repartition(parts, "route", "lang").sortWithinPartitions("route", "lang")
     return map_rows(suffixes, start, "lang string, phrase string, words int, a long")
 
 
-def _word_counts(blobs: DataFrame) -> DataFrame:
-    def start():
-        def rows(lang, words, counts):
-            for word, n in zip(words.split(b" "), np.frombuffer(counts, dtype="<i8").tolist(), strict=True):
-                yield lang, word.decode("utf-8", "replace"), n
-
-        return rows
-
-    spelled = map_rows(blobs.filter("route = -1").select("lang", "words", "counts"), start, "lang string, phrase string, a long")
-    return spelled.groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
-
-
 def _first_words(count: Column) -> Column:
     return F.array_join(F.slice("list", F.lit(1), count), " ")
 
@@ -251,12 +301,13 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, sh
     size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
     # A word and its separator have about six bytes.
     routes = max(parts, size // (3 * ROUTE))
-    blobs = stored(_routed(docs, longest, HELD, routes), "phrase-suffixes")
-    single = stored(_word_counts(blobs), "phrase-words")
+    single = stored(word_counts(docs), "phrase-words")
+    often = single.filter(F.col("a") >= least)
+    blobs = _routed(docs, longest, routes, marks_of(often))
     found = stored(_mined(blobs, longest, least, parts), "phrases")
 
     totals = single.groupBy("lang").agg(F.sum("a").alias("n"))
-    counts = found.select("lang", "phrase", "a").unionByName(single.filter(F.col("a") >= least))
+    counts = found.select("lang", "phrase", "a").unionByName(often.select("lang", "phrase", "a"))
     spread = found.withColumn("list", F.split("phrase", " "))
 
     # The lowest-scoring cut of each phrase.
