@@ -7,11 +7,12 @@ two sets agree in a token with the probability of their Jaccard similarity.
    token with probability ``1 / (share * TOKENS)`` by a hash of its own name; a set goes to
    the child of each selected token's value. The name of a child is a hash of its path, so
    sets find their nodes without any exchange. Linked sets stay together in at least one
-   child per node on average; the unlike are dealt apart.
+   child per node on average; the unlike are dealt apart. Comparisons begin two levels below
+   the roots, where sets that share no more than a passage have parted.
 2. Nodes whose sets are all in one component end. A node is small if its sets have at most
-   ``SMALL`` others outside of their components on average; then all pairs across components
-   are compared. In a larger one, all sets are compared with one leader, and unless that
-   leaves one component, the node branches again. Sets of the leader's component that are too close to
+   ``SMALL`` (later ``WIDE``) others outside of their components on average; then all pairs across components
+   are compared. In a larger one, all sets are compared with one leader, the set of most
+   links so far, and unless that leaves one component, the node branches again. Sets of the leader's component that are too close to
    the leader to be linked to any other set of the node stay behind: Jaccard distance obeys
    the triangle inequality.
 3. Candidates whose sketches agree far too little are dropped, the others are confirmed on
@@ -19,8 +20,8 @@ two sets agree in a token with the probability of their Jaccard similarity.
    no comparison, so a group of copies never gives all its pairs.
 
 After ``DEPTH`` levels, sets of several components that are still together are compared
-across components. A pair at the threshold meets in a tree with probability 0.63 while
-nodes are small, so missing all ``TREES`` trees has a probability of about 1e-7; in deep
+across components. A pair at the threshold meets in a tree with probability 0.47 while
+nodes are small, so missing all ``TREES`` trees has a probability of about 4e-5; in deep
 nodes a tree finds it with about 0.2. Trees depend on nothing but the sets: reruns agree.
 
 Texts are read whole. A null or wordless text has an empty set and links with nothing; its
@@ -47,9 +48,10 @@ from .shingles import mix, shingle_set
 from .tables import map_rows, stored, text_or_empty
 
 WORDS, SHARE = 4, 80  # shingle width; 100 * intersection >= SHARE * union
-TOKENS, TREES, DEPTH = 64, 16, 16
-#: In a node compared in full, a set has so many sets of other components on average.
-SMALL = 64
+TOKENS, TREES, DEPTH = 64, 16, 8
+#: In a node compared in full, a set has so many sets of other components on average: at
+#: first, when each set is a component of its own, and once links are known.
+SMALL, WIDE = 8, 32
 #: A candidate below so many equal tokens is no link: 4.3 standard deviations below a pair at 80 %.
 LEAST_EQUAL = 38
 #: Rows of one key that one task takes; keys of more get their facts by broadcast.
@@ -73,10 +75,14 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(48)).astype("<u2")
 
 
+def _limit(share: int) -> np.uint64:
+    return np.uint64(int(2.0**64 / (share / 100 * TOKENS)))
+
+
 def selected(node: np.uint64, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """The tokens that a node selects, and the names they give its children."""
     draw = mix(_PLACES ^ node)
-    chosen = np.flatnonzero(draw < np.uint64(int(2.0**64 / (share / 100 * TOKENS))))
+    chosen = np.flatnonzero(draw < _limit(share))
     return chosen, draw[chosen]
 
 
@@ -91,8 +97,16 @@ def roots(share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*trees, strict=True))
 
 
+def first_nodes(trees: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, share: int = SHARE) -> list[int]:
+    """The nodes of a set two levels below the roots."""
+    nodes = mix(trees[1] + tokens[trees[0]].astype(np.uint64))
+    draw = mix(_PLACES[None, :] ^ nodes[:, None])
+    row, chosen = np.nonzero(draw < _limit(share))
+    return mix(draw[row, chosen] + tokens[chosen].astype(np.uint64)).view(np.int64).tolist()
+
+
 def sketches(docs: DataFrame, words: int, share: int) -> DataFrame:
-    """Per document: doc_id, text_key, n, set_id, tokens, and its nodes below all roots."""
+    """Per document: doc_id, text_key, n, set_id, tokens, and its nodes two levels below all roots."""
 
     def start():
         trees = roots(share)
@@ -104,7 +118,7 @@ def sketches(docs: DataFrame, words: int, share: int) -> DataFrame:
                 return
             set_id = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
             tokens = sketch(found)
-            yield doc_id, key, len(found), set_id, tokens.tobytes(), children(*trees, tokens)
+            yield doc_id, key, len(found), set_id, tokens.tobytes(), first_nodes(trees, tokens, share)
 
         return rows
 
@@ -204,16 +218,16 @@ def named(frame: DataFrame, side: str, *columns: str) -> DataFrame:
 def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Links (a, b) that join the sets of each component; ``unique`` has a row per set."""
     tokens = unique.select("set_id", "tokens")
-    entries = unique.select(F.explode("nodes").alias("node"), "set_id", F.col("set_id").alias("component"))
+    entries = unique.select(F.explode("nodes").alias("node"), "set_id", F.col("set_id").alias("component"), F.lit(0).cast("long").alias("degree"))
     checked = known = None
     for depth in range(1, DEPTH + 2):
-        rank = F.struct(F.xxhash64("set_id", F.lit(depth)), "set_id")
+        rank = F.struct(-F.col("degree"), F.xxhash64("set_id", F.lit(depth)), "set_id")
         parts = entries.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
         facts = parts.groupBy("node").agg(
             F.sum("n").alias("size"), F.min("first")["set_id"].alias("leader"), F.max(F.struct("n", "component"))["component"].alias("main"),
             (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("across"),
         )
-        few = F.lit(depth > DEPTH) | (F.col("across") <= 2 * SMALL * F.col("size"))
+        few = F.lit(depth > DEPTH) | (F.col("across") <= 2 * (SMALL if depth == 1 else WIDE) * F.col("size"))
         facts = stored(facts.filter("across > 0").select("node", "size", "leader", "main", few.alias("few")), "path-nodes")
         largest, ended = facts.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.bool_and("few"), F.lit(True))).first()
         entries = stored(with_facts(entries, facts, "node", "size", largest), "path-entries")
@@ -247,7 +261,9 @@ def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = S
         linked = known.filter((100 + share) * F.col("overlap") >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b")
         if ended:
             break
-        grouped = components(linked).select(F.col("node").alias("set_id"), F.col("component").alias("joined"))
+        degrees = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
+        grouped = components(linked).join(degrees, "node").select(F.col("node").alias("set_id"), F.col("component").alias("joined"), "degree")
+        grouped = stored(grouped, "path-components")
         large = joined(large, grouped, "set_id", "component")
         leaders = leaders.select("node", "size", F.col("a").alias("set_id"))
         leaders = stored(joined(leaders, grouped, "set_id", "main").select("node", "main", "size"), "path-leaders")
@@ -257,7 +273,7 @@ def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = S
 
 
 def joined(rows: DataFrame, grouped: DataFrame, key: str, name: str) -> DataFrame:
-    return rows.join(grouped, key, "left").withColumn(name, F.coalesce("joined", key)).drop("joined")
+    return rows.join(grouped.withColumnRenamed("set_id", key), key, "left").withColumn(name, F.coalesce("joined", key)).drop("joined")
 
 
 def apart(large: DataFrame, checked: DataFrame, known: DataFrame, largest: int, share: int) -> DataFrame:
@@ -283,19 +299,19 @@ def apart(large: DataFrame, checked: DataFrame, known: DataFrame, largest: int,
     distance = F.when(F.col("set_id") == F.col("leader"), F.lit(0.0)).otherwise(F.col("exact"))
     # A little is given for rounding.
     near = F.coalesce(F.col("nearest") - distance <= 1 - share / 100 + 1e-9, F.lit(True))
-    return placed.filter(outside | near).select("node", "set_id", "component")
+    return placed.filter(outside | near).select("node", "set_id", "component", F.coalesce("degree", F.lit(0).cast("long")).alias("degree"))
 
 
 def branched(entries: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
     def start():
-        def rows(node, set_id, component, values):
+        def rows(node, set_id, component, degree, values):
             for child in children(*selected(np.uint64(node & 0xFFFFFFFFFFFFFFFF), share), np.frombuffer(values, dtype="<u2")):
-                yield child, set_id, component
+                yield child, set_id, component, degree
 
         return rows
 
-    carried = entries.join(tokens, "set_id").select("node", "set_id", "component", "tokens")
-    return stored(map_rows(carried, start, "node long, set_id long, component long"), "path-children")
+    carried = entries.join(tokens, "set_id").select("node", "set_id", "component", "degree", "tokens")
+    return stored(map_rows(carried, start, "node long, set_id long, component long, degree long"), "path-children")
 
 
 def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
