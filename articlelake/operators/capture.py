@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from articlelake.functions.text import is_blank, strip
+from articlelake.operators.choice import first_rows
 from articlelake.operators.joins import skewed_left_join
 
 # Accepted media types, and charset labels decoded on the JVM with the
@@ -65,17 +66,16 @@ def attach_responses(
     return skewed_left_join(requests, right, "url", spread="position", hot=hot)
 
 
-def first_responses(responses: DataFrame) -> DataFrame:
-    """The earliest capture of every ``request_url``."""
-    columns = [name for name in responses.columns if name not in ("request_url", "metadata")]
-    # Ties in time go by the whole row; map columns have no hash of their own.
-    hashed = [F.to_json(n) if isinstance(t.dataType, T.MapType) else F.col(n) for n in columns for t in [responses.schema[n]]]
-    order = F.struct("fetched_at", F.xxhash64(*hashed))
-    return (
-        responses.groupBy("request_url")
-        .agg(F.min_by(F.struct(*columns), order).alias("_first"))
-        .select("request_url", "_first.*")
-    )
+def first_responses(responses: DataFrame, *, in_files: bool = False) -> DataFrame:
+    """The earliest capture of every ``request_url``, chosen without touching the bodies.
+
+    Ties in time go by status, final URL and elapsed time, then by the place in the files.
+    ``in_files``: ``responses`` is a scan of files (``tables.read_table``); see
+    ``choice.first_rows``.
+    """
+    order = {name: F.col(name) for name in ("fetched_at", "status_code", "final_url", "elapsed")}
+    chosen = first_rows(responses, "request_url", order, in_files=in_files)
+    return chosen.select("request_url", *[name for name in responses.columns if name not in ("request_url", "metadata")])
 
 
 def content_type(headers: Column) -> Column:

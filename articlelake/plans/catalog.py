@@ -480,6 +480,19 @@ def fail_fast_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.fail_fast(stored).select("position", F.col("article.canonical_url").alias("canonical_url"))
 
 
+@query
+def ordered_export(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests exported in their order as parts with a manifest, and read back by it."""
+    path = scratch_folder(spark, "ordered")
+    listed = table(spark, folder, "documents").select(F.col("doc_id").alias("position"), derived.page_url().alias("url"))
+    tables.write_ordered(listed, path, "position")
+    lines = tables.read_ordered(spark, path, "position")
+    bounds = tables.read_manifest(spark, path).select("part", "first", "last")
+    return lines.join(F.broadcast(bounds), "part").select(
+        "position", "url", F.col("line").cast("long").alias("line"), F.col("position").between(F.col("first"), F.col("last")).alias("in_bounds")
+    )
+
+
 @query
 def article_sinks(spark: SparkSession, folder: str) -> DataFrame:
     """Rows per partition of the three sinks after writing and reading them back."""

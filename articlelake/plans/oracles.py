@@ -259,6 +259,9 @@ ORACLES: dict[str, str] = {
                 END AS content_chars,
             CASE WHEN NOT missing THEN 0.0::DOUBLE END AS elapsed
         FROM judged""",
+    "ordered_export": f"""
+        SELECT doc_id AS position, {_REQUESTED} AS url, row_number() OVER (ORDER BY doc_id) AS line, TRUE AS in_bounds
+        FROM (SELECT *, 'https://www.' || source || '.example/' AS site FROM documents)""",
     "page_language": """
         SELECT regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, count(*) AS pages
         FROM pages GROUP BY 1""",

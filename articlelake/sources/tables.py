@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from articlelake.sources import schemas
 
@@ -97,6 +98,58 @@ def _partitioned(frame: DataFrame, part: str, path: str, mode: str) -> None:
     frame.hint("rebalance", F.col(part)).write.mode(mode).partitionBy(part).parquet(path)
 
 
+def write_ordered(rows: DataFrame, path: str, key: str, parts: int | None = None) -> None:
+    """Rows in the order of ``key``, without one sorted file: ordered parts and a manifest.
+
+    Rows are range-partitioned by ``key`` (unique, not null), and each part is one folder,
+    sorted inside. The manifest holds a row per part: its number, bounds and rows, and the
+    rows of all parts before it. An empty table gives an empty manifest.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
+    ranged.sortWithinPartitions("part", key).write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    # The columns, for an export without rows.
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
+    written = _ordered_parts(rows.sparkSession, path)
+    bounds = written.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = bounds.withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    numbered.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def _ordered_parts(spark: SparkSession, path: str) -> DataFrame:
+    columns = spark.read.parquet(f"{path}/columns").schema.fields
+    schema = T.StructType([*columns, T.StructField("part", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{path}/rows")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")
+
+
+def read_ordered(
+    spark: SparkSession, path: str, key: str, first: object = None, last: object = None
+) -> DataFrame:
+    """An ordered export with ``line``, the place of each row in the whole order, from 1.
+
+    Only parts whose bounds meet ``first`` to ``last`` are read; their numbers, one per part,
+    come from the manifest. No exchange orders the parts: each is numbered by itself and
+    moved up by the rows before it.
+    """
+    manifest = read_manifest(spark, path)
+    bounded = manifest
+    within = F.lit(True)
+    if first is not None:
+        bounded, within = bounded.where(F.col("last") >= F.lit(first)), within & (F.col(key) >= F.lit(first))
+    if last is not None:
+        bounded, within = bounded.where(F.col("first") <= F.lit(last)), within & (F.col(key) <= F.lit(last))
+    wanted = [row["part"] for row in bounded.select("part").collect()]
+    rows = _ordered_parts(spark, path).where(F.col("part").isin(wanted) if wanted else F.lit(False))
+    placed = rows.join(F.broadcast(manifest.select("part", "rows_before")), "part")
+    line = F.row_number().over(Window.partitionBy("part").orderBy(key)) + F.col("rows_before")
+    return placed.withColumn("line", line).where(within).drop("rows_before")
+
+
 def write_articles(articles: DataFrame, path: str, mode: str = "append") -> None:
     """Articles by source."""
     _partitioned(articles, "source", path, mode)
