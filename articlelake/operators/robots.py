@@ -24,6 +24,7 @@ from articlelake.functions.urls import (
     with_url,
 )
 from articlelake.operators.joins import lookup_join
+from articlelake.sources import snapshots
 
 # Statuses that close or open a whole origin.
 DENY_STATUSES = (401, 403)
@@ -249,6 +250,10 @@ def decide(frame: DataFrame, url: str, agent_rules: DataFrame) -> DataFrame:
     )
 
 
-def refresh_snapshot(captures: DataFrame, path: str) -> None:
-    """Forget all cached rules: replace the stored snapshot by one from ``captures``."""
-    robots_rules(captures).write.mode("overwrite").parquet(path)
+def refresh_snapshot(captures: DataFrame, path: str) -> int:
+    """Forget all cached rules: commit a version of the snapshot from ``captures`` alone.
+
+    Readers of earlier versions keep them; a stream that reads the snapshot for every batch
+    uses the new rules from its next batch on.
+    """
+    return snapshots.commit(robots_rules(captures), path, replace=True)

@@ -25,7 +25,7 @@ from articlelake.operators.joins import hot_keys
 from articlelake.plans import crawl, derived
 from articlelake.plans.derived import AGENT, spread_table, table
 from articlelake.session import prepare, scratch_folder, stored
-from articlelake.sources import schemas, tables
+from articlelake.sources import schemas, snapshots, tables
 from articlelake.streaming import articles as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,3 +769,57 @@ def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
     return robots.rules_for_agent(snapshot, AGENT).select(
         "origin", F.col("robots_policy").alias("policy"), F.size("robots_rules").cast("long").alias("rules")
     )
+
+
+def _robots_landing(spark: SparkSession, folder: str, base: str) -> str:
+    """Two files of robots captures: a first fetch of every page origin, and a later one.
+
+    The first fetch fails for origins of even length; the later one closes every origin.
+    """
+    origin = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
+    origins = table(spark, folder, "pages").select(origin.alias("origin"))
+    failed = F.length("origin") % 2 == 0
+    for part, status, body in (
+        (0, F.when(failed, 500).otherwise(200), "User-agent: *\nDisallow: /en/\nAllow: /"),
+        (1, F.lit(200), "User-agent: *\nDisallow: /"),
+    ):
+        captures = origins.select(
+            "origin", status.cast("int").alias("status_code"), F.encode(F.lit(body), "UTF-8").alias("body"),
+            F.timestamp_seconds(F.lit(1_704_067_200 + part)).alias("fetched_at"),
+        )
+        captures.coalesce(1).write.mode("append").parquet(f"{base}/landing")
+    return f"{base}/landing"
+
+
+@query
+def robots_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Robots captures of all page origins in two batches; the first usable file is kept.
+
+    The first version is pinned and read beside the latest one, which has been compacted.
+    """
+    base = scratch_folder(spark, "robots")
+    landing = tables.stream_table(spark, _robots_landing(spark, folder, base), schemas.ROBOTS, maxFilesPerTrigger="1")
+    streaming.write_robots_snapshots(landing, f"{base}/rules", f"{base}/state", compact_every=2).awaitTermination()
+
+    def rules(version: int | None, name: str) -> DataFrame:
+        snapshot = robots.rules_for_agent(streaming.read_robots_snapshot(spark, f"{base}/rules", version), AGENT)
+        policy = F.coalesce("robots_error", "robots_policy").alias(f"{name}_policy")
+        return snapshot.select("origin", policy, F.coalesce(F.size("robots_rules"), F.lit(0)).cast("long").alias(f"{name}_rules"))
+
+    stored_rows = snapshots.read_version(spark, f"{base}/rules").groupBy("origin").agg(F.count(F.lit(1)).alias("rows"))
+    return rules(0, "first").join(rules(None, "latest"), "origin").join(stored_rows, "origin")
+
+
+@query
+def robots_refresh(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions for all page URLs before and after the robots snapshot is refreshed."""
+    path = f"{scratch_folder(spark, 'robots')}/rules"
+    captures = derived.page_robots(spark, folder)
+    before = robots.refresh_snapshot(captures, path)
+    closed = captures.withColumn("body", F.encode(F.lit("User-agent: *\nDisallow: /de/"), "UTF-8")).withColumn("status_code", F.lit(200))
+    after = robots.refresh_snapshot(closed, path)
+    urls_of_pages = robots.with_origin(table(spark, folder, "pages").select("page_id", "url"), "url")
+    for version, name in ((before, "before"), (after, "after")):
+        rules = robots.rules_for_agent(streaming.read_robots_snapshot(spark, path, version), AGENT)
+        urls_of_pages = robots.decide(urls_of_pages, "url", stored(rules, "robots")).withColumnRenamed("robots_reason", name)
+    return urls_of_pages.select("page_id", "before", "after")

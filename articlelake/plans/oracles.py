@@ -377,4 +377,14 @@ ORACLES: dict[str, str] = {
         FROM judged GROUP BY 1""",
     "stream_robots": f"""
         SELECT DISTINCT {_ORIGIN} AS origin, 'rules' AS policy, 2 AS rules FROM pages""",
+    "robots_versions": f"""
+        SELECT DISTINCT {_ORIGIN} AS origin,
+            CASE WHEN length({_ORIGIN}) % 2 = 0 THEN 'robots_status_unsupported' ELSE 'rules' END AS first_policy,
+            CASE WHEN length({_ORIGIN}) % 2 = 0 THEN 0 ELSE 2 END AS first_rules, 'rules' AS latest_policy,
+            CASE WHEN length({_ORIGIN}) % 2 = 0 THEN 1 ELSE 2 END AS latest_rules, 1 AS rows
+        FROM pages""",
+    "robots_refresh": f"""
+        SELECT page_id, {_RULE_OF_PAGE} AS before,
+            CASE WHEN {_PATH} LIKE '/de/%' THEN 'robots_disallowed' END AS after
+        FROM pages""",
 }

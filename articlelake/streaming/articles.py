@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from articlelake.operators.robots import robots_rules
 from articlelake.plans import crawl
+from articlelake.sources import snapshots
 
 
 def stream_outcomes(
@@ -60,26 +60,29 @@ def write_stream(frame: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     )
 
 
-def write_robots_snapshots(captures: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep the first usable robots file of every origin in a growing snapshot table.
+def write_robots_snapshots(
+    captures: DataFrame, path: str, checkpoint: str, *, compact_every: int = 100, **trigger
+) -> StreamingQuery:
+    """Keep the first usable robots file of every origin in a growing, versioned snapshot.
 
     Each batch is first reduced to one file per origin inside its tasks, so that a busy
-    origin costs one row in the shuffle, and then leaves out the origins already stored.
-    The stored table is the state: it has at most two rows per origin, as a failed file is
-    stored once and does not keep a later usable one out.
+    origin costs one row in the shuffle, and then leaves out the origins already stored. The
+    snapshot is the state: between compactions it has at most two rows per origin, as a
+    failed file is stored once and does not keep a later usable one out. Each batch is one
+    version (``snapshots``); after ``compact_every`` folders a version with one row per
+    origin follows.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         rules = robots_rules(batch)
-        earlier = _stored_snapshots(batch.sparkSession, path)
+        earlier = snapshots.read_version(batch.sparkSession, path)
         if earlier is not None:
-            known = earlier.where(F.col("batch") < batch_id).select(
-                F.col("origin").alias("_origin"), (F.col("policy") != "error").alias("_usable")
-            )
+            known = earlier.select(F.col("origin").alias("_origin"), (F.col("policy") != "error").alias("_usable"))
             settled = (F.col("origin") == F.col("_origin")) & (F.col("_usable") | (F.col("policy") == "error"))
             rules = rules.join(known, settled, "left_anti")
-        # A batch that is repeated after a failure replaces its own folder.
-        rules.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        snapshots.commit(rules, path, batch=batch_id)
+        if len(snapshots.manifest(batch.sparkSession, path)["folders"]) >= compact_every:
+            compact_robots_snapshot(batch.sparkSession, path)
 
     return (
         captures.writeStream.option("checkpointLocation", checkpoint)
@@ -89,21 +92,24 @@ def write_robots_snapshots(captures: DataFrame, path: str, checkpoint: str, **tr
     )
 
 
-def _stored_snapshots(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
+def read_robots_snapshot(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One row per origin: the first usable rules, else the first failure.
 
-def read_robots_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """One row per origin: the first usable rules, else the first failure."""
-    order = F.struct(F.col("policy") == "error", "batch")
+    ``version`` pins a version; by default the latest is read. Before the first commit there
+    are no rows.
+    """
+    rows = snapshots.read_version(spark, path, version)
+    if rows is None:
+        empty = spark.createDataFrame([], "origin string, status_code int, body binary, fetched_at timestamp")
+        return robots_rules(empty)
+    order = F.struct(F.col("policy") == "error", "added")
     return (
-        spark.read.parquet(path)
-        .groupBy("origin")
+        rows.groupBy("origin")
         .agg(F.min_by(F.struct("policy", "reason", "groups"), order).alias("_first"))
         .select("origin", "_first.*")
     )
+
+
+def compact_robots_snapshot(spark: SparkSession, path: str) -> int:
+    """A version of one folder, with one row per origin."""
+    return snapshots.commit(read_robots_snapshot(spark, path), path, replace=True)

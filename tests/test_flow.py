@@ -11,7 +11,7 @@ from articlelake.operators import attempts, capture, identity, logs, parsers, pr
 from articlelake.operators.joins import hot_keys
 from articlelake.plans import crawl
 from articlelake.session import scratch_folder
-from articlelake.sources import schemas, tables
+from articlelake.sources import schemas, snapshots, tables
 from articlelake.streaming import articles as streaming
 from test_articles import html as markup, story
 
@@ -341,6 +341,37 @@ def test_robots_stream_keeps_the_first_usable_file(spark):
     }
 
 
+def test_robots_snapshot_versions(spark):
+    base = scratch_folder(spark, "robots-test")
+    path, when = f"{base}/rules", datetime(2026, 1, 1)
+
+    def captures(*rows):
+        return spark.createDataFrame([(*row, when) for row in rows], schemas.ROBOTS)
+
+    def found(version=None):
+        return {r["origin"]: r["policy"] for r in streaming.read_robots_snapshot(spark, path, version).collect()}
+
+    assert snapshots.read_version(spark, path) is None and found() == {}
+    for number in range(4):
+        status = 500 if number == 0 else 404
+        captures(("https://a.example", status, b""), (f"https://{number}.example", 200, b"x")).coalesce(1).write.mode("append").parquet(f"{base}/landing")
+        landing = tables.stream_table(spark, f"{base}/landing", schemas.ROBOTS)
+        streaming.write_robots_snapshots(landing, path, f"{base}/state", compact_every=3).awaitTermination()
+    # Batches 0, 1 and 2 are versions 0 to 2, version 3 compacts them, batch 3 is version 4.
+    listed = {r["version"]: (r["batch"], len(r["folders"])) for r in snapshots.versions(spark, path).collect()}
+    assert listed == {0: (0, 1), 1: (1, 2), 2: (2, 3), 3: (None, 1), 4: (3, 2)}
+    assert found(0) == {"https://a.example": "error", "https://0.example": "rules"} and found(2) == found(3)
+    compacted = snapshots.read_version(spark, path, 3)
+    assert compacted.count() == compacted.select("origin").distinct().count() == 4
+    assert found()["https://a.example"] == "allow_all" and len(found()) == 5
+    # A batch that comes again after a failure is not written twice.
+    assert snapshots.commit(robots.robots_rules(captures(("https://z.example", 404, b""))), path, batch=3) == 4
+    assert len(found()) == 5
+    # A refresh forgets everything; pinned readers are not disturbed.
+    assert robots.refresh_snapshot(captures(("https://a.example", 403, b"")), path) == 5
+    assert found() == {"https://a.example": "deny_all"} and len(found(4)) == 5
+
+
 def test_sinks_round_trip(spark):
     base = scratch_folder(spark, "sinks-test")
     requests, responses, rules, hosts = inputs(spark, 12)
