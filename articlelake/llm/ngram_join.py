@@ -111,30 +111,49 @@ def levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return table.ravel()
 
 
+def _read(docs: DataFrame) -> DataFrame:
+    text = text_or_empty()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
 def sets(docs: DataFrame, table: np.ndarray, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n, set_id and the listed shingles of its prefix with their places."""
+    """Per document: doc_id, text_hash, n, set_id and the listed shingles of its prefix with their places."""
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def start():
         level_of = np.frombuffer(shared.value, dtype=np.uint8)
 
-        def rows(doc_id, text):
+        def rows(doc_id, text_hash, text):
             found = shingle_set(text, words)
             n = len(found)
             if not n:
-                yield doc_id, 0, None, [], []
+                yield doc_id, text_hash, 0, None, [], []
                 return
             level = level_of[(found >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
             prefix = n - -(-share * n // 100) + 1
             order = np.lexsort((found, level))[:prefix]
             places = np.flatnonzero(level[order] > 0)
             set_id = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-            yield doc_id, n, set_id, found[order[places]].view(np.int64).tolist(), places.tolist()
+            yield doc_id, text_hash, n, set_id, found[order[places]].view(np.int64).tolist(), places.tolist()
 
         return rows
 
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return map_rows(frame, start, "doc_id long, n long, set_id long, shingles array<long>, places array<long>")
+    schema = "doc_id long, text_hash long, n long, set_id long, shingles array<long>, places array<long>"
+    return map_rows(_read(docs), start, schema)
+
+
+def texts_of(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """set_id and text of each row (set_id, doc_id, text_hash).
+
+    A doc_id alone does not name a text, as it may be null or repeated. Copies without an id
+    are reduced to one before they meet their row.
+    """
+    read = _read(docs)
+    wanted = rows.select("set_id", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    named = wanted.join(read, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("text_hash")))
+    nameless = read.filter("doc_id IS NULL").groupBy("text_hash").agg(F.first("text").alias("text"))
+    nameless = wanted.filter("_id IS NULL").join(nameless, F.col("_hash") == F.col("text_hash"))
+    return named.select("set_id", "text").unionByName(nameless.select("set_id", "text"))
 
 
 def _may_link(overlap: Column, n: Column, m: Column, share: int) -> Column:
@@ -179,8 +198,12 @@ def overlaps(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
 
     def start():
+        seen = set()  # repeated rows of one set lie in one partition
+
         def rows(set_id, text):
-            yield set_id, shingle_set(text, words).tobytes()
+            if set_id not in seen:
+                seen.add(set_id)
+                yield set_id, shingle_set(text, words).tobytes()
 
         return rows
 
@@ -214,21 +237,14 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
 
     ``found`` is a stored table from :func:`sets`. Links inside a component may be left out.
     """
-    unique = stored(
-        found.filter("n > 0").groupBy("set_id").agg(
-            F.min_by(F.struct("n", "shingles", "places"), "doc_id").alias("first"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-        )
-        .select("set_id", "doc_id", "n", F.coalesce("first.shingles", F.array().cast("array<long>")).alias("shingles"), F.coalesce("first.places", F.array().cast("array<long>")).alias("places")),
-        "unique-sets",
-    )
+    first = F.min_by(F.struct("doc_id", "text_hash", "n", "shingles", "places"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    unique = stored(found.filter("n > 0").groupBy("set_id").agg(first.alias("first")).select("set_id", "first.*"), "unique-sets")
     entries = unique.select("set_id", "n", F.explode(F.arrays_zip("shingles", "places")).alias("e")).select(
         F.col("e.shingles").alias("shingle"), "set_id", "n", F.col("e.places").alias("place")
     )
     lengths = entries.groupBy("shingle").agg(F.count("*").alias("length")).filter("length > 1")
     lists = stored(entries.join(lengths, "shingle"), "lists")
-    representatives = unique.select("set_id", F.col("doc_id").alias("_id"))
-    read = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
-    texts = read.join(representatives, "_id").select("set_id", "text")
+    texts = texts_of(unique, docs)
 
     def both(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
         return tuple(frame.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in frame.columns if c != "shingle")) for k in "ab")
@@ -309,26 +325,38 @@ def links(found: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SH
     return links_found.unionByName(verified(crossing).filter(is_link()).select("a", "b"))
 
 
-def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id."""
+def _grouped(docs: DataFrame, words: int, share: int) -> DataFrame:
+    """Per document: doc_id, text_hash, n and the first row (nameless, doc_id, text_hash) of its group."""
     docs = docs.select("doc_id", "text")
     found = stored(sets(docs, levels(docs, words), words, share), "sets")
     grouped = components(links(found, docs, words, share))
-    least = found.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    least = found.filter("n > 0").groupBy("set_id").agg(F.min(own).alias("least"))
     named = least.join(grouped, least["set_id"] == grouped["node"], "left").select(
         "set_id", "least", F.coalesce("component", "set_id").alias("component")
     )
     named = stored(named, "named-sets")
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_set = named.join(smallest, "component").select("set_id", "component_id")
-    return found.join(by_set, "set_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")
+    smallest = named.groupBy("component").agg(F.min("least").alias("first"))
+    by_set = named.join(smallest, "component").select("set_id", "first")
+    return found.join(by_set, "set_id", "left").select("doc_id", "text_hash", "n", F.coalesce("first", own).alias("first"))
+
+
+def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id."""
+    return _grouped(docs, words, share).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id")
     )
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; repeated ids go by text."""
-    grouped = join(docs)
-    keep = grouped.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept
+    """One document of each group, with all columns of ``docs``; those without words all stay.
+
+    It is the one with the smallest doc_id, null ids last; of rows that repeat the id, the one
+    whose text has the smallest hash. Rows that repeat id and text of the one that stays stay too.
+    """
+    grouped = _grouped(docs, WORDS, SHARE)
+    kept = grouped.filter(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+    kept = kept.select("doc_id", "text_hash").distinct()
+    own_hash = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (own_hash == kept["text_hash"])
+    return docs.join(kept, same, "left_semi")

@@ -95,6 +95,26 @@ def test_ngram_join(docs, nothing, monkeypatch, short_list):
         assert kept.columns == frame.columns and kept.count() < len(rows)
 
 
+def test_ngram_join_of_null_and_repeated_ids(session):
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=5)) for _ in range(400)]
+
+    def near(text):
+        return " ".join(text.split()[:-1] + ["changed"])
+
+    one, two, three, four = (" ".join(words[k : k + 90]) for k in (0, 95, 190, 285))
+    rows = [(1, one), (None, near(one)), (None, near(one))]  # a link through rows without an id
+    rows += [(None, two), (None, near(two)), (None, two), (None, "")]  # a group without any id
+    rows += [(7, three), (7, four), (7, "of a third text only"), (8, near(three)), (9, near(four)), (9, near(four))]  # one id, several texts
+    rows = [(k, text, "en", "s", 1, "x", "y") for k, text in rows]
+    frame = stored(session.createDataFrame(rows, SCHEMA).repartition(3), "null-ids")
+    assert by_key(ngram_join.join(frame), "doc_id", "n_shingles", "component_id") == sorted(linked_components(rows), key=repr)
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.representatives(frame.withColumn("text_hash", F.lit(1)).withColumn("_id", F.lit(2))).collect()]
+    assert (1, one) in kept and (None, "") in kept and (None, near(one)) not in kept
+    assert ((None, two) in kept) != ((None, near(two)) in kept)
+    assert sorted(text for k, text in kept if k == 7) == sorted([three, four, "of a third text only"]) and not [k for k, _ in kept if k in (8, 9)]
+
+
 def test_exact_dedup(docs, nothing):
     frame, rows = docs
     groups = {}
