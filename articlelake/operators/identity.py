@@ -85,6 +85,33 @@ def audit_identities(identities: DataFrame) -> DataFrame:
     )
 
 
+def windowed_disagreements(
+    page_log: DataFrame, robots_log: DataFrame, *, window: str = "1 day", delay: str = "1 hour"
+) -> DataFrame:
+    """``identity_disagreements`` per origin and window of ``ts``, for two batches or two streams.
+
+    Both logs are watermarked, and the slower one decides when a window closes. The state of
+    an open window is one row per origin and agent, so a busy origin costs no more than its
+    number of agents; the logs are never joined row by row. Late rows count until their
+    window closes.
+    """
+
+    def side(log: DataFrame, page: int) -> DataFrame:
+        flags = F.lit(page).alias("_page"), F.lit(1 - page).alias("_robots")
+        return log.withWatermark("ts", delay).select("ts", "origin", "user_agent", *flags)
+
+    pairs = (
+        side(page_log, 1).unionByName(side(robots_log, 0))
+        .groupBy(F.window("ts", window), "origin", "user_agent")
+        .agg(F.max("_page").alias("_page"), F.max("_robots").alias("_robots"))
+    )
+    counts = pairs.groupBy(F.window(F.window_time("window"), window), "origin").agg(
+        F.sum("_page").alias("page_agents"), F.sum("_robots").alias("robots_agents"), F.count(F.lit(1)).alias("agents")
+    )
+    differ = (F.col("page_agents") > 0) & (F.col("robots_agents") > 0) & (F.col("agents") > 1)
+    return counts.where(differ).select(F.col("window.start").alias("window_start"), "origin", "page_agents", "robots_agents", "agents")
+
+
 def identity_disagreements(page_log: DataFrame, robots_log: DataFrame) -> DataFrame:
     """Origins whose page and robots fetches did not all carry one user agent.
 

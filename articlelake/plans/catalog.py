@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -771,6 +771,84 @@ def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def stream_first_captures(spark: SparkSession, folder: str) -> DataFrame:
+    """Captures of all documents, and later failed ones of the same URLs: the first batch counts."""
+    captures = derived.captures(table(spark, folder, "documents"))
+    base = scratch_folder(spark, "stream")
+    for part, status in ((0, F.col("status_code")), (1, F.lit(500).cast(captures.schema["status_code"].dataType))):
+        fetched = F.timestamp_seconds(F.lit(1_704_067_200 + 3600 * part))
+        rows = captures.withColumn("status_code", status).withColumn("fetched_at", fetched)
+        rows.repartition(_LANDED_FILES).write.mode("append").parquet(f"{base}/landing")
+    schema = spark.read.parquet(f"{base}/landing").schema
+    landing = spark.readStream.schema(schema).option("maxFilesPerTrigger", _LANDED_FILES).parquet(f"{base}/landing")
+    lookups = _document_lookups(spark, folder)
+    streaming.write_outcomes(
+        streaming.first_captures(landing), lambda _: lookups, f"{base}/outcomes", f"{base}/state"
+    ).awaitTermination()
+    return (
+        spark.read.parquet(f"{base}/outcomes")
+        .groupBy(F.coalesce("reason_code", F.lit("accepted")).alias("outcome"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("article.canonical_url").alias("first_url"))
+    )
+
+
+#: Files of one landed part, and parts of a landed log.
+_LANDED_FILES, _LANDED_PARTS = 8, 3
+
+
+def _landed_stream(spark: SparkSession, log: DataFrame, late: Column, path: str) -> DataFrame:
+    """A stream over a log with ``ts``, landed part after part by its time.
+
+    Rows that are ``late`` land as if they had happened half an hour later. A last row of
+    nulls a week after the log lets all windows of the log close.
+    """
+    landed = F.unix_timestamp("ts") + F.when(late, 1800).otherwise(0)
+    rows = stored(log.withColumn("_landed", landed), "log")
+    first, last = rows.agg(F.min("_landed"), F.max("_landed")).first()
+    length = ((last or 0) - (first or 0)) // _LANDED_PARTS + 1
+    for part in range(_LANDED_PARTS):
+        inside = rows.where(F.floor((F.col("_landed") - (first or 0)) / length) == part).drop("_landed")
+        inside.repartition(_LANDED_FILES).write.mode("append").parquet(path)
+    end = spark.range(1).select(F.timestamp_seconds(F.lit((last or 0) + 7 * 86_400)).alias("ts"))
+    nulls = (F.lit(None).cast(field.dataType).alias(field.name) for field in log.schema if field.name != "ts")
+    end.select("ts", *nulls).select(*log.columns).write.mode("append").parquet(path)
+    return spark.readStream.schema(log.schema).option("maxFilesPerTrigger", _LANDED_FILES).parquet(path)
+
+
+@query
+def stream_attempts(spark: SparkSession, folder: str) -> DataFrame:
+    """The attempt log as a stream with late rows; a request's row comes when its time is up."""
+    base = scratch_folder(spark, "attempts")
+    log = _attempts(spark, folder)
+    second = F.lit(1_704_067_200) + (F.col("request_id") * 4 + F.col("attempt_no")) * 61
+    log = log.withColumn("ts", F.timestamp_seconds(second))
+    landing = _landed_stream(spark, log, (F.col("request_id") % 5 == 0) & (F.col("attempt_no") % 2 == 0), f"{base}/landing")
+    streaming.write_stream(attempts.resolve_attempt_stream(landing), f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").where(F.col("request_id").isNotNull())
+
+
+@query
+def stream_identities(spark: SparkSession, folder: str) -> DataFrame:
+    """Page and robots logs as two streams with late rows; origins that disagree, per day."""
+    base = scratch_folder(spark, "identities")
+    pages = robots.with_origin(table(spark, folder, "pages").select("page_id", "url"), "url")
+    first = 1_704_067_200
+    page_log = pages.select(
+        F.timestamp_seconds(F.lit(first) + F.col("page_id") * 61).alias("ts"), "origin",
+        F.when(F.col("page_id") % 40 == 0, F.lit("Other/2")).otherwise(F.lit("Agent/1")).alias("user_agent"),
+    )
+    robots_log = pages.where(F.length("origin") % 4 > 0).select(
+        F.timestamp_seconds(F.lit(first) + F.col("page_id") * 61 + 7).alias("ts"), "origin",
+        F.when(F.length("origin") % 9 == 0, F.lit("Other/2")).otherwise(F.lit("Agent/1")).alias("user_agent"),
+    )
+    late = F.second("ts") % 7 == 0
+    both = [_landed_stream(spark, log, late, f"{base}/{name}") for name, log in (("pages", page_log), ("robots", robots_log))]
+    streaming.write_stream(identity.windowed_disagreements(*both), f"{base}/out", f"{base}/state").awaitTermination()
+    day = ((F.unix_timestamp("window_start") - first) / 86_400).cast("long").alias("day")
+    return spark.read.parquet(f"{base}/out").select(day, "origin", "page_agents", "robots_agents", "agents")
+
+
 def _robots_landing(spark: SparkSession, folder: str, base: str) -> str:
     """Two files of robots captures: a first fetch of every page origin, and a later one.
 

@@ -375,6 +375,25 @@ ORACLES: dict[str, str] = {
             min(CASE WHEN reason IS NULL THEN site || 'a/' || doc_id END) AS first_url,
             sum(CASE WHEN reason IS NULL THEN length({_DESCRIPTION}) END)::BIGINT AS description_chars
         FROM judged GROUP BY 1""",
+    "stream_first_captures": f"""
+        WITH {_SHAPES}
+        SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS rows,
+            min(CASE WHEN reason IS NULL THEN site || 'a/' || doc_id END) AS first_url
+        FROM judged GROUP BY 1""",
+    "stream_attempts": f"WITH {_ATTEMPTS}, {_ENDINGS}",
+    "stream_identities": f"""
+        WITH seen AS (
+            SELECT page_id * 61 // 86400 AS day, {_ORIGIN} AS origin, 'page' AS side,
+                CASE WHEN page_id % 40 = 0 THEN 'Other/2' ELSE 'Agent/1' END AS agent FROM pages
+            UNION ALL
+            SELECT (page_id * 61 + 7) // 86400, {_ORIGIN}, 'robots',
+                CASE WHEN length({_ORIGIN}) % 9 = 0 THEN 'Other/2' ELSE 'Agent/1' END
+            FROM pages WHERE length({_ORIGIN}) % 4 > 0)
+        SELECT day, origin, count(DISTINCT agent) FILTER (side = 'page') AS page_agents,
+            count(DISTINCT agent) FILTER (side = 'robots') AS robots_agents,
+            count(DISTINCT agent) AS agents
+        FROM seen GROUP BY 1, 2
+        HAVING page_agents > 0 AND robots_agents > 0 AND agents > 1""",
     "stream_robots": f"""
         SELECT DISTINCT {_ORIGIN} AS origin, 'rules' AS policy, 2 AS rules FROM pages""",
     "robots_versions": f"""

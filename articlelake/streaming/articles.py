@@ -23,6 +23,19 @@ def stream_outcomes(
     return crawl.crawl_captures(captures, agent_rules, hosts, idna=idna)
 
 
+def first_captures(captures: DataFrame, within: str = "7 days") -> DataFrame:
+    """Captures of a stream without those of a URL that an earlier batch has had.
+
+    The state holds one key per URL until the watermark of ``fetched_at`` passes its capture
+    by ``within``; no body is kept. Of several captures of a URL in one batch one stays, so
+    choose inside a landing file first (``capture.first_responses``) if they may differ. Rows
+    without a URL all stay, by their position.
+    """
+    key = F.coalesce(F.concat(F.lit("u"), F.col("url")), F.concat(F.lit("p"), F.col("position").cast("string")))
+    timed = captures.withColumn("_key", key).withWatermark("fetched_at", within)
+    return timed.dropDuplicatesWithinWatermark(["_key"]).drop("_key", "fetched_at")
+
+
 def write_outcomes(
     captures: DataFrame,
     lookups: Callable[[SparkSession], tuple[DataFrame, DataFrame]],
