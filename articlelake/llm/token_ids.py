@@ -3,7 +3,8 @@
 Both supported kinds of file cut a text before they merge bytes, and never merge across a
 cut. So a text is encoded unit by unit, and ids of a unit seen before come from a bounded
 table. Units end only where the file's own rule is certain to cut; a file with another rule
-is applied to whole texts.
+is applied to whole texts. The library's merges are applied directly to unknown units of
+plain ASCII, whose letters, digits and marks both rules cut in a known way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,16 @@ UNIT_LENGTH = 48
 
 _WHITE_RUN = re.compile(r"\s\s")
 _CERTAIN_CUT = re.compile(r"(?<=\S)(?= \S)")
+# Printable ASCII but space and apostrophe; byte-level files write these signs as themselves.
+_PLAIN_UNIT = re.compile(r"[!-&(-~]+")
+_PLAIN_PARTS = {
+    "space before word": re.compile(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"),
+    "white space removed": re.compile(r"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+"),
+}
+# How byte-level files write a space; normalizer steps that leave plain ASCII or lower it; contractions.
+_SPACE_SIGN = "\u0120"
+_HARMLESS = {"NFC", "Replace", "Lowercase"}
+_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d|"
 
 
 class _Units(dict):
@@ -68,10 +79,11 @@ class TextEncoder:
             return library.encode(text, add_special_tokens=False).ids
 
         self._ids = ids
-        self._plain, self._spaced = _Units(ids), _Units(ids, " ")
-        self._encode = {"space before word": self._byte_level, "white space removed": self._words}.get(
-            cutting_rule(json.loads(source)), self._whole
-        )
+        settings = json.loads(source)
+        rule = cutting_rule(settings)
+        of_unit = _merged(library.model, rule, settings, ids)
+        self._plain, self._spaced = _Units(of_unit), _Units(of_unit, " ")
+        self._encode = {"space before word": self._byte_level, "white space removed": self._words}.get(rule, self._whole)
 
     def __call__(self, text: str) -> bytes:
         return self._encode(text)
@@ -95,6 +107,30 @@ class TextEncoder:
         return b"".join(found)
 
 
+def _merged(model, rule: str, settings: dict, ids: Callable[[str], list[int]]) -> Callable[[str], list[int]]:
+    """The ids of a unit: plain ones part by part by the file's merges, others by the whole library."""
+    steps = settings.get("normalizer") or {}
+    names = [s.get("type") for s in steps.get("normalizers", [steps] if steps else [])]
+    replaced = [s for s in steps.get("normalizers", []) if s.get("type") == "Replace"]
+    known = _HARMLESS.issuperset(names) and all(s.get("pattern") == {"Regex": "\\s+"} for s in replaced)
+    if rule not in _PLAIN_PARTS or not known or settings.get("model", {}).get("type") != "BPE":
+        return ids
+    parts, lowers = _PLAIN_PARTS[rule].findall, "Lowercase" in names
+    plain, tokens = _PLAIN_UNIT.fullmatch, model.tokenize
+
+    def of_unit(unit: str) -> list[int]:
+        spaced = unit.startswith(" ")
+        if not plain(unit, 1 if spaced else 0):
+            return ids(unit)
+        body = unit[1:] if spaced else unit
+        found = parts(body.lower() if lowers else body)
+        if spaced:
+            found[0] = _SPACE_SIGN + found[0]
+        return [token.id for part in found for token in tokens(part)]
+
+    return of_unit
+
+
 def cutting_rule(settings: dict) -> str:
     """Which certain cuts a tokenizer file has, read from its settings."""
     cutter = settings.get("pre_tokenizer") or {}
@@ -106,7 +142,7 @@ def cutting_rule(settings: dict) -> str:
     if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
         kept = first.get("pattern", {}).get("Regex", "")
         rest = all(s.get("type") == "ByteLevel" and not s.get("use_regex") and not s.get("add_prefix_space") for s in steps[1:])
-        if rest and kept.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"):
+        if rest and kept == _CONTRACTIONS + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             return "white space removed"
     return "none"
 

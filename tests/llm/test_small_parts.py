@@ -24,6 +24,11 @@ def test_units_give_the_ids_of_whole_texts(name):
     for text in texts:
         ids = np.frombuffer(encode(text), dtype="<u4").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids, text
+    plain = [chr(k) for k in range(32, 127)] * 2 + list("etaoinETAO  ") * 6 + ["don't", "<|startoftext|>", "2024", "é"]
+    for _ in range(6000):
+        text = "".join(draw.choices(plain, k=draw.randint(1, 40)))
+        ids = np.frombuffer(encode(text), dtype="<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
 
 
 @settings(max_examples=60, deadline=None)
