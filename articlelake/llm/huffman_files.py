@@ -171,25 +171,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> str:
         [(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)], "id int, length int"
     ).write.parquet(f"{folder}/codes")
 
-    def code_documents():
-        codes = canonical_codes(lengths)
-
-        def rows(doc_id, n_tokens, ids):
-            data, checkpoints = encode_bits(token_ids.unpacked(ids, vocabulary), codes, lengths)
-            yield doc_id, n_tokens, data, checkpoints.astype("<u4").tobytes()
-
-        return rows
-
-    coded = map_rows(
-        tokens.select("doc_id", "n_tokens", "ids"), code_documents,
-        "doc_id long, n_tokens long, bits binary, checkpoints binary",
-    )
-    ordered = coded.repartitionByRange("doc_id", "n_tokens", F.xxhash64("bits")).sortWithinPartitions(
-        "doc_id", "n_tokens", F.xxhash64("bits")
-    )
+    # Ordered before they are coded, as the sampling of ranges would code all documents once more.
+    order = "doc_id", "n_tokens", F.xxhash64("ids")
+    ordered = tokens.select("doc_id", "n_tokens", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
 
     def build_blocks():
         part = TaskContext.get().partitionId()
+        codes = canonical_codes(lengths)
         held: list[tuple] = []
         state = {"block": 0, "start": 0, "ids": 0}
 
@@ -198,7 +186,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> str:
                 return
             sizes = [len(h[2]) for h in held]
             offsets = np.cumsum([0, *sizes[:-1]]) * 8
-            points = np.concatenate([np.frombuffer(h[3], dtype="<u4").astype(np.int64) + o for h, o in zip(held, offsets, strict=True)])
+            points = np.concatenate([h[3] + o for h, o in zip(held, offsets, strict=True)])
             yield (
                 part, state["block"], state["start"], [h[0] for h in held], [h[1] for h in held],
                 b"".join(h[2] for h in held), points.tolist(),
@@ -208,8 +196,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> str:
             state["ids"] = 0
             held.clear()
 
-        def rows(doc_id, n_tokens, bits, checkpoints):
-            held.append((doc_id, n_tokens, bits, checkpoints))
+        def rows(doc_id, n_tokens, ids):
+            data, checkpoints = encode_bits(token_ids.unpacked(ids, vocabulary), codes, lengths)
+            held.append((doc_id, n_tokens, data, checkpoints.astype(np.int64)))
             state["ids"] += n_tokens
             if state["ids"] >= BLOCK_IDS:
                 yield from close()
