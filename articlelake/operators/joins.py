@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from articlelake.functions.staging import once
@@ -13,6 +13,8 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 #: Rows, and bytes of joined rows, of one key that one task takes; a key of more is split.
 HOT_ROWS = 5_000_000
 HOT_BYTES = 2 * 1024 * 1024 * 1024
+#: Cells of each of the two hashes of a sketch of loads; as many at most come to the driver.
+SKETCH_CELLS = 16_384
 
 
 def fits_broadcast(
@@ -57,17 +59,43 @@ def hot_keys(
     key: str,
     *,
     hot_rows: int = HOT_ROWS,
+    weight: Column | None = None,
     sizes: DataFrame | None = None,
     hot_bytes: int = HOT_BYTES,
 ) -> DataFrame | None:
     """Keys that one task should not take alone, with ``_salts``, the tasks that share them.
 
-    Counts combine inside each task before they are shuffled. ``sizes`` has ``key`` and
-    ``_bytes`` of the row that each key is joined to, so that a key also counts as hot when
-    its joined rows have many bytes. The result is a stored table, or None when it is empty.
+    ``weight`` is the bytes of a row of ``frame``. ``sizes`` has ``key`` and ``_bytes`` of the
+    row that each key is joined to. A key is hot by its rows, by their own bytes or by the
+    bytes joined to them. The result is a stored table, or None when it is empty.
+
+    A sketch of fixed size comes first: rows and bytes are summed in tasks by two hashes of
+    the key, and a key can only be hot if both of its cells are. Usually no cell is, and
+    nothing else runs. Else only keys of hot cells are counted, exactly.
     """
-    counts = frame.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    load = F.col("_rows") / hot_rows
+    own = F.lit(0).cast("long") if weight is None else F.coalesce(weight.cast("long"), F.lit(0).cast("long"))
+    loaded = frame.where(F.col(key).isNotNull()).select(key, own.alias("_own"))
+    cells = [F.pmod(F.xxhash64(F.lit(hashed), F.col(key)), F.lit(SKETCH_CELLS)).alias(f"_cell_{hashed}") for hashed in (0, 1)]
+    load = F.greatest(F.col("_rows") / hot_rows, F.col("_sum") / hot_bytes)
+    largest = None
+    if sizes is not None:
+        # What one key is joined to is at most the largest of all.
+        largest = sizes.agg(F.max("_bytes")).first()[0] or 0
+        load = F.greatest(load, F.col("_rows") * F.lit(float(largest)) / hot_bytes)
+    counted = [F.count(F.lit(1)).alias("_rows"), F.sum("_own").alias("_sum")]
+    sketch = (
+        loaded.select("_own", F.posexplode(F.array(*cells)).alias("_hash", "_cell"))
+        .groupBy("_hash", "_cell").agg(*counted).where(load > 1).select("_hash", "_cell")
+    )
+    found = [(row["_hash"], row["_cell"]) for row in sketch.collect()]
+    if not {0, 1} <= {hashed for hashed, _ in found}:
+        return None
+    possible = loaded.select("*", *cells)
+    for hashed in (0, 1):
+        hot_cells = frame.sparkSession.createDataFrame([(cell,) for at, cell in found if at == hashed], f"_cell_{hashed} long")
+        possible = possible.join(F.broadcast(hot_cells), f"_cell_{hashed}", "left_semi")
+    counts = possible.groupBy(key).agg(*counted)
+    load = F.greatest(F.col("_rows") / hot_rows, F.col("_sum") / hot_bytes)
     if sizes is not None:
         counts = counts.join(sizes, key, "left")
         load = F.greatest(load, F.col("_rows") * F.coalesce("_bytes", F.lit(0)) / hot_bytes)

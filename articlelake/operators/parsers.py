@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,28 +59,7 @@ def parse_rows(
     in small batches, so that a document with very many items stays small in memory.
     """
     columns = list(dict.fromkeys([key, *inputs]))
-    key_field = frame.select(key).schema[0]
-    schema = T.StructType(
-        [
-            T.StructField(key, key_field.dataType),
-            T.StructField("item_pos", T.IntegerType()),
-            T.StructField("item", item_schema),
-            T.StructField("reason_code", T.StringType()),
-        ]
-    )
-
-    def rows_of(values: dict) -> Iterator[tuple]:
-        position = 0
-        try:
-            for item in parse({name: values[name] for name in inputs}):
-                if not isinstance(item, Mapping):
-                    raise DocumentRejected(_CONTRACT)
-                yield values[key], position, dict(item), None
-                position += 1
-        except DocumentRejected as refused:
-            yield values[key], position, None, refused.reason_code
-        except Exception:
-            yield values[key], position, None, failure
+    schema = _output_schema(key, frame.select(key).schema[0].dataType, item_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -91,7 +70,8 @@ def parse_rows(
         for batch in batches:
             for row in range(batch.num_rows):
                 values = {name: batch.column(name)[row].as_py(maps_as_pydicts="lossy") for name in columns}
-                for output in rows_of(values):
+                given = {name: values[name] for name in inputs}
+                for output in _outputs(parse, values[key], given, failure):
                     pending.append(output)
                     size += _size(output[2])
                     if len(pending) >= _FLUSH_ROWS or size >= _FLUSH_BYTES:
@@ -106,6 +86,75 @@ def parse_rows(
     return frame.select(*columns).mapInArrow(run, schema)
 
 
+def register_parser(
+    spark: SparkSession,
+    name: str,
+    parse: Callable[[dict], Iterable[Mapping[str, object]]],
+    item_schema: T.StructType,
+    *,
+    key: str,
+    key_type: T.DataType,
+    inputs: Iterable[str],
+    failure: str = _EXECUTION,
+) -> None:
+    """Make ``parse`` the SQL table function ``name``, with the output and rules of ``parse_rows``.
+
+    A table argument, partitioned or not, has its columns read by name, and a column that it
+    lacks is null: ``SELECT * FROM name(TABLE(documents))``. In ``LATERAL name(...)`` the
+    arguments are the key and then the ``inputs``; those left out at the end are null. Each
+    row is parsed by itself, so a partitioned argument only decides where.
+    """
+    inputs = list(inputs)
+    schema = _output_schema(key, key_type, item_schema)
+
+    class Parser:
+        def eval(self, *given):
+            if len(given) == 1 and isinstance(given[0], Row):
+                row = given[0].asDict()
+                row_key, values = row[key], {field: row.get(field) for field in inputs}
+            else:
+                row_key, others = given[0], list(given[1:])
+                values = dict(zip(inputs, others + [None] * (len(inputs) - len(others)), strict=True))
+            for output in _outputs(parse, row_key, values, failure):
+                kept, refused = _fitting([output], self.target)
+                yield from kept
+                if refused:
+                    return
+
+        def __init__(self):
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            self.target = to_arrow_schema(schema)
+
+    spark.udtf.register(name, F.udtf(Parser, returnType=schema))
+
+
+def _output_schema(key: str, key_type: T.DataType, item_schema: T.StructType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(key, key_type),
+            T.StructField("item_pos", T.IntegerType()),
+            T.StructField("item", item_schema),
+            T.StructField("reason_code", T.StringType()),
+        ]
+    )
+
+
+def _outputs(parse: Callable, key: object, given: dict, failure: str) -> Iterator[tuple]:
+    """The rows of one document: its items, and a last row with the reason if it failed."""
+    position = 0
+    try:
+        for item in parse(given):
+            if not isinstance(item, Mapping):
+                raise DocumentRejected(_CONTRACT)
+            yield key, position, dict(item), None
+            position += 1
+    except DocumentRejected as refused:
+        yield key, position, None, refused.reason_code
+    except Exception:
+        yield key, position, None, failure
+
+
 def _size(item: dict | None) -> int:
     return 64 + sum(len(v) for v in (item or {}).values() if isinstance(v, (str, bytes)))
 

@@ -108,6 +108,25 @@ def https_boundary(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def fetch_targets(spark: SparkSession, folder: str) -> DataFrame:
+    """The target rule on every page URL and on spoiled forms of it."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
+    forms = {
+        "whole": F.col("url"),
+        "no_scheme": F.concat(F.lit("//"), host, F.lit("/a")),
+        "no_host": F.lit("https:///a"),
+        "open_bracket": F.concat(F.lit("https://["), host, F.lit("/a")),
+        "bad_port": F.concat(F.lit("https://"), host, F.lit(":99999/a")),
+        "worded_port": F.concat(F.lit("https://"), host, F.lit(":port/a")),
+        "inner_blank": F.concat(F.lit("https://"), host, F.lit(" x/a")),
+    }
+    listed = F.array(*(F.struct(F.lit(name).alias("form"), url.alias("given")) for name, url in forms.items()))
+    given = table(spark, folder, "pages").select("page_id", F.inline(listed))
+    checked = urls.with_url(given, "given", "p")
+    return checked.select("page_id", "form", urls.fetch_target_reason(F.col("p")).alias("reason"))
+
+
 @query
 def host_rules_table(spark: SparkSession, folder: str) -> DataFrame:
     """The three host rules on variants of every page host."""
@@ -144,6 +163,34 @@ def source_resolution(spark: SparkSession, folder: str) -> DataFrame:
     return resolved.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query
+def seed_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    """Planted URLs against the seed profiles and those of all documents, in declared order.
+
+    ``line`` is the place of the owner in the exported registry.
+    """
+    after = tables.default_profiles(spark).agg(F.max("position")).scalar() + 1
+    own = derived.document_profiles(spark, folder).withColumn("position", F.conv(F.substring(F.md5("source"), 1, 7), 16, 10).cast("long") + after)
+    declared = profiles.registry(tables.default_profiles(spark).unionByName(own))
+    path = scratch_folder(spark, "registry")
+    tables.write_ordered(declared, path, "position")
+    order = tables.read_ordered(spark, path, "position").select(F.col("source").alias("owner"), F.col("line").cast("long"))
+    hosts = stored(profiles.profile_hosts(spark.read.parquet(f"{path}/rows"), include_disabled=True), "hosts")
+    doc = F.col("doc_id")
+    planted = F.array(
+        F.lit("https://WWW.cnnindonesia.com/news/"), F.lit("https://surabaya.kompas.com./read/"),
+        F.lit("https://kompas.com/read/"), F.lit("http://www.kompas.com/read/"),
+    )
+    url = F.when(doc % 5 == 4, derived.page_url()).otherwise(
+        F.concat(F.element_at(planted, (F.least(doc % 5, F.lit(3)) + 1).cast("int")), doc.cast("string"))
+    )
+    listed = table(spark, folder, "documents").select("doc_id", url.alias("url"))
+    resolved = profiles.resolve_by_url(listed, "url", hosts).withColumnRenamed("source", "owner")
+    numbered = resolved.join(order, "owner", "left").withColumnRenamed("owner", "source")
+    outcome = F.coalesce(profiles.dispatch_reason(), F.lit("resolved"))
+    return numbered.select("doc_id", "source", "line", outcome.alias("outcome"))
+
+
 @query
 def profile_lookups(spark: SparkSession, folder: str) -> DataFrame:
     """Lookup by URL, by host in another spelling, and by source name, per page."""
@@ -456,6 +503,16 @@ def article_extract(spark: SparkSession, folder: str) -> DataFrame:
     return accepted.select("position", *columns)
 
 
+@query
+def head_fallbacks(spark: SparkSession, folder: str) -> DataFrame:
+    """Times, descriptions and images that only the head of a page states, or states usably."""
+    documents = spread_table(spark, folder, "documents", "doc_id")
+    outcomes = crawl.crawl_captures(derived.head_captures(documents), *_document_lookups(spark, folder))
+    record = dict(zip(schemas.ARTICLE_COLUMNS, articles.article_record(), strict=True))
+    taken = ("published_at", "modified_at", "description", "lead_image_url")
+    return outcomes.select("position", "reason_code", *(record[name] for name in taken))
+
+
 @query
 def article_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return crawl.failed(_outcomes(spark, folder))
@@ -677,6 +734,36 @@ def item_prefix(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("page_id", "item_pos", "item.label")
 
 
+def _response_parser(response: dict):
+    """Up to three items per response; some end with a refusal or an error."""
+    status, headers = response["status_code"], response["headers"]
+    if status == 404:
+        return
+    yield {"label": "status", "size": status}
+    if status == 500:
+        raise parsers.DocumentRejected("response_status")
+    yield {"label": "bytes", "size": len(response["response_body"])}
+    if status == 204:
+        yield {"label": "broken", "size": "many"}
+    yield {"label": {name.lower(): value for name, value in headers.items()}["content-type"].lower(), "size": len(headers)}
+
+
+@query
+def response_items(spark: SparkSession, folder: str) -> DataFrame:
+    """A parser of raw responses as a table function in SQL."""
+    parsers.register_parser(
+        spark, "parse_response", _response_parser, _ITEM,
+        key="position", key_type=T.LongType(), inputs=parsers.RESPONSE_FIELDS,
+    )
+    return spark.sql(
+        """SELECT position, item_pos, item.label AS label, item.size AS size, reason_code
+        FROM parse_response(TABLE(SELECT
+            cast(substring_index(request_url, '/', -1) AS bigint) AS position, request_url AS url,
+            final_url, status_code, headers, body AS response_body, elapsed FROM {responses}))""",
+        responses=_responses(spark, folder),
+    )
+
+
 # --- redaction and logs ---------------------------------------------------------------
 
 

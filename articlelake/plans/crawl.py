@@ -153,7 +153,8 @@ def crawl_captures(
     verdicts = check_requests(urls.withColumn("position", F.xxhash64("url")), agent_rules, hosts, idna=idna)
     narrow = verdicts.select("url", "early_reason", *PROFILE_COLUMNS)
     pages = capture.normalize_requests(requests_from(captures))
-    joined = skewed_left_join(pages, narrow, "url", spread="position", hot=hot_keys(captures, "url"))
+    hot = hot_keys(captures, "url", weight=F.octet_length("response_body"))
+    joined = skewed_left_join(pages, narrow, "url", spread="position", hot=hot)
     reason = F.coalesce("request_reason", "early_reason")
     return parse(decode(joined.withColumn("early_reason", reason).drop("request_reason")))
 

@@ -130,8 +130,8 @@ def _field(name: str, literal: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f'"{name}":'), literal, F.lit(",")), F.lit(""))
 
 
-def _meta(name: str, value: Column) -> Column:
-    tag = F.concat(F.lit(f'<meta property="{name}" content="'), _attribute(value), F.lit('">'))
+def _meta(name: str, value: Column, attribute: str = "property") -> Column:
+    tag = F.concat(F.lit(f'<meta {attribute}="{name}" content="'), _attribute(value), F.lit('">'))
     return F.coalesce(tag, F.lit(""))
 
 
@@ -232,3 +232,44 @@ def captures(documents: DataFrame) -> DataFrame:
         F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("response_headers"),
         F.encode(html, "UTF-8").alias("response_body"),
     )
+
+
+def head_captures(documents: DataFrame) -> DataFrame:
+    """One captured page per document whose fields stand in its head, by ``doc_id % 8``.
+
+    The JSON-LD node has a headline, and values that cannot be used where the head must
+    step in. Every ninth page has no usable time anywhere.
+    """
+    documents = once(documents.withColumn("_flat", flat_text(F.col("text"))), "_flat")
+    shape, doc, flat = F.col("doc_id") % 8, F.col("doc_id").cast("string"), F.col("_flat")
+    canonical = F.concat(F.lit("https://www."), F.col("source"), F.lit(".example/h/"), doc)
+    time = F.concat(F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") * 61), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    picture = F.concat(F.lit("https://img.example.org/h/"), doc, F.lit(".jpg"))
+    node = F.concat(
+        F.lit('{"@type":"NewsArticle",'),
+        _field("mainEntityOfPage", _json(canonical)),
+        _field("datePublished", F.when(shape == 7, F.lit('"yesterday"'))),
+        _field("dateModified", F.when(shape == 6, F.lit('"soon"'))),
+        _field("description", F.when(shape == 3, F.lit('"  "'))),
+        _field("image", F.when(shape == 5, F.lit('"http://img.example.org/plain.jpg"'))),
+        F.lit('"headline":"No. '), doc, F.lit('"}'),
+    )
+    html = F.concat(
+        F.lit('<html lang="'), F.col("lang"), F.lit('"><head>'),
+        _meta("article:published_time", F.when(F.col("doc_id") % 9 < 8, time)),
+        _meta("article:modified_time", F.when(shape.isin(1, 6), F.lit("2024-06-01T00:00:00Z"))),
+        _meta("og:description", F.when(shape.isin(1, 3), flat).when(shape == 2, F.lit(""))),
+        _meta("description", F.when(shape == 1, F.lit("Last choice")).when(shape.isin(2, 7), flat), "name"),
+        _meta("description", F.when(shape == 7, F.lit("Second of two")), "name"),
+        _meta("og:image", F.when(shape.isin(4, 5), picture)),
+        _script(node),
+        F.lit("</head><body><p>"), _attribute(F.col("text")), F.lit("</p></body></html>"),
+    )
+    return documents.select(
+        F.col("doc_id").alias("position"),
+        page_url().alias("url"),
+        canonical.alias("final_url"),
+        F.lit(200).alias("status_code"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8")).alias("response_headers"),
+        F.encode(html, "UTF-8").alias("response_body"),
+    )

@@ -143,6 +143,11 @@ ORACLES: dict[str, str] = {
             CASE WHEN {_HTTPS} AND NOT regexp_matches(url, '#.') AND length({_HOST}) % 2 = 0
                 THEN NULL ELSE 'canonical_out_of_bounds' END AS page_reason
         FROM pages""",
+    "fetch_targets": """
+        SELECT page_id, form, reason FROM pages, (VALUES ('whole', NULL), ('no_scheme', 'target_url_incomplete'),
+            ('no_host', 'target_url_incomplete'), ('open_bracket', 'target_url_malformed'),
+            ('bad_port', 'target_url_malformed'), ('worded_port', 'target_url_malformed'),
+            ('inner_blank', 'target_url_incomplete')) f(form, reason)""",
     "host_rules_table": f"""
         WITH {_HOSTS}
         SELECT upper(host) || '..' AS given, host AS profile_form, host AS article_form,
@@ -259,6 +264,44 @@ ORACLES: dict[str, str] = {
                 END AS content_chars,
             CASE WHEN NOT missing THEN 0.0::DOUBLE END AS elapsed
         FROM judged""",
+    "response_items": f"""
+        WITH {_RESPONSE},
+        steps AS (SELECT r.*, item_pos FROM response r, (VALUES (0), (1), (2)) p(item_pos)
+            WHERE status <> 404 AND NOT (status = 500 AND item_pos = 2))
+        SELECT doc_id AS position, item_pos,
+            CASE item_pos WHEN 0 THEN 'status' WHEN 1 THEN CASE WHEN status <> 500 THEN 'bytes' END
+                ELSE CASE WHEN status = 200 THEN CASE header WHEN 0 THEN 'text/html; charset=utf-8'
+                    WHEN 1 THEN 'text/html' WHEN 2 THEN 'text/html;level="1";charset="utf-8"'
+                    WHEN 3 THEN 'application/xhtml+xml; charset=' WHEN 4 THEN 'application/json'
+                    WHEN 5 THEN 'text/html; charset=iso-8859-1' WHEN 6 THEN 'text/html; charset=windows-1252'
+                    WHEN 7 THEN 'text/html; charset=us-ascii' WHEN 8 THEN 'text/html; charset=nope'
+                    WHEN 9 THEN 'html' END END END AS label,
+            CASE item_pos WHEN 0 THEN status WHEN 1 THEN CASE WHEN status <> 500 THEN bytes END
+                ELSE CASE WHEN status = 200 AND header >= 0 THEN 2 END END AS size,
+            CASE WHEN item_pos = 1 AND status = 500 THEN 'response_status'
+                WHEN item_pos = 2 AND status = 204 THEN 'parser_contract'
+                WHEN item_pos = 2 AND header = -1 THEN 'parser_execution' END AS reason_code
+        FROM steps""",
+    "seed_resolution": """
+        WITH places AS (SELECT source, 2 + row_number() OVER (ORDER BY crc) AS line
+            FROM (SELECT DISTINCT source, ('0x' || substr(md5(source), 1, 7))::BIGINT AS crc FROM documents)),
+        planted AS (SELECT doc_id, source, doc_id % 5 AS kind FROM documents)
+        SELECT doc_id, CASE kind WHEN 0 THEN 'cnn_indonesia' WHEN 1 THEN 'kompas' WHEN 4 THEN p.source END AS source,
+            CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN places.line END AS line,
+            CASE kind WHEN 1 THEN 'source_disabled' WHEN 2 THEN 'source_unresolved'
+                WHEN 3 THEN 'source_unresolved' ELSE 'resolved' END AS outcome
+        FROM planted p JOIN places USING (source)""",
+    "head_fallbacks": f"""
+        WITH {_SHAPES},
+        heads AS (SELECT *, doc_id % 8 AS head, CASE WHEN doc_id % 25 = 24 THEN 'robots_disallowed'
+            WHEN doc_id % 9 = 8 THEN 'published_missing' END AS stopped FROM docs)
+        SELECT doc_id AS position, stopped AS reason_code,
+            CASE WHEN stopped IS NULL THEN strftime(instant, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS published_at,
+            CASE WHEN stopped IS NULL AND head IN (1, 6) THEN '2024-06-01T00:00:00+00:00' END AS modified_at,
+            CASE WHEN stopped IS NULL AND head IN (1, 2, 3, 7) THEN
+                CASE WHEN flat = '' AND head = 1 THEN 'Last choice' ELSE nullif({_strip('flat')}, '') END END AS description,
+            CASE WHEN stopped IS NULL AND head IN (4, 5) THEN 'https://img.example.org/h/' || doc_id || '.jpg' END AS lead_image_url
+        FROM heads""",
     "ordered_export": f"""
         SELECT doc_id AS position, {_REQUESTED} AS url, row_number() OVER (ORDER BY doc_id) AS line, TRUE AS in_bounds
         FROM (SELECT *, 'https://www.' || source || '.example/' AS site FROM documents)""",
