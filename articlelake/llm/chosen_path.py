@@ -51,7 +51,7 @@ WORDS, SHARE = 4, 80  # shingle width; 100 * intersection >= SHARE * union
 TOKENS, TREES, DEPTH = 64, 16, 8
 #: In a node compared in full, a set has so many sets of other components on average: at
 #: first, when each set is a component of its own, and once links are known.
-SMALL, WIDE = 8, 32
+SMALL, WIDE = 8, 256
 #: A candidate below so many equal tokens is no link: 4.3 standard deviations below a pair at 80 %.
 LEAST_EQUAL = 38
 #: Rows of one key that one task takes; keys of more get their facts by broadcast.
