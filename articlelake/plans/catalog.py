@@ -23,7 +23,7 @@ from articlelake.operators import (
 )
 from articlelake.operators.joins import hot_keys
 from articlelake.plans import crawl, derived
-from articlelake.plans.derived import AGENT, spread_table, table
+from articlelake.plans.derived import AGENT, landing_table, spread_table, table
 from articlelake.session import prepare, scratch_folder, stored
 from articlelake.sources import schemas, snapshots, tables
 from articlelake.streaming import articles as streaming
@@ -813,12 +813,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The batch columns over a file stream, run to its end and read from the sink."""
-    documents = spark.read.parquet(f"{folder}/documents.parquet")
-    landing = (
-        spark.readStream.schema(documents.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
+    landing = landing_table(spark, folder, "documents")
     rules, hosts = _document_lookups(spark, folder)
     base = scratch_folder(spark, "stream")
     streaming.write_outcomes(
@@ -838,12 +833,7 @@ def stream_articles(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def stream_robots(spark: SparkSession, folder: str) -> DataFrame:
     """Page URLs as a stream of robots captures; the first file per origin is kept."""
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
-    landing = (
-        spark.readStream.schema(pages.schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(folder)
-    )
+    landing = landing_table(spark, folder, "pages")
     captures = robots.with_origin(landing.select("url"), "url").select(
         "origin",
         F.lit(200).alias("status_code"),

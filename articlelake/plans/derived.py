@@ -26,6 +26,16 @@ def spread_table(spark: SparkSession, folder: str, name: str, key: str) -> DataF
     return table(spark, folder, name).repartition(F.col(key))
 
 
+def landing_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same as a stream, whether the table is one file or a folder of part files.
+
+    A pattern is needed: a stream takes a plain path for a folder, and a filter on names
+    would be applied to part files.
+    """
+    schema = table(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
+
+
 def page_hosts(spark: SparkSession, folder: str) -> DataFrame:
     host = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1)
     return table(spark, folder, "pages").select(host.alias("host")).distinct()

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from articlelake.operators import attempts, identity
+from articlelake.plans.catalog import QUERIES
 from articlelake.session import scratch_folder
 from articlelake.streaming import articles as streaming
 
@@ -100,3 +101,17 @@ def test_an_earlier_batch_keeps_its_captures(spark, few_partitions):
     rows = emitted(spark, streaming.first_captures(stream), base).collect()
     assert sorted(r["position"] for r in rows) == [1, 2, 3, 5, 6, 8]
     assert set(rows[0].asDict()) == {"position", "url", "status_code"}
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_streams_read_tables_of_part_files(spark, few_partitions, tmp_path, parts):
+    documents = [(n, f"Some words of text {n}.", "en", f"src{n % 2}", 20) for n in range(12)]
+    pages = [(n, f"https://host{n % 4}.example/en/{n}", "<p>x") for n in range(12)]
+    for name, rows, schema in (
+        ("documents", documents, "doc_id long, text string, lang string, source string, n_chars long"),
+        ("pages", pages, "page_id long, url string, html string"),
+    ):
+        spark.createDataFrame(rows, schema).repartition(parts).write.parquet(f"{tmp_path}/{name}.parquet")
+    outcomes = QUERIES["stream_articles"](spark, str(tmp_path)).collect()
+    assert sum(r["rows"] for r in outcomes) == 12
+    assert QUERIES["stream_robots"](spark, str(tmp_path)).count() == 4
