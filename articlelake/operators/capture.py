@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+from collections.abc import Iterator
 from email.message import Message
 
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from articlelake.functions.batches import in_slices
 from articlelake.functions.text import is_blank, strip
 from articlelake.operators.choice import first_rows
 from articlelake.operators.joins import skewed_left_join
@@ -104,7 +106,7 @@ def is_success(status: Column) -> Column:
 
 
 @F.arrow_udf(_DECODED)
-def _decode_rare(headers: pa.Array, bodies: pa.Array) -> pa.Array:
+def _decode_rare(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Charset lookup and strict decode for labels the JVM does not decode."""
 
     def decode(header: str | None, body: bytes | None) -> dict[str, str] | None:
@@ -120,11 +122,10 @@ def _decode_rare(headers: pa.Array, bodies: pa.Array) -> pa.Array:
             return None
         return {"encoding": encoding, "content": content}
 
-    pairs = zip(headers.to_pylist(), bodies.to_pylist(), strict=True)
-    return pa.array(
-        [decode(header, body) for header, body in pairs],
-        pa.struct([("encoding", pa.string()), ("content", pa.string())]),
-    )
+    kind = pa.struct([("encoding", pa.string()), ("content", pa.string())])
+    for headers, bodies in batches:
+        yield from in_slices(decode, kind, headers, bodies)
+        del headers, bodies  # before the next batch is read
 
 
 def decode_documents(frame: DataFrame, header: str, body: str, accepted: Column) -> DataFrame:
