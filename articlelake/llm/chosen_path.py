@@ -10,17 +10,20 @@ two sets agree in a token with the probability of their Jaccard similarity.
    child per node on average; the unlike are dealt apart. Comparisons begin two levels below
    the roots, where sets that share no more than a passage have parted.
 2. Nodes whose sets are all in one component end. A node is small if its sets have at most
-   ``SMALL`` (later ``WIDE``) others outside of their components on average; then all pairs across components
-   are compared. In a larger one, all sets are compared with one leader, the set of most
+   ``SMALL`` (later ``WIDE``) others outside of their components on average; then its sets meet
+   in one task, which compares all sketches across components and gives back only sets that
+   are near. In a larger one, all sets are compared with one leader, the set of most
    links so far, and unless that leaves one component, the node branches again. Sets of the leader's component that are too close to
    the leader to be linked to any other set of the node stay behind: Jaccard distance obeys
    the triangle inequality.
 3. Candidates whose sketches agree far too little are dropped, the others are confirmed on
-   full sets. Links of all trees together form components, and pairs in one component need
-   no comparison, so a group of copies never gives all its pairs.
+   full sets: in pairs where a set has at most ``PAIRS`` of them in its node, else by an index
+   of the shingles of all such sets of the node, which gives back a link only if it joins two
+   components. Links of all trees together form components, and pairs in one component need
+   no comparison, so neither copies nor near copies ever give all their pairs.
 
 After ``DEPTH`` levels, sets of several components that are still together are compared
-across components. A pair at the threshold meets in a tree with probability 0.47 while
+across components, ``BLOCK_SETS`` sets at a time. A pair at the threshold meets in a tree with probability 0.47 while
 nodes are small, so missing all ``TREES`` trees has a probability of about 4e-5; in deep
 nodes a tree finds it with about 0.2. Trees depend on nothing but the sets: reruns agree.
 
@@ -51,7 +54,11 @@ WORDS, SHARE = 4, 80  # shingle width; 100 * intersection >= SHARE * union
 TOKENS, TREES, DEPTH = 64, 16, 8
 #: In a node compared in full, a set has so many sets of other components on average: at
 #: first, when each set is a component of its own, and once links are known.
-SMALL, WIDE = 8, 256
+SMALL, WIDE = 8, 1024
+#: Near sets of a set in a small node that are confirmed pair by pair.
+PAIRS = 4
+#: Sets outside of the largest component, and all sets, that are compared in one task, and bytes of their shingles.
+BLOCK_SETS, BLOCK_ROWS, BLOCK_BYTES = 1 << 10, 1 << 12, 16 << 20
 #: A candidate below so many equal tokens is no link: 4.3 standard deviations below a pair at 80 %.
 LEAST_EQUAL = 38
 #: Rows of one key that one task takes; keys of more get their facts by broadcast.
@@ -155,14 +162,182 @@ def estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a long, b long, equal int")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, unique: DataFrame, words: int) -> DataFrame:
-    """(a, b, overlap, n_a, n_b) on full sets.
+def compared(small: DataFrame, tokens: DataFrame) -> DataFrame:
+    """What is near in small nodes, by sketches: node, block, a, b, equal, component and own.
 
-    Each set b travels to its a, which is held once there; an a of very many pairs has
-    several places.
+    A set with few near sets gives a row for each of these pairs. One with more (``own``) gives
+    a row without b, and so does each of its near sets. Sets outside of the largest component
+    meet all others; nodes of very many such sets, or sets, are cut into blocks.
     """
-    needed = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    chosen = unique.join(needed, "set_id", "left_semi").select("set_id", "doc_id", "text_key")
+    outside = F.col("component") != F.col("main")
+    # Others than the main component: at least so many sets are not in it.
+    cuts = F.ceil(F.col("outsiders") / BLOCK_SETS)
+    parts = F.ceil(F.col("size") / BLOCK_ROWS)
+    cell = F.explode(F.sequence(F.lit(0).cast("long"), cuts * parts - 1)).alias("block")
+    dealt = small.select("node", "set_id", "component", outside.alias("outside"), cuts.alias("cuts"), parts.alias("parts"), cell)
+    place = F.xxhash64("set_id", F.lit("block"))
+    own = F.col("outside") & (F.pmod(place, F.col("cuts")) == F.pmod(F.col("block"), F.col("cuts")))
+    other = F.pmod(place, F.col("parts")) == F.floor(F.col("block") / F.col("cuts"))
+    dealt = dealt.select("node", "block", "set_id", "component", "outside", own.alias("own"), other.alias("other")).filter("own OR other")
+    met = dealt.join(tokens, "set_id").repartition("node", "block").sortWithinPartitions("node", "block")
+    met = met.select("node", "block", "set_id", "component", "outside", "own", "other", "n", "tokens")
+    return met.mapInArrow(_near_sets, "node long, block long, a long, b long, equal int, component long, own boolean")
+
+
+_NEAR = ["node", "block", "a", "b", "equal", "component", "own"]
+_NEAR_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+
+
+def _near_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def ends(batch: pa.RecordBatch) -> np.ndarray:
+        node, block = (batch.column(k).to_numpy() for k in (0, 1))
+        return np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+        cut = ends(batch)
+        if last is not None and first != last:
+            yield from _near_in_groups(held)
+            held = []
+        if len(cut):
+            # Whole nodes are compared; the last one may go on in the next batch.
+            yield from _near_in_groups([*held, batch.slice(0, cut[-1])])
+            held = [batch.slice(cut[-1])]
+        else:
+            held.append(batch)
+        last = batch.column(0)[-1].as_py(), batch.column(1)[-1].as_py()
+    yield from _near_in_groups(held)
+
+
+def _near_in_groups(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    node, block, sets, component, outside, own, other, n = (table.column(k).to_numpy() for k in range(8))
+    tokens = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype="<u2").reshape(-1, TOKENS)
+    cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
+    starts = np.concatenate([[0], cuts])
+    sizes = np.diff(np.concatenate([starts, [len(node)]]))
+    of = np.repeat(np.arange(len(starts)), sizes)
+    a_rows = np.flatnonzero(own)
+    # Each such set meets the rows of its group, in slices of pairs.
+    many = sizes[of[a_rows]]
+    edges, found = np.concatenate([[0], np.cumsum(many)]), []
+    at = 0
+    while at < len(a_rows):
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + (1 << 16), side="right")) - 1)
+        chosen, repeats = a_rows[at:to], many[at:to]
+        left = np.repeat(chosen, repeats)
+        right = np.arange(len(left)) - np.repeat(edges[at:to] - edges[at], repeats) + np.repeat(starts[of[chosen]], repeats)
+        keep = other[right] & (component[left] != component[right]) & (~outside[right] | (sets[left] < sets[right]))
+        left, right = left[keep], right[keep]
+        equal = (tokens[left] == tokens[right]).sum(axis=1)
+        near = equal >= LEAST_EQUAL
+        found.append((left[near], right[near], equal[near]))
+        at = to
+    left, right, equal = (np.concatenate([f[k] for f in found]) if found else np.empty(0, dtype=np.int64) for k in range(3))
+    counts = np.bincount(left, minlength=len(node))
+    few = counts[left] <= PAIRS
+    rows = [_near_rows(node[left[few]], block[left[few]], sets[left[few]], sets[right[few]], equal[few], component[left[few]], np.ones(int(few.sum()), dtype=bool))]
+    left, right = left[~few], right[~few]
+    if len(left):
+        # Crowded sets are dealt into blocks of so many bytes of shingles; a near set goes to each block it is needed in.
+        crowded = np.flatnonzero(counts > PAIRS)
+        weight = np.cumsum(n[crowded] * 8)
+        begin = np.searchsorted(of[crowded], of[crowded], side="left")
+        part = (weight - (weight - n[crowded] * 8)[begin]) // BLOCK_BYTES
+        part_of = np.zeros(len(node), dtype=np.int64)
+        part_of[crowded] = part
+        to = np.unique(np.stack([right, part_of[left]], axis=1), axis=0)
+        # A set that is crowded itself stands in its own block already.
+        to = to[~((counts[to[:, 0]] > PAIRS) & (part_of[to[:, 0]] == to[:, 1]))]
+        row, sub = np.concatenate([crowded, to[:, 0]]), np.concatenate([part, to[:, 1]])
+        owns = np.arange(len(row)) < len(crowded)
+        rows.append(_near_rows(node[row], block[row] << 20 | sub, sets[row], None, None, component[row], owns))
+    yield from rows
+
+
+def _near_rows(node, block, a, b, equal, component, own) -> pa.RecordBatch:
+    columns = (node, block, a, b, equal, component, own)
+    arrays = [pa.nulls(len(node), t) if c is None else pa.array(c).cast(t) for c, t in zip(columns, _NEAR_TYPES, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=_NEAR)
+
+
+def joining(crowds: DataFrame, shingled: DataFrame, share: int) -> DataFrame:
+    """Links (a, b, overlap, n_a, n_b) that join the components of crowded sets and their near sets.
+
+    In each block the crowded sets come first and are indexed by shingle; every set is looked
+    up there, and a link is given if its ends are not yet joined in this block.
+    """
+
+    met = crowds.join(shingled.withColumnRenamed("set_id", "a"), "a")
+    met = met.repartition("node", "block").sortWithinPartitions("node", "block", F.col("own").desc(), "a")
+
+    def start():
+        state = {"at": None, "crowd": [], "index": None}
+
+        def look_up(set_id, component, values):
+            index = state["index"]
+            place = np.minimum(np.searchsorted(index["shingles"], values), len(index["shingles"]) - 1)
+            place = place[index["shingles"][place] == values]
+            begin, many = index["starts"][place], index["starts"][place + 1] - index["starts"][place]
+            steps = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            overlap = np.bincount(index["sets"][np.repeat(begin, many) + steps], minlength=len(index["n"]))
+            linked = (100 + share) * overlap >= share * (index["n"] + len(values))
+            roots = state["roots"]
+            while component in state["renamed"]:
+                component = state["renamed"][component]
+            linked &= roots != component
+            while linked.any():
+                k = int(np.argmax(linked))
+                old = roots[k]
+                yield index["ids"][k], set_id, int(overlap[k]), int(index["n"][k]), len(values)
+                linked &= roots != old
+                roots[roots == old] = component
+                state["renamed"][int(old)] = component
+
+        def built():
+            crowd = state["crowd"]
+            sets = np.repeat(np.arange(len(crowd)), [len(c[2]) for c in crowd])
+            every = np.concatenate([c[2] for c in crowd])
+            order = np.argsort(every, kind="stable")
+            shingles, starts = np.unique(every[order], return_index=True)
+            state["index"] = {
+                "shingles": shingles, "starts": np.append(starts, len(every)), "sets": sets[order],
+                "n": np.array([len(c[2]) for c in crowd]), "ids": [c[0] for c in crowd],
+            }
+            state["roots"], state["renamed"] = np.array([c[1] for c in crowd], dtype=np.int64), {}
+            state["crowd"] = []
+            for set_id, component, values in crowd:
+                yield from look_up(set_id, component, values)
+
+        def rows(node, block, a, component, own, shingles):
+            if state["at"] != (node, block):
+                if state["crowd"]:
+                    yield from built()
+                state["at"], state["index"] = (node, block), None
+            values = np.frombuffer(shingles, dtype=np.uint64)
+            if own:
+                state["crowd"].append((a, component, values))
+                return
+            if state["index"] is None:
+                yield from built()
+            yield from look_up(a, component, values)
+
+        rows.finish = lambda: built() if state["crowd"] else ()
+        return rows
+
+    return map_rows(met.select("node", "block", "a", "component", "own", "shingles"), start, "a long, b long, overlap long, n_a long, n_b long")
+
+
+def sets_of(needed: DataFrame, docs: DataFrame, unique: DataFrame, words: int) -> DataFrame:
+    """(set_id, shingles) of the needed set_ids, stored."""
+    chosen = unique.join(needed.distinct(), "set_id", "left_semi").select("set_id", "doc_id", "text_key")
 
     def cut():
         def rows(set_id, text):
@@ -170,7 +345,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, unique: DataFrame, words: int)
 
         return rows
 
-    shingled = stored(map_rows(texts_of(docs, chosen), cut, "set_id long, shingles binary").dropDuplicates(["set_id"]), "path-sets")
+    return stored(map_rows(texts_of(docs, chosen), cut, "set_id long, shingles binary").dropDuplicates(["set_id"]), "path-sets")
+
+
+def confirmed(pairs: DataFrame, shingled: DataFrame) -> DataFrame:
+    """(a, b, overlap, n_a, n_b) on full sets.
+
+    Each set b travels to its a, which is held once there; an a of very many pairs has
+    several places.
+    """
     places = F.floor(F.col("degree") / PAIRS_PER_TASK) + 1
     degrees = stored(pairs.groupBy("a").agg(F.count("*").alias("degree")).withColumn("places", places), "path-degrees")
     others = with_facts(pairs, degrees, "a", "degree", degrees.agg(F.max("degree")).first()[0] or 0).withColumn("place", F.pmod(F.xxhash64("b"), F.col("places")))
@@ -217,7 +400,7 @@ def named(frame: DataFrame, side: str, *columns: str) -> DataFrame:
 
 def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     """Links (a, b) that join the sets of each component; ``unique`` has a row per set."""
-    tokens = unique.select("set_id", "tokens")
+    tokens = unique.select("set_id", "tokens", "n")
     entries = unique.select(F.explode("nodes").alias("node"), "set_id", F.col("set_id").alias("component"), F.lit(0).cast("long").alias("degree"))
     checked = known = None
     for depth in range(1, DEPTH + 2):
@@ -225,20 +408,17 @@ def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = S
         parts = entries.groupBy("node", "component").agg(F.count("*").alias("n"), F.min(rank).alias("first"))
         facts = parts.groupBy("node").agg(
             F.sum("n").alias("size"), F.min("first")["set_id"].alias("leader"), F.max(F.struct("n", "component"))["component"].alias("main"),
-            (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("across"),
+            (F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))).alias("across"), (F.sum("n") - F.max("n")).alias("outsiders"),
         )
         few = F.lit(depth > DEPTH) | (F.col("across") <= 2 * (SMALL if depth == 1 else WIDE) * F.col("size"))
-        facts = stored(facts.filter("across > 0").select("node", "size", "leader", "main", few.alias("few")), "path-nodes")
+        facts = stored(facts.filter("across > 0").select("node", "size", "leader", "main", "outsiders", few.alias("few")), "path-nodes")
         largest, ended = facts.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.bool_and("few"), F.lit(True))).first()
         entries = stored(with_facts(entries, facts, "node", "size", largest), "path-entries")
 
-        # All pairs across the components of small nodes: sets outside of the largest one
-        # meet all others.
-        small = entries.filter("few")
-        a = small.filter("component <> main").select("node", F.col("set_id").alias("a"), F.col("component").alias("component_a"))
-        b = small.select("node", F.col("set_id").alias("b"), F.col("component").alias("component_b"))
-        pairs = a.join(b, "node").filter("component_a <> component_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = estimated(pairs.join(named(tokens, "a", "tokens"), "a").join(named(tokens, "b", "tokens"), "b")).withColumn("hub", F.lit(None).cast("long"))
+        # Small nodes: what is near across components.
+        near = stored(compared(entries.filter("few"), tokens), "path-near")
+        pairs = near.filter("b IS NOT NULL").select("a", "b", "equal", F.lit(None).cast("long").alias("hub"))
+        crowds = near.filter("b IS NULL").select("node", "block", "a", "component", "own")
         if not ended:
             # In large nodes, the leader meets each other set.
             leaders = facts.filter("not few").select("node", "size", F.col("leader").alias("a")).join(named(tokens, "a", "tokens"), "a")
@@ -255,7 +435,10 @@ def links(unique: DataFrame, docs: DataFrame, words: int = WORDS, share: int = S
         pairs = stored(pairs, "path-pairs")
         hub = F.coalesce("hub", "low")
         likely = pairs.filter(F.col("equal") >= LEAST_EQUAL).select(hub.alias("a"), F.when(hub == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
-        new = stored(confirmed(likely, docs, unique, words), "path-confirmed")
+        likely = stored(likely, "path-likely")
+        needed = likely.select(F.col("a").alias("set_id")).union(likely.select("b")).union(crowds.select("a"))
+        shingled = sets_of(needed, docs, unique, words)
+        new = stored(confirmed(likely, shingled).unionByName(joining(crowds, shingled, share)), "path-confirmed")
         checked = pairs if checked is None else checked.unionByName(pairs)
         known = new if known is None else known.unionByName(new)
         linked = known.filter((100 + share) * F.col("overlap") >= share * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -310,7 +493,7 @@ def branched(entries: DataFrame, tokens: DataFrame, share: int) -> DataFrame:
 
         return rows
 
-    carried = entries.join(tokens, "set_id").select("node", "set_id", "component", "degree", "tokens")
+    carried = entries.join(tokens.drop("n"), "set_id").select("node", "set_id", "component", "degree", "tokens")
     return stored(map_rows(carried, start, "node long, set_id long, component long, degree long"), "path-children")
 
 
@@ -319,8 +502,8 @@ def join(docs: DataFrame, words: int = WORDS, share: int = SHARE) -> DataFrame:
     docs = docs.select("doc_id", "text")
     found = stored(sketches(docs, words, share), "path-sketches")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
-    unique = found.filter("n > 0").groupBy("set_id").agg(first, F.first("tokens").alias("tokens"), F.first("nodes").alias("nodes"))
-    unique = stored(unique.select("set_id", "first.doc_id", "first.text_key", "tokens", "nodes"), "path-unique")
+    unique = found.filter("n > 0").groupBy("set_id").agg(first, F.first("tokens").alias("tokens"), F.first("nodes").alias("nodes"), F.first("n").alias("n"))
+    unique = stored(unique.select("set_id", "first.doc_id", "first.text_key", "tokens", "nodes", "n"), "path-unique")
     grouped = components(links(unique, docs, words, share))
     labels = unique.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     labels = stored(labels, "path-labels")

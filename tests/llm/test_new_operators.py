@@ -181,6 +181,32 @@ def test_chosen_paths_find_all_components(session, nothing, monkeypatch, small,
         assert chosen_path.join(nothing).count() == 0
 
 
+def test_near_copies_around_the_threshold_give_few_pairs(session, monkeypatch):  # noqa: F811
+    draw = random.Random(4)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(300):
+        words = list(base)
+        for _ in range(draw.choice((2, 3, 4, 9))):
+            words[draw.randrange(120)] = f"x{draw.randrange(10**6)}"
+        rows.append((k, " ".join(words), "en", "s", 1, "x", "y"))
+    made, stored = [], chosen_path.stored
+
+    def counted(frame, name, **how):
+        table = stored(frame, name, **how)
+        if name in ("path-near", "path-pairs", "path-confirmed"):
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(chosen_path, "stored", counted)
+    # Blocks smaller than a node, so that their borders are crossed.
+    monkeypatch.setattr(chosen_path, "BLOCK_SETS", 200, raising=False)
+    monkeypatch.setattr(chosen_path, "BLOCK_ROWS", 200, raising=False)
+    frame = session.createDataFrame(rows, SCHEMA)
+    assert by_key(chosen_path.join(frame), "doc_id", "n_shingles", "component_id", "kept") == links_by_four_words(rows)
+    assert max(made) < 10_000  # of 44,850 pairs
+
+
 def test_sketches_estimate_similarity():
     draw = np.random.default_rng(1)
     for shared in (200, 800, 950):
