@@ -246,6 +246,17 @@ def test_one_changed_place_is_found_at_any_length(session):
     assert [got[2 * k] for k in range(len(rows))] == [1, 0] * (len(rows) // 2) + [1]
 
 
+def test_words_of_spaced_lines_are_counted_without_scripts(session):
+    han, thai = "这是一个关于海港的故事", "ภาษาไทย"
+    lines = ["", "one", "one two three", "élan кот δύο", "שלום مرحبا हिंदी", han, f"in {han} 2", thai, f"{thai} and one", "가나 다라", "𠀀𠀁 x", "ᏣᎳᎩ one"]
+    wanted = [0, 1, 3, 3, 3, len(han), len(han) + 2, len(thai), len(thai) + 2, 2, 3, 2]
+    words = line_dedup._n_words(F.col("line"))
+    frame = session.createDataFrame([(k, t) for k, t in enumerate(lines)], "k int, line string").filter("line <> ''")
+    slow = F.regexp_count("line", F.lit(rf"{line_dedup._UNSPACED}|[^ {line_dedup._UNSPACED[1:-1]}]+"))
+    got = frame.select("k", words.alias("n"), slow.alias("slow")).collect()
+    assert all(r["n"] == r["slow"] == wanted[r["k"]] for r in got) and len(got) == len(lines) - 1
+
+
 def test_long_lines_join_within_a_tenth(session):
     draw = random.Random(3)
     words = ["".join(draw.choices("abcdefghijklm", k=7)) for _ in range(1000)]
