@@ -170,7 +170,6 @@ def compared(small: DataFrame, tokens: DataFrame) -> DataFrame:
     meet all others; nodes of very many such sets, or sets, are cut into blocks.
     """
     outside = F.col("component") != F.col("main")
-    # Others than the main component: at least so many sets are not in it.
     cuts = F.ceil(F.col("outsiders") / BLOCK_SETS)
     parts = F.ceil(F.col("size") / BLOCK_ROWS)
     cell = F.explode(F.sequence(F.lit(0).cast("long"), cuts * parts - 1)).alias("block")
