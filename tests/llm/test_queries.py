@@ -1,5 +1,6 @@
 """Operators on small awkward tables against brute force."""
 
+import collections
 import hashlib
 import random
 import re
@@ -269,6 +270,60 @@ def test_long_lines_join_within_a_tenth(session):
     assert line_dedup.groups(docs, stored(table, "classes")).count() == 2
 
 
+def test_letter_counts_never_refute_a_pair_within_the_edits(session):
+    draw = random.Random(5)
+    base = ["".join(draw.choices("abcdefghij klmnop éжם海", k=n)) for n in (3, 40, 300, 1000)]
+    rows = [(0, "a" * 1023), (1, "b" * 1023), (2, "a" * 1024), (3, "𠀀" * 500)]
+    rows += list(enumerate([t for b in base for t in (b, b[1:], b[:2] + "zz" + b[2:], b[::-1], "".join(draw.choices("qrstuv", k=len(b))))], 4))
+    frame = session.createDataFrame(rows, "id long, line string")
+    counts = line_dedup.letter_counts(frame)
+    names = [f"c{k}" for k in range(line_dedup.LETTER_LONGS)]
+    a, b = (counts.select(*(F.col(c).alias(f"{c}{k}") for c in ("id", *names))) for k in "ab")
+    missing = line_dedup.letters_missing(*([F.col(f"{c}{k}") for c in names] for k in "ab"))
+    texts, kinds = dict(rows), line_dedup.LETTER_LONGS * line_dedup.LETTER_FIELDS
+    got = a.crossJoin(b).select("ida", "idb", missing.alias("n")).collect()
+    assert {r["ida"] for r in got} == {k for k, t in rows if len(t) <= line_dedup.MOST_COUNTED}
+    for r in got:
+        x, y = (collections.Counter(ord(c) % kinds for c in texts[r[k]]) for k in ("ida", "idb"))
+        assert r["n"] == (x - y).total()
+    lines = [frame.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab"]
+    pairs = lines[0].crossJoin(lines[1]).filter("length(line_a) < 500 and length(line_b) < 500")
+    far = pairs.withColumn("distance", F.expr("levenshtein(line_a, line_b)")).join(a.withColumnRenamed("ida", "a"), "a").join(b.withColumnRenamed("idb", "b"), "b")
+    assert far.count() > 100 and far.filter(missing > F.col("distance")).count() == 0
+
+
+def test_shared_ends_are_cut_and_the_distance_stays(session):
+    draw = random.Random(6)
+    start, end = ("".join(draw.choices("abcd ", k=400)) for _ in range(2))
+    texts = [start + end, start + "x" + end, start + end[1:], "y" + start + end, start + end + "z", start, end, start[:20], "", "ab", "aab", "é" * 40, "é" * 30, start + "ж海" + end]
+    rows = [(i, j, x, y) for i, x in enumerate(texts) for j, y in enumerate(texts)]
+    pairs = session.createDataFrame(rows, "a long, b long, line_a string, line_b string")
+    cut = line_dedup._without_ends(pairs).withColumn("left", F.expr("levenshtein(line_a, line_b)"))
+    got = cut.withColumn("n", F.length("line_a") + F.length("line_b")).drop("line_a", "line_b").join(pairs, ["a", "b"])
+    got = got.withColumn("whole", F.expr("levenshtein(line_a, line_b)")).collect()
+    assert len(got) == len(rows) and all(r["left"] == r["whole"] and r["allowed"] == max(len(r["line_a"]), len(r["line_b"])) // 10 for r in got)
+    by = {(r["a"], r["b"]): r["n"] for r in got}
+    assert by[0, 1] <= 250 and by[0, 0] <= 15 and by[0, 3] <= 250
+
+
+def test_simhash_is_the_majority_of_word_hashes(session):
+    draw = random.Random(7)
+    texts = [" ".join(f"w{draw.randrange(50)}" for _ in range(n)) for n in (3, 4, 57, 58, 700)] + ["a b a b", "This -- is\u0085the;same  line ", "this is the same line"]
+    found = line_dedup.lines(session.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    words = session.createDataFrame([(k, w) for k, t in enumerate(texts) for w in re.split(r"[^a-z0-9]+", t.lower().strip()) if w], "k long, word string")
+    hashes = collections.defaultdict(list)
+    for r in words.select("k", F.xxhash64("word").alias("h")).collect():
+        hashes[r["k"]].append(r["h"])
+    got = {r["doc_id"]: r["simhash"] for r in found.collect()}
+    for k, hs in hashes.items():
+        bits = sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hs) > len(hs))
+        assert got[k] % (1 << 64) == bits
+    # More words than leave a bit free are compared one by one.
+    sums = [F.lit((300_000 if k % 2 else 299_999) * line_dedup._EVERY_FIELD) for k in range(line_dedup.FIELD)]
+    bits = session.range(1).select(line_dedup._majority(sums, F.lit(599_998).cast("long")).alias("bits")).first()["bits"]
+    assert bits % (1 << 64) == sum(1 << bit for bit in range(64) if bit % line_dedup.FIELD % 2)
+
+
 @pytest.mark.parametrize("score,label", [(byte_network.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
 def test_scores_of_all_rows(session, docs, nothing, score, label):
     frame, rows = docs
